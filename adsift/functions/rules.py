@@ -8,16 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import banks
-
-
-def phrases_in(text: Column, phrases: list[str]) -> Column:
-    """The phrases that the lower-cased text contains, in list order (plain substring test).
-
-    One `contains` per phrase stays inside code generation, with no join and no shuffle.
-    """
-    lower = F.lower(text)
-    hits = [F.when(F.contains(lower, F.lit(p)), F.lit(p)) for p in phrases]
-    return F.array_compact(F.array(*hits))
+from .text import phrases_in
 
 
 def count_in(text: Column, phrases: list[str]) -> Column:

@@ -94,15 +94,25 @@ def bag(terms: Column) -> Column:
     return bound(F.sort_array(terms), starts)
 
 
+def phrases_in(text: Column, phrases: list[str]) -> Column:
+    """The phrases that the lower-cased text contains, in list order (plain substring test).
+
+    One `contains` per phrase stays inside code generation, with no join and no shuffle.
+    """
+    lower = F.lower(text)
+    return F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(p)), F.lit(p)) for p in phrases]))
+
+
 def highlight(text: Column, phrases: list[str]) -> Column:
-    """Mark phrases, longest first, ignoring case; texts without a phrase skip its regex."""
-    out = text
-    for phrase in sorted(phrases, key=len, reverse=True):
-        out = F.when(
-            F.contains(F.lower(text), F.lit(phrase)),
-            F.regexp_replace(out, rf"(?i)\Q{phrase}\E", "<mark>$0</mark>"),
-        ).otherwise(out)
-    return out
+    """Mark the phrases that the text contains, one after the other, longest first, ignoring case."""
+    matched = phrases_in(text, sorted(phrases, key=len, reverse=True))
+    return F.aggregate(
+        matched,
+        text,
+        lambda done, phrase: F.regexp_replace(
+            done, F.concat(F.lit(r"(?i)\Q"), phrase, F.lit(r"\E")), F.lit("<mark>$0</mark>")
+        ),
+    )
 
 
 def snippet(text: Column, chars: int = 200) -> Column:

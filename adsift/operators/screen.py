@@ -33,11 +33,14 @@ def reportable(df: DataFrame, score: str = "risk_score", surface: str = "bot") -
 
 
 def score_text(df: DataFrame, text: str = "text", p: str = "p") -> DataFrame:
-    """Add flagged_keywords, keyword_hits, keyword_bonus and risk_score."""
+    """Add flagged_keywords, keyword_hits, keyword_bonus and risk_score.
+
+    Hits are counted on their own, so a query that does not read the map never builds it.
+    """
     body = tx.strip(F.col(text))
     return (
         df.withColumn("flagged_keywords", rules.keyword_map(body))
-        .withColumn("keyword_hits", rules.map_total(F.col("flagged_keywords")))
+        .withColumn("keyword_hits", rules.count_in(body, banks.phrase_list()))
         .withColumn("keyword_bonus", rules.keyword_bonus(F.col("keyword_hits")))
         .withColumn("risk_score", rules.risk_score(F.col(p), F.col("keyword_bonus")))
     )

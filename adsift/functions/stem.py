@@ -1,4 +1,4 @@
-"""Porter stemming (1980) as staged Column expressions, with the common toolkit extensions.
+"""Porter stemming (1980) as a Column expression, with the common toolkit extensions.
 
 Each step extracts the longest listed suffix, looks up its replacement and tests the remaining stem, all inside the
 JVM. It is meant for a table of distinct words.
@@ -6,9 +6,11 @@ JVM. It is meant for a table of distinct words.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 # Suffix tables of the published algorithm and its extensions.
 STEP2 = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al",
@@ -55,74 +57,91 @@ def _double(w: Column) -> Column:
     return (F.substring(w, -1, 1) == F.substring(_cut(w, 1), -1, 1)) & w.rlike("[^aeiouy]$")
 
 
-def with_stem(df: DataFrame, word: str = "word", out: str = "stem") -> DataFrame:
-    """Add the stem of a lower-case word column; one staged column for each step."""
-    w = F.col("_w")
-    df = df.withColumn("_w", F.regexp_replace(word, "^y", "Y"))
-
-    # Plurals.
-    df = df.withColumn(
-        "_w",
+def _plural(w: Column) -> Column:
+    return (
         F.when(w.endswith("ies") & (F.length(w) == 4), _cut(w, 1))
         .when(w.endswith("sses") | w.endswith("ies"), _cut(w, 2))
         .when(w.endswith("ss"), w)
         .when(w.endswith("s"), _cut(w, 1))
-        .otherwise(w),
+        .otherwise(w)
     )
-    # Past forms and -ing; `_t` is the trimmed word where one of them was removed.
-    ed, ing = w.endswith("ed"), w.endswith("ing")
-    df = df.withColumn(
-        "_t",
+
+
+def _past(w: Column) -> Column:
+    """-ed and -ing after a stem with a vowel, and the repair of what is left."""
+    trimmed = (
         F.when(w.endswith("ied") | w.endswith("eed"), F.lit(None).cast("string"))
-        .when(ed & _cut(w, 2).rlike(HAS_VOWEL), _cut(w, 2))
-        .when(ed, F.lit(None).cast("string"))
-        .when(ing & _cut(w, 3).rlike(HAS_VOWEL), _cut(w, 3)),
-    )
-    t = F.col("_t")
-    mended = (
-        F.when(t.endswith("at") | t.endswith("bl") | t.endswith("iz"), F.concat(t, F.lit("e")))
-        .when(_double(t), F.when(t.rlike("[lsz]$"), t).otherwise(_cut(t, 1)))
-        .when(t.rlike(M_EQ_1) & _ends_cvc(t), F.concat(t, F.lit("e")))
-        .otherwise(t)
+        .when(w.endswith("ed"), F.when(_cut(w, 2).rlike(HAS_VOWEL), _cut(w, 2)))
+        .when(w.endswith("ing") & _cut(w, 3).rlike(HAS_VOWEL), _cut(w, 3))
     )
-    df = df.withColumn(
-        "_w",
-        F.when(w.endswith("ied"), F.when(F.length(w) == 4, _cut(w, 1)).otherwise(_cut(w, 2)))
+
+    def mended(t: Column) -> Column:
+        return (
+            F.when(t.endswith("at") | t.endswith("bl") | t.endswith("iz"), F.concat(t, F.lit("e")))
+            .when(_double(t), F.when(t.rlike("[lsz]$"), t).otherwise(_cut(t, 1)))
+            .when(t.rlike(M_EQ_1) & _ends_cvc(t), F.concat(t, F.lit("e")))
+            .otherwise(t)
+        )
+
+    return bound(
+        trimmed,
+        lambda t: F.when(w.endswith("ied"), F.when(F.length(w) == 4, _cut(w, 1)).otherwise(_cut(w, 2)))
         .when(w.endswith("eed"), F.when(_cut(w, 3).rlike(M_GT_0), _cut(w, 1)).otherwise(w))
-        .when(t.isNotNull(), mended)
+        .when(t.isNotNull(), mended(t))
         .otherwise(w),
-    ).drop("_t")
-    # Final y after a consonant.
-    df = df.withColumn("_w", F.when(w.rlike(FINAL_Y), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w))
-    df = df.withColumn("_w", F.when(w.endswith("alli") & _cut(w, 4).rlike(M_GT_0), _cut(w, 2)).otherwise(w))
-    df = _replace_suffix(df, STEP2)
-    df = _replace_suffix(df, STEP3)
-    # Long stems lose one more suffix; -ion only after s or t.
-    df = df.withColumn("_s", F.regexp_extract(w, longest_suffix(STEP4), 1))
-    rest = _cut(w, F.length("_s"))
-    gone = (F.col("_s") != "") & rest.rlike(M_GT_1) & ((F.col("_s") != "ion") | rest.rlike("[st]$"))
-    df = df.withColumn("_w", F.when(gone, rest).otherwise(w)).drop("_s")
-    # Final e and final double l.
-    df = df.withColumn(
-        "_w",
-        F.when(
-            w.endswith("e") & (_cut(w, 1).rlike(M_GT_1) | (_cut(w, 1).rlike(M_EQ_1) & ~_ends_cvc(_cut(w, 1)))),
-            _cut(w, 1),
-        ).otherwise(w),
     )
-    df = df.withColumn("_w", F.when(w.endswith("ll") & _cut(w, 1).rlike(M_GT_1), _cut(w, 1)).otherwise(w))
-    plain = F.regexp_replace("_w", "^Y", "y")
-    special = F.coalesce(*[F.when(F.col(word) == k, F.lit(v)) for k, v in IRREGULAR.items()])
-    result = F.when(F.length(word) <= 2, F.col(word)).otherwise(F.coalesce(special, plain))
-    return df.withColumn(out, result).drop("_w")
-
-
-def _replace_suffix(df: DataFrame, table: dict[str, str]) -> DataFrame:
-    w = F.col("_w")
-    df = df.withColumn("_s", F.regexp_extract(w, longest_suffix(table), 1))
-    rest = _cut(w, F.length("_s"))
-    # -logi is tested with its l kept in the stem.
-    tested = F.when(F.col("_s") == "logi", _cut(w, 3)).otherwise(rest)
-    new = F.coalesce(*[F.when(F.col("_s") == k, F.lit(v)) for k, v in table.items()])
-    ok = (F.col("_s") != "") & tested.rlike(M_GT_0)
-    return df.withColumn("_w", F.when(ok, F.concat(rest, new)).otherwise(w)).drop("_s")
+
+
+def _final_y(w: Column) -> Column:
+    return F.when(w.rlike(FINAL_Y), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
+
+
+def _alli(w: Column) -> Column:
+    return F.when(w.endswith("alli") & _cut(w, 4).rlike(M_GT_0), _cut(w, 2)).otherwise(w)
+
+
+def _replacing(table: dict[str, str]):
+    def step(w: Column) -> Column:
+        def swap(suffix: Column) -> Column:
+            rest = _cut(w, F.length(suffix))
+            # -logi is tested with its l kept in the stem.
+            tested = F.when(suffix == "logi", _cut(w, 3)).otherwise(rest)
+            new = F.coalesce(*[F.when(suffix == k, F.lit(v)) for k, v in table.items()])
+            return F.when((suffix != "") & tested.rlike(M_GT_0), F.concat(rest, new)).otherwise(w)
+
+        return bound(F.regexp_extract(w, longest_suffix(table), 1), swap)
+
+    return step
+
+
+def _long_stem(w: Column) -> Column:
+    """Long stems lose one more suffix; -ion only after s or t."""
+
+    def drop(suffix: Column) -> Column:
+        rest = _cut(w, F.length(suffix))
+        gone = (suffix != "") & rest.rlike(M_GT_1) & ((suffix != "ion") | rest.rlike("[st]$"))
+        return F.when(gone, rest).otherwise(w)
+
+    return bound(F.regexp_extract(w, longest_suffix(STEP4), 1), drop)
+
+
+def _final_e(w: Column) -> Column:
+    short = _cut(w, 1)
+    gone = short.rlike(M_GT_1) | (short.rlike(M_EQ_1) & ~_ends_cvc(short))
+    return F.when(w.endswith("e") & gone, short).otherwise(w)
+
+
+def _final_ll(w: Column) -> Column:
+    return F.when(w.endswith("ll") & _cut(w, 1).rlike(M_GT_1), _cut(w, 1)).otherwise(w)
+
+
+STEPS = [_plural, _past, _final_y, _alli, _replacing(STEP2), _replacing(STEP3), _long_stem, _final_e, _final_ll]
+
+
+def stem(word: Column) -> Column:
+    """The stem of a lower-case word; each step binds the word once."""
+    w = F.regexp_replace(word, "^y", "Y")
+    for step in STEPS:
+        w = bound(w, step)
+    special = F.coalesce(*[F.when(word == k, F.lit(v)) for k, v in IRREGULAR.items()])
+    return F.when(F.length(word) <= 2, word).otherwise(F.coalesce(special, F.regexp_replace(w, "^Y", "y")))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stem import with_stem
+from ..functions.stem import stem
 
 
 def vocabulary_stems(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, stem) for each distinct word of the corpus."""
     words = df.select(F.explode(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")).alias("word")).distinct()
-    return with_stem(words)
+    return words.withColumn("stem", stem(F.col("word")))
 
 
 def stem_text(df: DataFrame, id_col: str, text: str = "text", out: str = "text") -> DataFrame:

@@ -526,7 +526,7 @@ def set_distinct_text(spark, sf_dir):
 
 @query
 def aug_synonyms(spark, sf_dir):
-    return augment.synonyms(views.ads(spark, sf_dir), "doc_id").select("doc_id", "text")
+    return views.ads(spark, sf_dir).select("doc_id", augment.synonyms(F.col("text"), "doc_id").alias("text"))
 
 
 @query

@@ -10,11 +10,14 @@ from ..session import scratch
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A file stream over a parquet table, with the table's own schema."""
+    """A file stream over a parquet table (a folder or one file), with the table's own schema.
+
+    The path is given as a pattern, because a plain path of a single file is not accepted by the stream.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:

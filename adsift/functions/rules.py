@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import banks
-from .text import phrases_in
+from .text import bound, phrases_in
 
 
 def count_in(text: Column, phrases: list[str]) -> Column:
     """How many distinct phrases the lower-cased text contains."""
-    lower = F.lower(text)
-    return reduce(lambda a, b: a + b, [F.contains(lower, F.lit(p)).cast("int") for p in phrases])
+    return F.size(phrases_in(text, phrases))
 
 
 def keyword_map(text: Column, bank: dict[str, list[str]] = banks.KEYWORDS) -> Column:
     """Category -> matched phrases in bank order; categories without a hit are left out."""
     entries = F.array(
-        *[F.struct(F.lit(cat).alias("key"), phrases_in(text, kws).alias("value")) for cat, kws in bank.items()]
+        *[
+            F.struct(F.lit(cat).alias("key"), F.array(*[F.lit(k) for k in kws]).alias("value"))
+            for cat, kws in bank.items()
+        ]
     )
-    return F.map_from_entries(F.filter(entries, lambda e: F.size(e["value"]) > 0))
+
+    def matched(low: Column) -> Column:
+        hits = F.transform(
+            entries,
+            lambda e: F.struct(
+                e["key"].alias("key"), F.filter(e["value"], lambda p: F.contains(low, p)).alias("value")
+            ),
+        )
+        return F.map_from_entries(F.filter(hits, lambda e: F.size(e["value"]) > 0))
+
+    return bound(F.lower(text), matched)
 
 
 def map_total(kw_map: Column) -> Column:
@@ -45,12 +55,17 @@ def fraud_type(text: Column, profile: str = "service") -> Column:
     """The family with most distinct signals; earlier families win ties."""
     signals = dict(banks.SIGNALS[profile])
     none = signals.pop("none")
-    score = {family: count_in(text, phrases) for family, phrases in signals.items()}
-    best = F.greatest(*score.values())
-    out = F.when(best == 0, F.lit(none))
-    for family, n in score.items():
-        out = out.when(n == best, F.lit(family))
-    return out
+    families = F.array(*[F.lit(family) for family in signals])
+    lists = F.array(*[F.array(*[F.lit(p) for p in phrases]) for phrases in signals.values()])
+
+    def winner(counts: Column) -> Column:
+        best = F.array_max(counts)
+        return F.when(best == 0, F.lit(none)).otherwise(F.get(families, F.array_position(counts, best) - 1))
+
+    def count(low: Column) -> Column:
+        return bound(F.transform(lists, lambda ps: F.size(F.filter(ps, lambda p: F.contains(low, p)))), winner)
+
+    return bound(F.lower(text), count)
 
 
 def verdict(score: Column) -> Column:

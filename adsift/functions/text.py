@@ -22,9 +22,8 @@ def join_text(*cols: str) -> Column:
 
 
 def _drop_stop_words(text: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in banks.STOP_WORDS])
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.array_join(F.filter(words, lambda w: ~F.array_contains(stop, w)), " ")
+    kept = F.filter(F.split(text, r"\s+"), lambda w: (w != "") & ~w.isin(banks.STOP_WORDS))
+    return F.array_join(kept, " ")
 
 
 def normalise_jobs(text: Column) -> Column:
@@ -97,10 +96,10 @@ def bag(terms: Column) -> Column:
 def phrases_in(text: Column, phrases: list[str]) -> Column:
     """The phrases that the lower-cased text contains, in list order (plain substring test).
 
-    One `contains` per phrase stays inside code generation, with no join and no shuffle.
+    The bank is a literal array and the text is lowered once, so this needs no join and no shuffle.
     """
-    lower = F.lower(text)
-    return F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(p)), F.lit(p)) for p in phrases]))
+    bank = F.array(*[F.lit(p) for p in phrases])
+    return bound(F.lower(text), lambda low: F.filter(bank, lambda p: F.contains(low, p)))
 
 
 def highlight(text: Column, phrases: list[str]) -> Column:

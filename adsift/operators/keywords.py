@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import banks
+from ..functions.text import bound, phrases_in
 
 # A bank up to this size is used as a literal array; a larger one goes through the trigram join.
 LITERAL_BANK_ROWS = 2000
@@ -16,23 +17,18 @@ def keyword_hits(df: DataFrame, id_col: str, text: str = "text", bank: dict = ba
 
     The bank is part of the expression, so the join needs neither a broadcast nor a shuffle.
     """
-    lower = F.lower(F.col(text))
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.contains(lower, F.lit(phrase)),
-                    F.struct(
-                        F.lit(category).alias("category"),
-                        F.lit(cat_ord).alias("cat_ord"),
-                        F.lit(phrase).alias("phrase"),
-                        F.lit(kw_ord).alias("kw_ord"),
-                    ),
-                )
-                for _, category, cat_ord, phrase, kw_ord in banks.bank_rows(bank)
-            ]
-        )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(category).alias("category"),
+                F.lit(cat_ord).alias("cat_ord"),
+                F.lit(phrase).alias("phrase"),
+                F.lit(kw_ord).alias("kw_ord"),
+            )
+            for _, category, cat_ord, phrase, kw_ord in banks.bank_rows(bank)
+        ]
     )
+    hits = bound(F.lower(F.col(text)), lambda low: F.filter(rows, lambda r: F.contains(low, r["phrase"])))
     return df.select(id_col, F.explode(hits).alias("h")).select(id_col, "h.*")
 
 
@@ -43,12 +39,9 @@ def phrase_hits(df: DataFrame, bank: DataFrame, id_col: str, text: str = "text")
     first three characters, so both sides meet in an equi-join on that trigram and `contains` decides.
     """
     rows = bank.select("phrase").distinct().limit(LITERAL_BANK_ROWS + 1).collect()
-    lower = F.lower(F.col(text))
     if len(rows) <= LITERAL_BANK_ROWS:
-        phrases = F.lit([r.phrase for r in rows]) if rows else F.array().cast("array<string>")
-        hits = F.filter(phrases, lambda p: F.contains(lower, p))
-        return df.select(id_col, F.explode(hits).alias("phrase"))
-    texts = df.select(id_col, lower.alias("_lower"))
+        return df.select(id_col, F.explode(phrases_in(F.col(text), [r.phrase for r in rows])).alias("phrase"))
+    texts = df.select(id_col, F.lower(F.col(text)).alias("_lower"))
     size = F.length("_lower")
     grams = F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substring(F.col("_lower"), i, 3))

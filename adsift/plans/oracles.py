@@ -795,7 +795,7 @@ def numbers(x: str, variant: str) -> str:
     pick = draw_sql(SEED, "doc_id", variant, "('num' || (i - 1))")
     moved = f"greatest({value} - {down} + {pick} % ({down} + {up} + 1), 100)"
     return f"""(SELECT array_to_string(list_transform(range(1, len(pcs) + 1), lambda i: pcs[i] || CASE WHEN i > len(amt) THEN '' ELSE
-    '₹' || coalesce(format('{{:,}}', {moved}), amt[i]) END), '') FROM (SELECT string_split_regex({x}, '₹[\\d,]+') AS pcs,
+    '₹' || CASE WHEN {value} IS NULL THEN amt[i] ELSE format('{{:,}}', {moved}) END END), '') FROM (SELECT string_split_regex({x}, '₹[\\d,]+') AS pcs,
     regexp_extract_all({x}, '₹([\\d,]+)', 1) AS amt))"""
 
 

@@ -121,13 +121,13 @@ def prj_combine_text(spark, sf_dir):
 
 @query
 def prj_normalise_jobs(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir)
     return docs.select("doc_id", tx.normalise_jobs(F.col("text")).alias("text"))
 
 
 def _messages(spark, sf_dir):
     """(message_id, role, text, label): conversation turns as short messages; the user's are label 1."""
-    return views.table(spark, sf_dir, "conversations").select(
+    return views.texts(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 100_000 + F.col("turn")).alias("message_id"), "role", "text",
         (F.col("role") == "user").cast("int").alias("label"),
     )
@@ -157,25 +157,25 @@ def prj_message_length(spark, sf_dir):
 
 @query
 def prj_tokens(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    docs = views.texts(spark, sf_dir).select("doc_id", tx.tokens(F.col("text")).alias("w"))
     return docs.select("doc_id", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
 
 
 @query
 def prj_ngrams(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    docs = views.texts(spark, sf_dir).select("doc_id", tx.tokens(F.col("text")).alias("w"))
     terms = docs.select("doc_id", tx.ngram_range(F.col("w"), 1, 2).alias("t"))
     return terms.select("doc_id", F.size("t").alias("n_terms"), F.array_join("t", "|").alias("terms"))
 
 
 @query
 def prj_page_text(spark, sf_dir):
-    return html.page_text(views.table(spark, sf_dir, "pages")).select("page_id", "text")
+    return html.page_text(views.texts(spark, sf_dir, "pages")).select("page_id", "text")
 
 
 @query
 def prj_snippet(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir)
     return docs.select(
         "doc_id",
         tx.snippet(F.col("text")).alias("text_snippet"),
@@ -345,7 +345,7 @@ def jn_learned_hits(spark, sf_dir):
 
 @query
 def jn_tfidf(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = views.texts(spark, sf_dir)
     terms = tx.tokens(F.col("text"))
     freq = features.doc_freq(docs, terms)
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
@@ -415,7 +415,7 @@ def agg_length_by_class(spark, sf_dir):
 
 @query
 def agg_doc_freq(spark, sf_dir):
-    return features.doc_freq(views.table(spark, sf_dir, "documents"), tx.tokens(F.col("text")))
+    return features.doc_freq(views.texts(spark, sf_dir), tx.tokens(F.col("text")))
 
 
 @query

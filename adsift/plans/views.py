@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import banks, rules
-from ..session import prepare
+from ..session import prepare, spread
 
 URL_CASES = [
     (-1, ""), (-2, "about:blank"), (-3, "shop.example.com"), (-4, "http://192.168.10.5/login"),
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, dealt out to the cores when it comes in very few splits."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _phrase(index):
     phrases = banks.phrase_list()
     return F.get(F.array(*[F.lit(p) for p in phrases]), index)
@@ -29,7 +34,7 @@ def _phrase(index):
 
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, label, p): whole documents, three in five with bank phrases added, and a given probability."""
-    return ads_from(table(spark, sf_dir, "documents"))
+    return ads_from(texts(spark, sf_dir))
 
 
 def ads_from(documents: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, word_idx, word, conf): documents as if read word by word."""
-    words = table(spark, sf_dir, "documents").select(
+    words = texts(spark, sf_dir).select(
         F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", " ")).alias("word_idx", "word")
     )
     conf = (F.col("image_id") * 31 + F.col("word_idx") * 17) % 102 - 1

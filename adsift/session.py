@@ -20,6 +20,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, most: int = 32) -> DataFrame:
+    """Deal a table of very few file splits out to the cores; a table with enough splits is left as it is.
+
+    Text work costs far more than moving a small table once. The check reads the plan only, and `most` keeps the
+    exchange away from anything large: such a table has more splits than that.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() * 2 <= wanted else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder the session names; a local one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -60,9 +60,7 @@ def test_fraud_type_ties_and_profiles(spark):
     assert one(spark, "sebi ipo", *cols).asDict() == {"s": "General / Unknown Fraud", "u": "Investment / Ponzi Scheme"}
 
 
-@pytest.mark.parametrize(
-    "url,service,ui",
-    [
+URLS = [
         ("", 0, 0),
         ("about:blank", 0, 10),
         ("http://sbi-loan-offer.xyz/apply", 70, 80),
@@ -74,15 +72,14 @@ def test_fraud_type_ties_and_profiles(spark):
         ("HTTP://upper.example.com", 10, 10),
         ("http://[broken/path", 0, 80),
         ("https://example20240.com/", 0, 10),
-    ],
-)
-def test_url_scores(spark, url, service, ui):
-    df = spark.createDataFrame([(url,)], "url string")
-    got = [
-        urls.with_url_check(df, "url", profile, "c_").select("c_risk_score").collect()[0][0]
-        for profile in ("service", "ui")
     ]
-    assert got == [service, ui]
+
+
+def test_url_scores(spark):
+    df = spark.createDataFrame([(u,) for u, _, _ in URLS], "url string")
+    for at, profile in ((1, "service"), (2, "ui")):
+        got = urls.with_url_check(df, "url", profile, "c_").select("url", "c_risk_score")
+        assert {r.url: r.c_risk_score for r in got.collect()} == {u[0]: u[at] for u in URLS}
 
 
 def test_url_first_match_only(spark):
@@ -135,9 +132,7 @@ def test_normalise_order(spark):
     assert row.s == "2nd offer wont 50"
 
 
-@pytest.mark.parametrize(
-    "word,expected",
-    [
+STEMS = [
         ("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("cats", "cat"), ("agreed", "agre"),
         ("feed", "feed"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("conflated", "conflat"),
         ("hopping", "hop"), ("falling", "fall"), ("hissing", "hiss"), ("filing", "file"), ("happy", "happi"),
@@ -148,10 +143,12 @@ def test_normalise_order(spark):
         ("dying", "die"), ("news", "news"), ("died", "die"), ("cried", "cri"), ("by", "by"), ("say", "say"),
         ("winner", "winner"), ("congratulations", "congratul"), ("geologi", "geolog"),
         ("yelling", "yell"), ("enjoy", "enjoy"), ("spies", "spi"), ("flies", "fli"),
-    ],
-)
-def test_stem(spark, word, expected):
-    assert one(spark, word, stem(F.col("text")).alias("s")).s == expected
+    ]
+
+
+def test_stem(spark):
+    rows = spark.createDataFrame(STEMS, "word string, want string").select("word", "want", stem(F.col("word")).alias("got"))
+    assert {r.word: r.got for r in rows.collect()} == dict(STEMS)
 
 
 def test_text_bounds(spark):

@@ -93,6 +93,31 @@ def bag(terms: Column) -> Column:
     return bound(F.sort_array(terms), starts)
 
 
+def positions(words: Column) -> Column:
+    """The distinct words of one text with their places, as array<struct<word, at>>; grouped inside the row."""
+
+    def starts(s: Column) -> Column:
+        index = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(
+            index, lambda i: (i == 0) | (F.get(s, i)["word"] != F.get(s, F.greatest(i - 1, F.lit(0)))["word"])
+        )
+        return bound(first, lambda begins: places(s, begins))
+
+    def places(s: Column, begins: Column) -> Column:
+        return F.transform(
+            begins,
+            lambda b, k: F.struct(
+                F.get(s, b)["word"].alias("word"),
+                F.transform(
+                    F.slice(s, b + 1, F.coalesce(F.get(begins, k + 1), F.size(s)) - b), lambda e: e["at"]
+                ).alias("at"),
+            ),
+        )
+
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+    return bound(F.sort_array(placed), starts)
+
+
 def phrases_in(text: Column, phrases: list[str]) -> Column:
     """The phrases that the lower-cased text contains, in list order (plain substring test).
 

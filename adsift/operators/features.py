@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .lookup import lookup
 
 # A vocabulary is a top-k list, so its broadcast is bounded by this many rows.
 MAX_VOCABULARY = 50_000
@@ -25,20 +26,8 @@ def doc_freq(df: DataFrame, terms: Column) -> DataFrame:
 
 
 def with_doc_freq(counts: DataFrame, freq: DataFrame, id_col: str) -> DataFrame:
-    """Join (id, term, n) with (term, df, cf) for a vocabulary of any size.
-
-    Frequent terms make this join uneven. The MAX_VOCABULARY most frequent ones come from a broadcast; rows they served
-    then carry a key of their own that matches nothing, so the shuffle join for the rest has only rare terms as keys.
-    """
-    frequent = freq.orderBy(F.desc("df"), "term").limit(MAX_VOCABULARY)
-    head = counts.join(F.broadcast(frequent.select("term", "df", "cf")), "term", "left")
-    alone = F.concat(F.lit("#"), F.col(id_col).cast("string"))
-    keyed = head.withColumn("_key", F.when(F.col("df").isNull(), F.col("term")).otherwise(alone))
-    rest = freq.select(F.col("term").alias("_key"), F.col("df").alias("_df"), F.col("cf").alias("_cf"))
-    joined = keyed.join(rest, "_key", "left")
-    return joined.select(
-        id_col, "term", "n", F.coalesce("df", "_df").alias("df"), F.coalesce("cf", "_cf").alias("cf")
-    )
+    """Join (id, term, n) with a stored table (term, df, cf) for a vocabulary of any size."""
+    return lookup(counts, freq, "term", "df", id_col)
 
 
 def vocabulary(df: DataFrame, terms: Column, max_features: int) -> DataFrame:

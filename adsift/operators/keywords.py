@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import banks
 from ..functions.text import bound, phrases_in
 
-# A bank up to this size is used as a literal array; a larger one goes through the trigram join.
+# A bank up to this size is used as a literal array; a larger one is joined on the beginnings of its phrases.
 LITERAL_BANK_ROWS = 2000
+PREFIX_CHARS = 8
+SALTS = 32
 
 
 def keyword_hits(df: DataFrame, id_col: str, text: str = "text", bank: dict = banks.KEYWORDS) -> DataFrame:
@@ -35,36 +37,35 @@ def keyword_hits(df: DataFrame, id_col: str, text: str = "text", bank: dict = ba
 def phrase_hits(df: DataFrame, bank: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """The same join with a bank table (phrase) of any size, such as learned phrases.
 
-    A small bank becomes a literal array. Beyond that, a text can contain a phrase only if it contains the phrase's
-    first three characters, so both sides meet in an equi-join on that trigram and `contains` decides.
+    A small bank becomes a literal array. Beyond that, a text contains a phrase only if it contains the phrase's first
+    characters (PREFIX_CHARS of them, or the whole phrase), so both sides meet in an equi-join on these and `contains`
+    decides. Common beginnings are salted: a text takes one salt, a phrase all of them.
     """
-    rows = bank.select("phrase").distinct().limit(LITERAL_BANK_ROWS + 1).collect()
+    phrases = bank.select("phrase").distinct()
+    rows = phrases.limit(LITERAL_BANK_ROWS + 1).collect()
     if len(rows) <= LITERAL_BANK_ROWS:
         return df.select(id_col, F.explode(phrases_in(F.col(text), [r.phrase for r in rows])).alias("phrase"))
-    texts = df.select(id_col, F.lower(F.col(text)).alias("_lower"))
-    size = F.length("_lower")
-    grams = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substring(F.col("_lower"), i, 3))
-    )
-    keyed = bank.select("phrase").distinct().withColumn("_gram", F.substring("phrase", 1, 3))
-    # Phrases shorter than a trigram meet the one- and two-character pieces of the text.
-    short = keyed.filter(F.length("phrase") < 3).select("phrase")
-    found = (
-        texts.withColumn("_gram", F.explode(grams))
-        .join(keyed.filter(F.length("phrase") >= 3), "_gram")
-        .filter(F.contains("_lower", F.col("phrase")))
-        .select(id_col, "phrase")
+    keyed = phrases.withColumn("_head", F.substring("phrase", 1, PREFIX_CHARS))
+    # At most PREFIX_CHARS different lengths.
+    lengths = [r.n for r in keyed.select(F.length("_head").alias("n")).distinct().collect() if r.n]
+
+    def pieces(low: Column) -> Column:
+        def cut(n: int) -> Column:
+            last = F.length(low) - n + 1
+            starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.substring(low, i, n))
+
+        return F.array_distinct(F.concat(*[cut(n) for n in sorted(lengths)]))
+
+    low = F.lower(F.col(text))
+    texts = df.select(
+        id_col, low.alias("_low"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("_salt"),
+        F.explode(bound(low, pieces)).alias("_head"),
     )
-    pieces = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-                lambda i: F.array(F.substring(F.col("_lower"), i, 1), F.substring(F.col("_lower"), i, 2)),
-            )
-        )
+    salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return (
+        texts.join(salted, ["_head", "_salt"]).filter(F.contains("_low", F.col("phrase"))).select(id_col, "phrase")
     )
-    tiny = texts.select(id_col, F.explode(pieces).alias("phrase")).join(short, "phrase").select(id_col, "phrase")
-    return found.unionByName(tiny)
 
 
 def new_phrases(learned: DataFrame, bank: dict = banks.KEYWORDS) -> DataFrame:

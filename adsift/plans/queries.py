@@ -141,7 +141,7 @@ def prj_normalise_sms(spark, sf_dir):
 @query
 def prj_stem_vocabulary(spark, sf_dir):
     rows = views.ads(spark, sf_dir).select("doc_id", tx.normalise_sms(F.col("text")).alias("text"))
-    return stemming.vocabulary_stems(rows)
+    return stemming.vocabulary_stems(rows).select("word", "stem")
 
 
 @query
@@ -347,7 +347,7 @@ def jn_learned_hits(spark, sf_dir):
 def jn_tfidf(spark, sf_dir):
     docs = views.texts(spark, sf_dir)
     terms = tx.tokens(F.col("text"))
-    freq = features.doc_freq(docs, terms)
+    freq = materialise(features.doc_freq(docs, terms), "doc-freq")
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
     joined = features.with_doc_freq(features.term_counts(docs, "doc_id", terms), freq, "doc_id")
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from adsift.functions import html, text as tx
 from adsift.functions.hashing import draw
-from adsift.operators import augment, bayes, corpus, features, learning, metrics, ranking, reports as rp
+from adsift.operators import augment, bayes, corpus, features, learning, lookup, metrics, ranking, reports as rp, stemming
 from adsift.session import scratch
 from adsift.sources import corpora, keyword_files, models, report_files
 
@@ -82,7 +82,7 @@ def test_tfidf_has_unit_length(spark):
 
 
 def test_doc_freq_join_past_the_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(features, "MAX_VOCABULARY", 1)
+    monkeypatch.setattr(lookup, "FREQUENT_ROWS", 1)
     df = spark.createDataFrame([(1, "aa bb"), (2, "aa cc"), (3, "aa")], "doc_id bigint, text string")
     terms = tx.tokens(F.col("text"))
     out = features.with_doc_freq(features.term_counts(df, "doc_id", terms), features.doc_freq(df, terms), "doc_id")
@@ -90,6 +90,13 @@ def test_doc_freq_join_past_the_broadcast(spark, monkeypatch):
     assert got == [(1, "aa", 3), (1, "bb", 1), (2, "aa", 3), (2, "cc", 1), (3, "aa", 3)]
 
 
+def test_stem_text_keeps_order(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "FREQUENT_ROWS", 1)
+    df = spark.createDataFrame([(1, "cats running cats hopping"), (2, ""), (3, "running ponies")], "id bigint, text string")
+    got = {r.id: r.text for r in stemming.stem_text(df, "id").collect()}
+    assert got == {1: "cat run cat hop", 2: "", 3: "run poni"}
+
+
 def test_naive_bayes_by_hand(spark):
     df = spark.createDataFrame([(1, "win win cash", 1), (2, "meet today", 0), (3, "cash today", 0)], "doc_id bigint, text string, label int")
     terms = tx.tokens(F.col("text"))

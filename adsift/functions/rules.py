@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import banks
-from .text import bound, phrases_in
+from .text import bound, literal, literal_rows, phrases_in
 
 
 def count_in(text: Column, phrases: list[str]) -> Column:
@@ -16,11 +16,8 @@ def count_in(text: Column, phrases: list[str]) -> Column:
 
 def keyword_map(text: Column, bank: dict[str, list[str]] = banks.KEYWORDS) -> Column:
     """Category -> matched phrases in bank order; categories without a hit are left out."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(cat).alias("key"), F.array(*[F.lit(k) for k in kws]).alias("value"))
-            for cat, kws in bank.items()
-        ]
+    entries = literal_rows(
+        [{"key": cat, "value": kws} for cat, kws in bank.items()], "array<struct<key:string,value:array<string>>>"
     )
 
     def matched(low: Column) -> Column:
@@ -55,8 +52,8 @@ def fraud_type(text: Column, profile: str = "service") -> Column:
     """The family with most distinct signals; earlier families win ties."""
     signals = dict(banks.SIGNALS[profile])
     none = signals.pop("none")
-    families = F.array(*[F.lit(family) for family in signals])
-    lists = F.array(*[F.array(*[F.lit(p) for p in phrases]) for phrases in signals.values()])
+    families = literal(list(signals))
+    lists = literal_rows(list(signals.values()), "array<array<string>>")
 
     def winner(counts: Column) -> Column:
         best = F.array_max(counts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,19 @@ from . import banks
 WORD = r"\p{L}\p{N}_"
 
 
+_SEPARATOR = "\u0001"
+
+
+def literal(items: list[str]) -> Column:
+    """A constant array<string>: one foldable expression instead of one node an entry."""
+    return F.split(F.lit(_SEPARATOR.join(items)), _SEPARATOR) if items else F.array().cast("array<string>")
+
+
+def literal_rows(rows: list, ddl: str) -> Column:
+    """A constant of any nested type, given as JSON values."""
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), ddl)
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
     return F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")
@@ -123,7 +138,7 @@ def phrases_in(text: Column, phrases: list[str]) -> Column:
 
     The bank is a literal array and the text is lowered once, so this needs no join and no shuffle.
     """
-    bank = F.array(*[F.lit(p) for p in phrases])
+    bank = literal(phrases)
     return bound(F.lower(text), lambda low: F.filter(bank, lambda p: F.contains(low, p)))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import banks
-from .text import strip
+from .text import literal, strip
 
 
 def with_scheme(url: Column) -> Column:
@@ -24,7 +24,7 @@ def net_location(full: Column) -> Column:
 
 def _first(entries: list[str], test) -> Column:
     """The first entry that passes, in list order, else null."""
-    return F.coalesce(*[F.when(test(e), F.lit(e)) for e in entries])
+    return F.get(F.filter(literal(entries), test), 0)
 
 
 def with_url_check(df, url: str = "url", profile: str = "service", prefix: str = "url_"):
@@ -42,11 +42,13 @@ def with_url_check(df, url: str = "url", profile: str = "service", prefix: str =
 
 def url_check(url: Column, full: Column, domain: Column, profile: str) -> tuple[Column, Column]:
     text, points = banks.URL_MESSAGES[profile], banks.URL_POINTS
-    tld = _first(banks.TLDS, domain.endswith)
-    host = _first(banks.HOSTS[profile], domain.contains)
+    tld = _first(banks.TLDS, lambda t: domain.endswith(t))
+    host = _first(banks.HOSTS[profile], lambda h: domain.contains(h))
     brand = _first(
         banks.BRANDS[profile],
-        lambda b: domain.contains(b) & ~domain.contains(f"{b}.com") & ~domain.contains(f"{b}.co.in"),
+        lambda b: domain.contains(b)
+        & ~domain.contains(F.concat(b, F.lit(".com")))
+        & ~domain.contains(F.concat(b, F.lit(".co.in"))),
     )
     dots = F.length(domain) - F.length(F.replace(domain, F.lit("."), F.lit("")))
     hits = {
@@ -58,7 +60,7 @@ def url_check(url: Column, full: Column, domain: Column, profile: str) -> tuple[
         "dots": F.when(dots >= 3, F.lit("")),
     }
     if profile == "ui":
-        hits["word"] = _first(banks.URL_WORDS, F.lower(full).contains)
+        hits["word"] = _first(banks.URL_WORDS, lambda w: F.lower(full).contains(w))
         hits["long"] = F.when(F.length(full) > 100, F.lit(""))
         hits["digits"] = F.when(domain.rlike(r"\d{4,}"), F.lit(""))
 

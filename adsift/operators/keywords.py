@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import banks
-from ..functions.text import bound, phrases_in
+from ..functions.text import bound, literal_rows, phrases_in
 
 # A bank up to this size is used as a literal array; a larger one is joined on the beginnings of its phrases.
 LITERAL_BANK_ROWS = 2000
@@ -19,16 +19,12 @@ def keyword_hits(df: DataFrame, id_col: str, text: str = "text", bank: dict = ba
 
     The bank is part of the expression, so the join needs neither a broadcast nor a shuffle.
     """
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(category).alias("category"),
-                F.lit(cat_ord).alias("cat_ord"),
-                F.lit(phrase).alias("phrase"),
-                F.lit(kw_ord).alias("kw_ord"),
-            )
+    rows = literal_rows(
+        [
+            {"category": category, "cat_ord": cat_ord, "phrase": phrase, "kw_ord": kw_ord}
             for _, category, cat_ord, phrase, kw_ord in banks.bank_rows(bank)
-        ]
+        ],
+        "array<struct<category:string,cat_ord:int,phrase:string,kw_ord:int>>",
     )
     hits = bound(F.lower(F.col(text)), lambda low: F.filter(rows, lambda r: F.contains(low, r["phrase"])))
     return df.select(id_col, F.explode(hits).alias("h")).select(id_col, "h.*")

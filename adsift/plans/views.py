@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import banks, rules
+from ..functions.text import literal
 from ..session import prepare, spread
 
 URL_CASES = [
@@ -28,8 +29,7 @@ def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def _phrase(index):
-    phrases = banks.phrase_list()
-    return F.get(F.array(*[F.lit(p) for p in phrases]), index)
+    return F.get(literal(banks.phrase_list()), index)
 
 
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "url",
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("reporter_name"),
         F.least(F.floor("value"), F.lit(100)).cast("int").alias("risk_score"),
-        F.get(F.array(*[F.lit(k) for k in kinds]), e % 4).alias("fraud_category"),
+        F.get(literal(kinds), e % 4).alias("fraud_category"),
         F.when(F.col("event_type") == "error", "REVIEWED").otherwise("FILED").alias("status"),
         evidence.alias("evidence_text"),
         F.lit("seen in a forwarded message").alias("comment"),

@@ -26,9 +26,20 @@ def literal_rows(rows: list, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), ddl)
 
 
+# White space that stripping removes: ASCII, the separators U+001C..U+001F and U+0085, and the Unicode Z classes.
+SPACES = (
+    "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def not_blank(text: Column) -> Column:
+    """The text holds something besides white space; stops at the first such character."""
+    return text.rlike(r"[^\s\x0b\x1c-\x1f\x85\p{Z}]")
 
 
 def join_text(*cols: str) -> Column:

@@ -25,6 +25,7 @@ from ..session import scratch
 
 HOT_ROWS = 1_000_000
 BROADCAST_ROWS = 1_000_000
+CELL_FILES = 16
 
 _KEY, _TS, _SEED = "_key", "_ts", "_seed"
 
@@ -112,7 +113,9 @@ def _replay_hot(df: DataFrame, past: DataFrame | None, uid: str, span: int, limi
     base = scratch(spark, "greedy")
     hits, kept = f"{base}/hits", f"{base}/accepted"
     narrow = df.select(_KEY, _TS, uid).withColumn("cell", cell)
-    narrow.write.partitionBy("cell").parquet(hits)
+    # A few files a cell, however many tasks the input has and however full the cell is.
+    placed = narrow.repartition("cell", F.pmod(F.xxhash64(uid), F.lit(CELL_FILES)))
+    placed.write.partitionBy("cell").parquet(hits)
     schema = narrow.drop("cell").schema
     if past is not None:
         # Seeds enter as rows accepted in their own cell.

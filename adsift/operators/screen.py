@@ -10,7 +10,7 @@ from ..functions import banks, rules, text as tx, urls
 
 def text_bounds(df: DataFrame, text: str = "text", low: int = 5, high: int = 10_000) -> DataFrame:
     """Texts whose length before stripping is within bounds and that are not blank."""
-    return df.filter(F.length(text).between(low, high) & (tx.strip(F.col(text)) != ""))
+    return df.filter(F.length(text).between(low, high) & tx.not_blank(F.col(text)))
 
 
 def page_gate(df: DataFrame, text: str = "text", forced: Column | bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 
 STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in banks.STOP_WORDS)
 W = r"\p{L}\p{N}_"
-TRIM = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
+TRIM = r"'^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g'"
 
 
 def q(text: str) -> str:

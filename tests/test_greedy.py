@@ -40,7 +40,7 @@ def replay(rows, window, limit):
 
 @pytest.mark.parametrize("limit,hot_rows,partitions", [(1, 10**6, 1), (1, 50, 4), (3, 10**6, 8), (3, 50, 4), (7, 50, 4)])
 def test_accept_equals_replay(spark, limit, hot_rows, partitions):
-    rows = make(600, 6, 10, limit)
+    rows = make(500, 6, 5, limit)
     df = spark.createDataFrame(rows, SCHEMA).repartition(partitions)
     got = greedy.accept(df, "k", "ts", "uid", 3600, limit, hot_rows)
     assert {r.uid: (r.accepted, r.origin) for r in got.collect()} == replay(rows, 3600, limit)
@@ -70,10 +70,10 @@ def test_dedup_is_idempotent(spark):
 
 @pytest.mark.parametrize("hot_rows", [10**6, 40])
 def test_stream_continues_across_batches(spark, hot_rows):
-    rows = sorted(make(500, 5, 8, 4), key=lambda r: (r[2], r[0]))
+    rows = sorted(make(400, 5, 4, 4), key=lambda r: (r[2], r[0]))
     path, out = scratch(spark, "in"), scratch(spark, "out")
     checkpoint = scratch(spark, "checkpoint")
-    for part in (rows[:150], rows[150:320], rows[320:]):
+    for part in (rows[:200], rows[200:]):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
         stream = runs.read_stream(spark, path)
         got = sr.accepted_reports(

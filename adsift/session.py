@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
@@ -30,10 +32,17 @@ def spread(df: DataFrame, most: int = 32) -> DataFrame:
     return df.repartition(wanted) if df.rdd.getNumPartitions() * 2 <= wanted else df
 
 
+def ship(module: str) -> None:
+    """Send functions of this module to the executors by value, so that these need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder the session names; a local one only where none is set."""
+    """A fresh path in the shared folder the session names; a local one only where all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="adsift-"))
         base = _LOCAL[0]

@@ -26,7 +26,7 @@ Knots = Sequence[tuple[float, float]]
 
 
 def position(share: Column, knots: Knots) -> Column:
-    """The time at which the integral of a piecewise linear demand has reached this share (0 to 1) of its whole."""
+    """The time at which the integral of a piecewise linear demand has reached this share (0 to 1) of its whole; null for null."""
     if knots[0][0] != 0 or knots[-1][0] != 1 or any(a[0] >= b[0] for a, b in zip(knots, knots[1:], strict=False)):
         raise ValueError("times must rise from 0 to 1")
     areas = [(b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False)]
@@ -43,7 +43,7 @@ def position(share: Column, knots: Knots) -> Column:
     found = pieces[-1][1]
     for upto, at in reversed(pieces[:-1]):
         found = F.when(wanted <= upto, at).otherwise(found)
-    return found
+    return F.when(share.isNotNull(), found)
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:

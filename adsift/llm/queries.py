@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adsift.llm import bpe, exact_dedup, mixing, sharding, simhash, topk
+from adsift.llm import bpe, exact_dedup, mixing, pii, sharding, simhash, topk
 from adsift.session import prepare
 
 
@@ -25,6 +25,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.digests(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -42,6 +46,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
     "op6_topk": op6_topk,
+    "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,

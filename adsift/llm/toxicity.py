@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples.
 
-Texts become TF-IDF vectors over the words that all labelled texts show to go with the label. Labelled examples lie in an
-inverted index whose postings are cut into blocks; the largest weight of each block bounds what its examples can score, so
-blocks that cannot reach the k-th best similarity are not opened and the neighbours are still the exact ones. Neighbours
-vote with the square of their cosine, each class weighed by the share of its texts that the examples hold.
+Texts become TF-IDF vectors over those words and parts of words that go with the label in the labelled texts; frequency
+counts in levels, each a term of its own (once, twice, four times or more). Labelled examples lie in an inverted index whose
+postings are cut into blocks; the largest weight of each block bounds what its examples can score, so blocks that cannot
+reach the k-th best similarity are not opened and the neighbours are still the exact ones. Neighbours vote with the square
+of their cosine, each class weighed by the share of its texts that the examples hold.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from adsift.session import materialise, ship
 ship(__name__)
 
 WORD = re.compile(r"[^\W\d_]+")
-# The model's bounds: words in the vectors, labelled examples of each class, and neighbours that vote.
+GRAM = 4  # letters in a part of a word; a word's beginning counts as one
+# The model's bounds: terms in the vectors, labelled examples of each class, and neighbours that vote.
 TERMS, EXAMPLES, NEIGHBOURS = 512, 2_048, 25
-LEAST_DOCS = 3  # labelled texts that must hold a word
+LEVELS = (1, 2, 4)
+LEAST_DOCS = 3  # labelled texts that must hold a term
+FLUSH = 300_000  # terms counted in a task before they are sent on
 BLOCK = 64
 PRIOR_VOTES = 0.5
 REMEMBERED = 200_000
@@ -35,11 +39,11 @@ FOLDS, HELD_OUT = 5, 0
 
 @dataclass
 class Model:
-    """idf by word number, vectors of the examples, their labels and identifiers, and the votes' weights by label."""
+    """Terms and their idf, the examples, the share of each label's texts that they are, and that of label 1 in all."""
 
-    words: dict[str, int] = field(default_factory=dict)
+    terms: dict[str, int] = field(default_factory=dict)
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    examples: list[tuple] = field(default_factory=list)  # (identifier, label, word numbers, counts)
+    examples: list[tuple] = field(default_factory=list)  # (identifier, label, term numbers)
     rates: tuple[float, float] = (1.0, 1.0)
     prior: float = 0.0
 
@@ -55,84 +59,135 @@ def _learnable(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return rows.groupBy(F.col(id_col).alias("id")).agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("label"))
 
 
-def _word_sets(docs: DataFrame) -> DataFrame:
+def _word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [list(set(WORD.findall((t or "").lower()))) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.string()))], names=["id", "words"])
+                counted = [Counter(WORD.findall((t or "").lower())) for t in part.column("text").to_pylist()]
+                words, counts = [list(c) for c in counted], [list(c.values()) for c in counted]
+                lists = [pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *lists], names=["id", "words", "counts"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, words array<string>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, words array<string>, counts array<int>")
 
 
-def _telling_words(docs: DataFrame, labels: DataFrame) -> list[str]:
-    """The words that go most clearly with the label, by chi-square over all labelled texts; at most TERMS.
+def _terms(word: str) -> list[str]:
+    """A word's terms: itself, and its parts with their marked beginning (a part of the same letters is another term)."""
+    marked = "^" + word
+    return [word, *("-" + marked[at : at + GRAM] for at in range(len(marked) - GRAM + 1))]
 
-    A word must pass the level that one word in as many as there are would reach by chance.
+
+def _telling_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
+    """The terms that go most clearly with the label, by chi-square over all labelled texts; at most TERMS.
+
+    A term must pass the level that one of as many terms would reach by chance.
     """
     known = docs.where(~held_out(F.col("id"))).where(F.col("id").isNotNull())
-    counted = _word_sets(known).join(labels, "id").select("label", F.explode("words").alias("word"))
-    words = counted.groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("a")).where(F.col("n") >= LEAST_DOCS)
-    words = materialise(words, "label_words")
+    labelled = _word_counts(known).join(labels, "id").select("label", "words", "counts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, ones = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            names = list(both)
+            out = [pa.array(names, pa.string()), pa.array([both[t] for t in names], pa.int64()), pa.array([ones[t] for t in names], pa.int64())]
+            both.clear(), ones.clear()
+            return pa.RecordBatch.from_arrays(out, names=["term", "n", "a"])
+
+        for batch in batches:
+            for label, words, counts in zip(*(batch.column(c).to_pylist() for c in ("label", "words", "counts")), strict=True):
+                times: Counter = Counter()
+                for word, count in zip(words, counts, strict=True):
+                    for term in _terms(word):
+                        times[term] += count
+                held = [f"{term}#{level}" for term, n in times.items() for level in LEVELS if n >= level]
+                both.update(held)
+                if label:
+                    ones.update(held)
+                if len(both) > FLUSH:
+                    yield counted()
+        yield counted()
+
+    counts = labelled.mapInArrow(run, "term string, n long, a long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    counts = materialise(counts.where(F.col("n") >= LEAST_DOCS), "label_terms")
     totals = known.select("id").join(labels, "id").agg(F.count("*").alias("n"), F.sum("label").alias("a")).first()
     if not totals.n or not totals.a or totals.a == totals.n:
         return []
     n, a = float(totals.n), float(totals.a)
     hit, has = F.col("a").cast("double"), F.col("n").cast("double")
     square = (hit * n - has * a) ** 2 * n / (has * (n - has) * a * (n - a))
-    least = 2 * math.log(max(2, words.count())) + 3
-    found = words.where(F.col("n") < totals.n).withColumn("x", square).where(F.col("x") >= least)
-    return [r.word for r in found.orderBy(F.desc("x"), "word").limit(TERMS).collect()]
-
-
-def _counts(text: str | None, words: dict[str, int]) -> Counter:
-    return Counter(n for w in WORD.findall((text or "").lower()) if (n := words.get(w)) is not None)
-
-
-def _vectors(docs: DataFrame, words: list[str]) -> DataFrame:
-    """The columns of docs, without text, with the numbers and counts of the model's words in it."""
-    number = {w: n for n, w in enumerate(words)}
+    least = 2 * math.log(max(2, counts.count())) + 3
+    found = counts.where(F.col("n") < totals.n).withColumn("x", square).where(F.col("x") >= least)
+    return [r.term for r in found.orderBy(F.desc("x"), "term").limit(TERMS).collect()]
+
+
+class _Reader:
+    """Numbers of the model's terms in a text; what a word holds of them is looked up once."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.memory: dict[str, tuple] = {}
+        self.levels: dict[str, list[tuple[int, int]]] = {}
+        for term, number in terms.items():
+            base, _, level = term.rpartition("#")
+            self.levels.setdefault(base, []).append((int(level), number))
+
+    def __call__(self, text: str | None) -> list[int]:
+        times: Counter = Counter()
+        for word in WORD.findall((text or "").lower()):
+            held = self.memory.get(word)
+            if held is None:
+                if len(self.memory) >= REMEMBERED:
+                    self.memory.clear()
+                held = self.memory[word] = tuple(t for t in _terms(word) if t in self.levels)
+            if held:
+                times.update(held)
+        return sorted(number for term, n in times.items() for level, number in self.levels[term] if n >= level)
+
+
+def _vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """The columns of docs, without text, with the numbers of the model's terms in it."""
+    number = {t: n for n, t in enumerate(terms)}
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _Reader(number)
         for batch in batches:
-            found = [sorted(_counts(t.as_py(), number).items()) for t in batch.column("text")]
-            lists = [pa.array([[x[k] for x in f] for f in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *lists], names=[*names, "terms", "counts"])
+            found = pa.array([read(t.as_py()) for t in batch.column("text")], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), found], names=[*names, "terms"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.mapInArrow(run, f"{kinds}, terms array<int>, counts array<int>")
+    return docs.mapInArrow(run, f"{kinds}, terms array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, DataFrame]:
-    """The model, and the stored vectors (id, terms, counts) of all rows of docs.
+    """The model, and the stored vectors (id, terms) of all rows of docs.
 
-    Word choice and class shares come from all labelled rows outside the held-out fold, word weights from all of docs.
-    The examples are those EXAMPLES rows of each class with a telling word that come first by a hash of their identifier.
+    Terms and class shares come from all labelled rows outside the held-out fold, term weights from all of docs. The
+    examples are those EXAMPLES rows of each class with a telling term that come first by a hash of their identifier.
     """
     known = _learnable(labels, id_col, label_col)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = _telling_words(texts, known)
-    vectors = materialise(_vectors(texts, words), "label_vectors")
-    if not words:
+    terms = _telling_terms(texts, known)
+    vectors = materialise(_vectors(texts, terms), "label_vectors")
+    if not terms:
         return Model(), vectors
     total = vectors.count()
-    df = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*")).collect())  # one row a word
-    idf = np.array([math.log((1 + total) / (1 + df.get(n, 0))) + 1 for n in range(len(words))])
+    df = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*")).collect())  # one row a term
+    idf = np.array([math.log((1 + total) / (1 + df.get(n, 0))) + 1 for n in range(len(terms))])
     learned = materialise(vectors.where(~held_out(F.col("id"))).join(known, "id"), "labelled")
     telling = learned.where(F.size("terms") > 0)
     sums = {r.label: (r.n, r.t) for r in learned.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.size("terms") > 0).cast("int")).alias("t")).collect()}
     examples: list[tuple] = []
     rates = []
     for label in (0, 1):
-        first = telling.where(F.col("label") == label).orderBy(F.xxhash64(F.col("id").cast("string")), "id", "terms", "counts").limit(EXAMPLES)
-        held = [(r.id, label, r.terms, r.counts) for r in first.collect()]
+        first = telling.where(F.col("label") == label).orderBy(F.xxhash64(F.col("id").cast("string")), "id", "terms").limit(EXAMPLES)
+        held = [(r.id, label, r.terms) for r in first.collect()]
         examples += held
         rates.append(len(held) / max(1, sums.get(label, (0, 0))[1]) or 1.0)
     everything = sum(n for n, _ in sums.values())
     prior = sums.get(1, (0, 0))[0] / max(1, everything)
-    return Model({w: n for n, w in enumerate(words)}, idf, examples, (rates[0], rates[1]), prior), vectors
+    return Model({t: n for n, t in enumerate(terms)}, idf, examples, (rates[0], rates[1]), prior), vectors
 
 
 class _Index:
@@ -142,9 +197,9 @@ class _Index:
         self.model = model
         postings: dict[int, list[tuple[int, float]]] = {}
         # Examples with the same leading word stand together, so that blocks differ in what they can score.
-        self.examples = sorted(model.examples, key=lambda e: (e[1], max(zip(e[2], e[3], strict=True), key=lambda x: model.idf[x[0]])[0], str(e[0])))
-        for at, (_, _, terms, counts) in enumerate(self.examples):
-            for term, weight in self._weights(terms, counts):
+        self.examples = sorted(model.examples, key=lambda e: (e[1], max(e[2], key=lambda t: model.idf[t]), str(e[0])))
+        for at, (_, _, terms) in enumerate(self.examples):
+            for term, weight in self._weights(terms):
                 postings.setdefault(term, []).append((at, weight))
         self.blocks = -(-len(self.examples) // BLOCK)
         self.postings, self.starts, self.largest = {}, {}, {}
@@ -158,14 +213,14 @@ class _Index:
         self.labels = np.array([e[1] for e in self.examples])
         self.memory: dict[tuple, tuple[float, list]] = {}
 
-    def _weights(self, terms: list[int], counts: list[int]) -> list[tuple[int, float]]:
-        raw = [(t, (1 + math.log(c)) * self.model.idf[t]) for t, c in zip(terms, counts, strict=True)]
+    def _weights(self, terms: list[int]) -> list[tuple[int, float]]:
+        raw = [(t, self.model.idf[t]) for t in terms]
         length = math.sqrt(sum(w * w for _, w in raw)) or 1.0
         return [(t, w / length) for t, w in raw]
 
-    def nearest(self, terms: list[int], counts: list[int]) -> list[tuple[float, int]]:
+    def nearest(self, terms: list[int]) -> list[tuple[float, int]]:
         """(cosine, example) of the NEIGHBOURS nearest; of equal ones those that stand first."""
-        query = [(t, w) for t, w in self._weights(terms, counts) if t in self.postings]
+        query = [(t, w) for t, w in self._weights(terms) if t in self.postings]
         if not query:
             return []
         bounds = sum(w * self.largest[t] for t, w in query)
@@ -182,13 +237,13 @@ class _Index:
             best = sorted(best + [(-round(float(scores[h]), 12), int(block * BLOCK + h)) for h in hits])[:NEIGHBOURS]
         return [(-s, e) for s, e in best]
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list]:
+    def score(self, terms: list[int]) -> tuple[float, list]:
         """The share of toxic votes, and the identifiers of the three nearest examples."""
-        key = (*terms, -1, *counts)
+        key = tuple(terms)
         if key not in self.memory:
             if len(self.memory) >= REMEMBERED:
                 self.memory.clear()
-            near = self.nearest(terms, counts)
+            near = self.nearest(terms)
             votes = [PRIOR_VOTES * (1 - self.model.prior), PRIOR_VOTES * self.model.prior]
             for cosine, example in near:
                 label = int(self.labels[example])
@@ -200,15 +255,15 @@ class _Index:
 def _scored(vectors: DataFrame, model: Model) -> DataFrame:
     """vectors with score and evidence."""
     sent = vectors.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in vectors.columns if c not in ("terms", "counts")]
+    kept = [c for c in vectors.columns if c != "terms"]
     kind = vectors.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(sent.value)
         for batch in batches:
-            pairs = zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True)
-            found = [index.score(t, c) for t, c in pairs]
-            scores, evidence = pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(batch.column("id").type))
+            found = [index.score(t) for t in batch.column("terms").to_pylist()]
+            scores = pa.array([f[0] for f in found], pa.float64())
+            evidence = pa.array([f[1] for f in found], pa.list_(batch.column("id").type))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), scores, evidence], names=[*kept, "score", "evidence"])
 
     kinds = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in kept)
@@ -218,7 +273,7 @@ def _scored(vectors: DataFrame, model: Model) -> DataFrame:
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1), predicted (score >= 0.5), evidence (nearest examples).
 
-    Only the text decides. Texts without a telling word (null and empty ones too) get the share of toxic texts among the
+    Only the text decides. Texts without a telling term (null and empty ones too) get the share of toxic texts among the
     labelled ones; so does every text where nothing could be learned (0 without labels). Repeated rows get equal scores.
     """
     model, vectors = fit(docs, labels, id_col, text_col, label_col)
@@ -230,14 +285,12 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of docs that are not predicted to be toxic, with all their columns."""
     model, _ = fit(docs, labels, id_col, text_col, label_col)
-    sent, words = docs.sparkSession.sparkContext.broadcast(model), list(model.words)
-    number = {w: n for n, w in enumerate(words)}
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(sent.value)
+        index, read = _Index(sent.value), _Reader(sent.value.terms)
         for batch in batches:
-            found = [sorted(_counts(t.as_py(), number).items()) for t in batch.column(text_col)]
-            clean = [index.score([x[0] for x in f], [x[1] for x in f])[0] < 0.5 for f in found]
+            clean = [index.score(read(t.as_py()))[0] < 0.5 for t in batch.column(text_col)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

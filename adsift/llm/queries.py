@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adsift.llm import bpe, exact_dedup, mixing, pii, sharding, simhash, topk, toxicity
+from adsift.llm import bpe, context_mixing, exact_dedup, mixing, pii, sharding, simhash, topk, toxicity
 from adsift.session import prepare
 
 
@@ -25,6 +25,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op5_context_mixing": op5_context_mixing,
     "op6_topk": op6_topk,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,

@@ -169,3 +169,10 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
+    """docs with ids, n_tokens and round_trip: whether decoding the ids gives back the text's bytes (null: empty)."""
+    both = decode(encode(docs, ranks, pattern, text_col), ranks)
+    same = F.col("decoded") == F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return both.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same).drop("decoded")

@@ -2,7 +2,7 @@
 
 The model is serialised field by field: every token is written with one printable character a byte and scored by its
 negative rank, so the piece processor merges in rank order; normalisation is the identity. Texts are cut into pre-tokens
-by the public pattern and each distinct pre-token is encoded once a task. Decoding maps ids back to bytes.
+by the public pattern and each distinct stretch between spaces is encoded once a task. Decoding maps ids back to bytes.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from adsift.session import ship
@@ -26,7 +25,9 @@ ship(__name__)
 # Fixed values of the piece model's format.
 NORMAL, UNKNOWN, BPE_MODEL = 1, 2, 2
 # Distinct pre-tokens remembered in a task; beyond that the memory starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+# Bytes of a column worked on at once.
+SLICE = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -75,7 +76,7 @@ def piece_model(ranks: dict[bytes, int]) -> bytes:
 
 @lru_cache(maxsize=2)
 def _encoder(model: bytes, tokens: tuple[bytes, ...], ids: tuple[int, ...]):
-    """A function from a list of pre-tokens to their ids, one array each."""
+    """A function from a list of pre-tokens to their ids, as the bytes of an int32 array each."""
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -83,86 +84,114 @@ def _encoder(model: bytes, tokens: tuple[bytes, ...], ids: tuple[int, ...]):
     characters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
     by_piece = np.array([-1, *sorted(ids)], dtype=np.int32)
 
-    def encode(pieces: list[str]) -> list[np.ndarray]:
+    def encode(pieces: list[str]) -> list[bytes]:
         raw = [p.encode("utf-8", "replace") for p in pieces]
         mapped = [r.decode("latin-1").translate(characters) for r in raw]
-        out = [by_piece[np.asarray(x, dtype=np.int64)] for x in processor.encode(mapped, out_type=int, num_threads=1)]
+        out = [by_piece[x].tobytes() for x in processor.encode(mapped, out_type=int, num_threads=1)]
         # A pre-token that is itself a token is that token, whatever the merges say.
-        return [np.array([known[r]], dtype=np.int32) if r in known else x for r, x in zip(raw, out, strict=True)]
+        return [np.int32(known[r]).tobytes() if r in known else x for r, x in zip(raw, out, strict=True)]
 
     return encode
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def _text_encoder(model: bytes, tokens: tuple[bytes, ...], ids: tuple[int, ...], pattern: str):
+    """A function from a text to the bytes of its ids.
+
+    In the pattern a space before anything but white space always begins a pre-token, so a text without other spaces may be
+    cut at them first; what lies between two is cut and encoded once and remembered.
+    """
+    import regex
+
+    encoder, cut, other = _encoder(model, tokens, ids), regex.compile(pattern), regex.compile(r" (?:\s|\Z)")
+    memory: dict[str, bytes] = {}
+
+    def whole(stretches: list[str]) -> list[bytes]:
+        cuts = [cut.findall(x) for x in stretches]
+        flat = iter(encoder([p for c in cuts for p in c]))
+        return [b"".join([next(flat) for _ in c]) for c in cuts]
+
+    def encode_text(text: str) -> bytes:
+        if other.search(text):
+            return whole([text])[0]
+        first, *rest = text.split(" ")
+        if new := set(rest).difference(memory):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+                new = set(rest)
+            memory.update(zip(new, whole([" " + x for x in new]), strict=True))
+        return whole([first])[0] + b"".join(map(memory.__getitem__, rest))
+
+    return encode_text
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
     """docs with the token ids of each whole text (array of int; null and empty texts have none).
 
     The pattern cuts the text into pre-tokens, none of which is dropped; special tokens are ordinary text. The vocabulary
-    is a public file of bounded size and travels with the tasks. Other columns stay, save one named like ids_col.
+    is a public file of bounded size and travels with the tasks. Other columns stay, save one named like ids_col
+    and, without keep_text, the text.
     """
     order = sorted(ranks.items(), key=lambda x: x[1])
     shared = docs.sparkSession.sparkContext.broadcast(
         (piece_model(ranks), tuple(t for t, _ in order), tuple(r for _, r in order), pattern)
     )
     kept = docs.drop(ids_col)
-    schema = StructType([*kept.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
-    arrow = to_arrow_schema(schema)
+    names = [c for c in kept.columns if keep_text or c != text_col]
+    schema = StructType([*(kept.schema[c] for c in names), StructField(ids_col, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        encoder, cut = _encoder(*shared.value[:3]), regex.compile(shared.value[3])
-        memory: dict[str, np.ndarray] = {}
+        encode_text = _text_encoder(*shared.value)
         for batch in batches:
             for part in _pieces(batch, text_col):
-                cuts = [cut.findall(text or "") for text in part.column(text_col).to_pylist()]
-                if len(memory) > REMEMBERED:
-                    memory.clear()
-                if new := list({p for c in cuts for p in c if p not in memory}):
-                    memory.update(zip(new, encoder(new), strict=True))
-                found = [np.concatenate([memory[p] for p in c]) if c else np.empty(0, np.int32) for c in cuts]
-                offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                flat = np.concatenate(found) if found else np.empty(0, np.int32)
+                found = [encode_text(text or "") for text in part.column(text_col).to_pylist()]
+                offsets = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int32)
+                flat = np.frombuffer(b"".join(found), dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], schema=_named(arrow, part.schema, ids.type))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], names=[*names, ids_col])
 
     return kept.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """docs with the bytes that the ids stand for (null ids: no bytes); an unknown id is an error."""
-    shared = docs.sparkSession.sparkContext.broadcast({r: t for t, r in ranks.items()})
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    shared = docs.sparkSession.sparkContext.broadcast(tokens)
     kept = docs.drop(bytes_col)
     schema = StructType([*kept.schema.fields, StructField(bytes_col, BinaryType())])
-    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
+        lengths = np.array([len(t) for t in shared.value])
+        starts, every = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(shared.value), dtype=np.uint8)
         for batch in batches:
             for part in _pieces(batch, ids_col):
-                ids = part.column(ids_col)
-                made = pa.array([b"".join(map(token, ids[k].as_py() or ())) for k in range(part.num_rows)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, made], schema=_named(arrow, part.schema, made.type))
+                lists = part.column(ids_col)
+                ids = np.asarray(lists.flatten()).astype(np.int64)
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or not lengths[ids].all()):
+                    raise ValueError("an id without a token")
+                size = lengths[ids]
+                ends = np.cumsum(size)
+                raw = every[np.repeat(starts[ids] - ends + size, size) + np.arange(size.sum())]
+                per_row = np.cumsum([0, *(x or 0 for x in lists.value_lengths().to_pylist())])
+                offsets = np.concatenate([[0], ends])[per_row].astype(np.int32)
+                made = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, bytes_col])
 
     return kept.mapInArrow(run, schema)
 
 
-def _pieces(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _pieces(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with a bounded number of bytes in a column (or one row)."""
     rows = max(1, int(batch.num_rows * most / max(1, batch.column(column).nbytes)))
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
 
-def _named(arrow: pa.Schema, have: pa.Schema, last: pa.DataType) -> pa.Schema:
-    """The schema of the columns as they came, with the new one as Spark names it."""
-    return pa.schema([*have, pa.field(arrow[-1].name, last)])
-
-
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = encode(texts, ranks, pattern).drop("text")
-    both = decode(ids, ranks)
+    both = decode(encode(texts, ranks, pattern, keep_text=False), ranks)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

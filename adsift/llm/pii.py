@@ -94,9 +94,11 @@ def _near(text: Column) -> Column:
     """
     pattern = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
     found, gaps = _matches(text, pattern), F.split(text, pattern, -1)
+    behind = F.slice(gaps, F.lit(2), F.size(gaps))
+    sides = F.zip_with(gaps, behind, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
 
-    def around(x: Column, k: Column) -> Column:
-        left, right = F.element_at(gaps, k + 1), F.element_at(gaps, k + 2)
+    def around(x: Column, side: Column) -> Column:
+        left, right = side["left"], side["right"]
         before, after = F.right(left, F.lit(REACH)), F.left(right, F.lit(REACH))
         whole_left = lambda w: (F.length(left) <= REACH) | (w["start"] > 0)
         whole_right = lambda w: (F.length(right) <= REACH) | (w["end"] < REACH)
@@ -111,7 +113,7 @@ def _near(text: Column) -> Column:
         x["entity"].contains("@") | (x["entity"].rlike(r"^[0-9.]+$") & _valid("ip", x["entity"]) & x["entity"].contains("."))
         | (x["entity"].rlike(r"^[0-9 -]+$") & _valid("card", x["entity"])) | (x["entity"].startswith("+") & _valid("phone", x["entity"]))
     )
-    return F.filter(F.transform(found, around), valid)
+    return F.filter(F.zip_with(found, F.slice(sides, F.lit(1), F.size(found)), around), valid)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -134,12 +136,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     # Distinct first: of a hot entity's copies one row a context is left, and rows of a pair are summed where they lie.
     shown = words.select("term", "entity", "context").distinct().groupBy("term", "entity").agg(F.count("*").alias("contexts"))
     pairs = materialise(shown.where(F.col("contexts") >= least), "pairs")
-    wanted = pairs.select("term").distinct()
     together = words.join(pairs, ["term", "entity"], "left_semi").select("term", "entity", "key").distinct()
     together = together.groupBy("term", "entity").agg(F.count("*").alias("both"))
     of_entity = held.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))).alias("term"))
-    of_term = every.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    of_term = every.groupBy("term").agg(F.count("*").alias("n_term"))
     total = rows.count()
     scored = together.join(of_entity, "entity").join(of_term, "term")
     share = F.log2(F.lit(float(total)) * F.col("both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(float(total)) / F.col("n_entity"))

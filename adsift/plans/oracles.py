@@ -627,7 +627,11 @@ add(
     f"SELECT {STATS}, count(*) FILTER (CAST(received_at AS DATE) = DATE '{AS_OF}') AS filed_today, {AVG} FROM reports",
     "reports",
 )
-add("st_report_stats", f"SELECT {STATS}, {AVG} FROM reports", "reports")
+add(
+    "st_report_stats",
+    f"SELECT {STATS}, count(*) FILTER (CAST(received_at AS DATE) = DATE '{AS_OF}') AS filed_today, {AVG} FROM reports",
+    "reports",
+)
 add("agg_reports_by_category", "SELECT fraud_category, count(*) AS n FROM reports GROUP BY fraud_category", "reports")
 add("agg_label_counts", "SELECT label, count(*) AS n FROM labelled GROUP BY label", "labelled")
 add(

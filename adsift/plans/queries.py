@@ -82,7 +82,7 @@ def snk_reports_jsonl(spark, sf_dir):
 @query
 def snk_reports_table(spark, sf_dir):
     stream = _report_stream(spark, sf_dir)
-    table = sr.filed_reports(stream, "filed")
+    table = sr.filed_reports(stream, "filed", delay=STREAM_DELAY)
     return table.select("event_id", "url_hash", "risk_score", "status", "evidence_text", "filed_on")
 
 
@@ -659,11 +659,19 @@ def snk_model(spark, sf_dir):
 # --- streaming ---------------------------------------------------------------------------------------------------
 
 
+# Files come one a trigger and in no order of time; the delay covers the table, so no row is late.
+STREAM_FILES, STREAM_DELAY = 3, 60 * 24 * 3600.0
+
+
+def _arriving(spark, df, uid):
+    """A table as an arriving stream: written to the shared folder in shuffled files and read file by file."""
+    path = scratch(prepare(spark), "stream-in")
+    df.repartition(STREAM_FILES, F.xxhash64(uid)).write.parquet(path)
+    return runs.read_stream(spark, path, files_per_trigger=1)
+
+
 def _report_stream(spark, sf_dir):
-    """views.reports as an arriving stream: the table is written to the shared folder and read as it lands."""
-    path = scratch(prepare(spark), "reports-in")
-    views.reports(spark, sf_dir).write.parquet(path)
-    return runs.read_stream(spark, path)
+    return _arriving(spark, views.reports(spark, sf_dir), "event_id")
 
 
 def _ad_stream(spark, sf_dir):
@@ -696,7 +704,7 @@ def st_dedup_reports_stream(spark, sf_dir):
     from ..functions.hashing import url_key
 
     stream = _report_stream(spark, sf_dir).withColumn("url_hash", url_key("url"))
-    rows = sr.accepted_reports(stream, "dedup", "url_hash", "received_at", "event_id", 24 * 3600, 1)
+    rows = sr.accepted_reports(stream, "dedup", "url_hash", "received_at", "event_id", 24 * 3600, 1, delay=STREAM_DELAY)
     return rows.select("event_id", "url_hash", "accepted", "origin")
 
 
@@ -709,29 +717,20 @@ def st_rate_limit(spark, sf_dir):
 @query
 def st_rate_limit_stream(spark, sf_dir):
     rows = sr.accepted_reports(
-        _report_stream(spark, sf_dir), "limit", "client", "received_at", "event_id", 24 * 3600, 2
+        _report_stream(spark, sf_dir), "limit", "client", "received_at", "event_id", 24 * 3600, 2, delay=STREAM_DELAY
     )
     return rows.select("event_id", "client", "accepted")
 
 
 @query
 def st_debounce(spark, sf_dir):
-    # One late marker closes the last sessions; it belongs to no user.
-    path = scratch(prepare(spark), "events-in")
-    events = views.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    events.write.parquet(path)
-    marker = events.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts"))
-    marker.select(F.lit(None).cast("bigint").alias("user_id"), "ts", F.lit(-1).cast("bigint").alias("event_id")).write.mode(
-        "append"
-    ).parquet(path)
-    out = screening.debounced(runs.read_stream(spark, path), "user_id", "ts", "event_id", 3600)
-    done = runs.drain(out, "debounced").filter(F.col("user_id").isNotNull())
-    return done.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    stream = _arriving(spark, views.table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "event_id")
+    return screening.debounced(stream, "user_id", "ts", "event_id", 3600, delay=STREAM_DELAY)
 
 
 @query
 def st_report_stats(spark, sf_dir):
-    return sr.running_stats(_report_stream(spark, sf_dir))
+    return sr.running_stats(_report_stream(spark, sf_dir), today=F.lit(AS_OF).cast("date"))
 
 
 @query

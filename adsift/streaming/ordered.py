@@ -1,0 +1,66 @@
+"""Streams decided in time order: rows wait until the watermark has passed them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import remove
+from .runs import drain_batches
+
+DELAY_SECONDS = 3600.0
+
+
+def in_order(
+    stream: DataFrame, name: str, ts: str, decide: Callable[[DataFrame, Column, int], DataFrame], out: str,
+    delay: float = DELAY_SECONDS, reach: float = 0.0, checkpoint: str | None = None,
+) -> None:
+    """Run decide(rows, passed, number) on the rows that wait, batch after batch.
+
+    The mark is the newest time seen less the delay; passed tells which rows lie more than `reach` seconds behind it. These
+    are decided, and what decide returns goes to `<out>/decided`; the others stay in `<out>/waiting`. Rows that arrive behind the mark of the batch before,
+    and rows without a time, go to `<out>/late`; `<out>/meta` holds the newest time, the mark and the number of late rows
+    so far. A batch overwrites only its own folders and reads those of the one before, so it may run twice; older ones
+    are removed.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark, at = batch.sparkSession, F.unix_micros(F.col(ts).cast("timestamp"))
+        last = spark.read.parquet(f"{out}/meta/batch={number - 1}").first() if number else None
+        late = at.isNull() if last is None or last.mark is None else at.isNull() | (at < F.lit(last.mark))
+        batch.filter(late).write.mode("overwrite").parquet(f"{out}/late/batch={number}")
+        lost = spark.read.schema(batch.schema).parquet(f"{out}/late/batch={number}").count()
+        newest = max((x for x in (batch.agg(F.max(at)).first()[0], last and last.newest) if x is not None), default=None)
+        mark = None if newest is None else newest - int(delay * 1_000_000)
+        rows = batch.filter(~late)
+        if number:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{out}/waiting/batch={number - 1}"))
+        passed = F.lit(False) if mark is None else at < F.lit(mark - int(reach * 1_000_000))
+        decide(rows, passed, number).write.mode("overwrite").parquet(f"{out}/decided/batch={number}")
+        rows.filter(~passed).write.mode("overwrite").parquet(f"{out}/waiting/batch={number}")
+        meta = [(newest, mark, lost + (last.late if last else 0))]
+        spark.createDataFrame(meta, "newest long, mark long, late long").coalesce(1).write.mode("overwrite").parquet(f"{out}/meta/batch={number}")
+        for folder in ("waiting", "meta"):
+            remove(spark, f"{out}/{folder}/batch={number - 2}")
+
+    drain_batches(stream, name, step, checkpoint=checkpoint)
+
+
+def decided(spark: SparkSession, out: str, like: DataFrame) -> DataFrame:
+    """Everything decided so far; `like` gives the columns."""
+    try:
+        return spark.read.schema(like.schema).parquet(f"{out}/decided")
+    except AnalysisException:
+        return spark.createDataFrame([], like.schema)
+
+
+def undecided(spark: SparkSession, out: str, schema) -> tuple[DataFrame, int]:
+    """The rows that wait, and the number of the last batch (-1: none)."""
+    try:
+        number = spark.read.parquet(f"{out}/meta").agg(F.max("batch")).first()[0]
+    except AnalysisException:
+        return spark.createDataFrame([], schema), -1
+    return spark.read.schema(schema).parquet(f"{out}/waiting/batch={number}"), number

@@ -3,46 +3,51 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.greedy import HOT_ROWS, accept
 from ..operators.reports import HIGH_RISK, phrase_counts
-from ..session import scratch
+from ..session import remove, scratch
 from ..sources.report_files import as_rows
+from .ordered import DELAY_SECONDS, decided, in_order, undecided
 from .runs import drain_batches
 
 
 def accepted_reports(
     stream: DataFrame, name: str, key: str, ts: str, uid: str, window: float, limit: int,
     out: str | None = None, checkpoint: str | None = None, hot_rows: int = HOT_ROWS, file_rows: bool = False,
+    delay: float = DELAY_SECONDS, finish: bool = True,
 ) -> DataFrame:
     """Run the greedy acceptance over a stream and return the table of all decided rows.
 
-    Each batch reads the rows that earlier batches accepted within one window and continues from them, with the same
-    operator as the batch job, so a busy key is split here too. A batch overwrites only its own folders, so a repeated
-    batch gives the same table. Rows older than everything decided before go to `<out>/late`. With `file_rows`, accepted
-    rows are also stored in their filed shape under `<out>/table`, by day.
+    Rows wait until the watermark (the newest time less `delay` seconds) has passed them and are then decided in time order,
+    whatever the order of arrival, by the same operator as the batch job; rows that come later than that go to `<out>/late`
+    (see in_order). The rows accepted within one window before the mark are carried on. With `file_rows`, accepted rows are
+    also stored in their filed shape under `<out>/table`, by day. With `finish`, rows that still wait are decided as if
+    nothing else came; the stream may go on from its state nevertheless.
     """
     spark = stream.sparkSession
     out = out or scratch(spark, name)
-    state, decided, late = f"{out}/state", f"{out}/decided", f"{out}/late"
     columns = stream.schema
     seed_schema = f"_k string, _at timestamp, _u {columns[uid].dataType.simpleString()}"
 
-    def step(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        past, frontier = _last_state(session, state, seed_schema, number)
-        if frontier is not None:
-            old = F.col(ts).cast("timestamp") < F.lit(frontier)
-            batch.filter(old).write.mode("overwrite").parquet(f"{late}/batch={number}")
-            batch = batch.filter(~old)
-        seeds = past.select(F.col("_k").alias(key), F.col("_at").alias(ts), F.col("_u").alias(uid))
-        if columns[ts].dataType.simpleString() != "timestamp":
-            seeds = seeds.withColumn(ts, F.col(ts).cast(columns[ts].dataType))
-        seeds = seeds.withColumn(key, F.col(key).cast(columns[key].dataType))
-        result = accept(batch, key, ts, uid, window, limit, hot_rows, seeds)
-        target = f"{decided}/batch={number}"
+    def carried(session: SparkSession, number: int) -> DataFrame:
+        if number < 0:
+            return session.createDataFrame([], seed_schema)
+        return session.read.schema(seed_schema).parquet(f"{out}/state/batch={number}")
+
+    def judged(rows: DataFrame, past: DataFrame) -> DataFrame:
+        seeds = past.select(
+            F.col("_k").cast(columns[key].dataType).alias(key), F.col("_at").cast(columns[ts].dataType).alias(ts), F.col("_u").alias(uid)
+        )
+        return accept(rows, key, ts, uid, window, limit, hot_rows, seeds)
+
+    def decide(rows: DataFrame, passed: Column, number: int) -> DataFrame:
+        session = rows.sparkSession
+        past = carried(session, number - 1)
+        target = f"{out}/judged/batch={number}"
+        result = judged(rows.filter(passed), past)
         result.write.mode("overwrite").parquet(target)
         done = session.read.schema(result.schema).parquet(target)
         if file_rows:
@@ -52,64 +57,79 @@ def accepted_reports(
             F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.col(ts).cast("timestamp").alias("_at"),
             F.col(uid).alias("_u"),
         )
-        newest = done.agg(F.max(F.col(ts).cast("timestamp")).alias("m")).collect()[0].m or frontier
-        carried = past.unionByName(fresh)
-        if newest is not None:
-            carried = carried.filter(F.col("_at") > F.lit(newest) - F.make_dt_interval(secs=F.lit(float(window)).cast("decimal(18,6)")))
-            carried = carried.withColumn("_frontier", F.lit(newest))
-        else:
-            carried = carried.withColumn("_frontier", F.lit(None).cast("timestamp"))
-        carried.write.mode("overwrite").parquet(f"{state}/batch={number}")
-
-    drain_batches(stream, name, step, checkpoint=checkpoint)
-    return spark.read.parquet(decided)
-
-
-def _last_state(spark, path: str, schema: str, number: int):
-    """The rows carried by the newest earlier batch, and the newest time decided so far."""
-    stored = spark.read.schema(f"{schema}, _frontier timestamp, batch bigint")
-    try:
-        past = stored.parquet(path).filter(F.col("batch") < number)
-    except AnalysisException:
-        return spark.createDataFrame([], schema), None
-    newest = past.agg(F.max(F.struct("batch", "_frontier")).alias("n")).collect()[0].n
-    if newest is None:
-        return spark.createDataFrame([], schema), None
-    return past.filter(F.col("batch") == newest.batch).drop("_frontier", "batch"), newest._frontier
+        both = past.unionByName(fresh)
+        newest = both.agg(F.max("_at").alias("m")).first().m
+        since = F.lit(newest) - F.make_dt_interval(secs=F.lit(float(window)).cast("decimal(18,6)"))
+        recent = both if newest is None else both.filter(F.col("_at") > since)
+        recent.write.mode("overwrite").parquet(f"{out}/state/batch={number}")
+        for folder in ("state", "judged"):
+            remove(session, f"{out}/{folder}/batch={number - 2}")
+        return done
+
+    in_order(stream, name, ts, decide, out, delay, checkpoint=checkpoint)
+    waiting, number = undecided(spark, out, columns)
+    rest = judged(waiting, carried(spark, number))
+    done = decided(spark, out, rest).select(rest.columns)
+    return done.unionByName(rest) if finish else done
 
 
 def filed_reports(stream: DataFrame, name: str, out: str | None = None, **options) -> DataFrame:
-    """The report table: one kept report for each URL and day, evidence cut, partitioned by day."""
+    """The report table: one kept report for each URL and day, evidence cut, partitioned by day under `<out>/table`.
+
+    Reports that still wait for the watermark are in the result, not yet in the folder.
+    """
     from ..functions.hashing import url_key
 
     hashed = stream.withColumn("url_hash", url_key("url"))
-    out = out or scratch(stream.sparkSession, name)
-    accepted_reports(
-        hashed, name, "url_hash", "received_at", "event_id", 24 * 3600, 1, out, file_rows=True, **options
-    )
-    return stream.sparkSession.read.parquet(f"{out}/table").drop("batch")
+    rows = accepted_reports(hashed, name, "url_hash", "received_at", "event_id", 24 * 3600, 1, out, file_rows=True, **options)
+    return as_rows(rows.filter("accepted").drop("accepted", "origin"))
 
 
-def running_stats(stream: DataFrame, name: str = "report-stats", refresh: str = "30 seconds") -> DataFrame:
+def running_stats(
+    stream: DataFrame, name: str = "report-stats", refresh: str | None = None, out: str | None = None,
+    checkpoint: str | None = None, today: Column | None = None, ts: str = "received_at",
+) -> DataFrame:
     """Totals over all reports so far; the newest version of the one-row table is returned.
 
-    A service passes trigger(processingTime=refresh); here everything available is drained.
+    With `refresh` (such as "30 seconds") a version is made at that interval, otherwise once for all that is available;
+    with `out` and `checkpoint` a restarted stream goes on counting. filed_today counts reports of the date `today`, the
+    current one by default. Without any report all totals are 0.
     """
     spark = stream.sparkSession
-    out = scratch(spark, name)
-    totals = stream.agg(
-        F.count("*").alias("total_reports"),
-        F.count_if(F.col("risk_score") >= HIGH_RISK).alias("high_risk"),
-        F.coalesce(F.round(F.avg("risk_score"), 1), F.lit(0.0)).alias("avg_risk_score"),
+    out = out or scratch(spark, name)
+
+    # State holds a row a day; a batch is a static frame, so the current date may be asked for there.
+    daily = stream.groupBy(F.col(ts).cast("date").alias("day")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("risk_score") >= HIGH_RISK).alias("high"),
+        F.sum("risk_score").alias("total"), F.count("risk_score").alias("scored"),
     )
-    last = []
+
+    def totals(days: DataFrame) -> DataFrame:
+        zero = F.lit(0).cast("long")
+        now = F.current_date() if today is None else today
+        return days.withColumn("now", now).agg(
+            F.coalesce(F.sum("n"), zero).alias("total_reports"),
+            F.coalesce(F.sum("high"), zero).alias("high_risk"),
+            F.coalesce(F.round(F.try_divide(F.sum("total"), F.sum("scored")), 1), F.lit(0.0)).alias("avg_risk_score"),
+            F.coalesce(F.sum(F.when(F.col("day") == F.col("now"), F.col("n"))), zero).alias("filed_today"),
+        )
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/version={number}")
-        last.append(number)
+        totals(batch).write.mode("overwrite").parquet(f"{out}/version={number}")
+        remove(batch.sparkSession, f"{out}/version={number - 2}")
+
+    drain_batches(daily, name, step, mode="complete", checkpoint=checkpoint, every=refresh)
+    empty = totals(spark.createDataFrame([], daily.schema))
+    try:
+        versions = spark.read.schema(f"{_ddl(empty)}, version long").parquet(out)
+    except AnalysisException:
+        return empty
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == newest).drop("version") if newest is not None else empty
+
 
-    drain_batches(totals, name, step, mode="complete")
-    return spark.read.parquet(f"{out}/version={max(last)}")
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
 
 
 def learned_phrases(stream: DataFrame, name: str = "learn", min_count: int = 3, out: str | None = None) -> DataFrame:

@@ -37,15 +37,15 @@ def drain(stream: DataFrame, name: str, out: str | None = None, checkpoint: str
 
 def drain_batches(
     stream: DataFrame, name: str, step: Callable[[DataFrame, int], None], mode: str = "append",
-    checkpoint: str | None = None,
+    checkpoint: str | None = None, every: str | None = None,
 ) -> None:
-    """Hand everything available to `step` batch by batch."""
+    """Hand everything available to `step` batch by batch; with `every`, at that interval until all is processed."""
     spark = stream.sparkSession
-    query = (
-        stream.writeStream.foreachBatch(step)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint or scratch(spark, f"{name}-checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    writer = stream.writeStream.foreachBatch(step).outputMode(mode)
+    writer = writer.option("checkpointLocation", checkpoint or scratch(spark, f"{name}-checkpoint"))
+    if every is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return
+    query = writer.trigger(processingTime=every).start()
+    query.processAllAvailable()
+    query.stop()

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.bursts import burst_ends
 from ..operators.screen import alerts, screen
+from ..session import scratch
+from .ordered import DELAY_SECONDS, decided, in_order, undecided
 
 
 def screened(stream: DataFrame, text: str = "text", url: str = "url", p: str = "p") -> DataFrame:
@@ -17,11 +20,24 @@ def alerting(stream: DataFrame, forced: Column | bool = False) -> DataFrame:
     return alerts(screened(stream), forced=forced)
 
 
-def debounced(stream: DataFrame, key: str, ts: str, uid: str, gap_seconds: float, delay: str = "0 seconds") -> DataFrame:
-    """The last event of each session; a session closes when the watermark passes its end."""
-    gap = f"{int(gap_seconds * 1000)} milliseconds"
-    timed = stream.select(F.col(key), F.col(ts).cast("timestamp").alias("_at"), F.col(uid))
-    grouped = timed.withWatermark("_at", delay).groupBy(F.session_window("_at", gap), key)
-    last = F.max(F.struct(F.col("_at"), F.col(uid)))
-    out = grouped.agg(last.alias("_last"))
-    return out.select(key, F.col("_last")[uid].alias(uid), F.col("_last._at").alias(ts))
+def debounced(
+    stream: DataFrame, key: str, ts: str, uid: str, gap_seconds: float, delay: float = DELAY_SECONDS,
+    out: str | None = None, checkpoint: str | None = None, finish: bool = True,
+) -> DataFrame:
+    """The last event of each burst (see burst_ends), decided when the watermark has passed the gap behind it.
+
+    Events may arrive out of order within the delay; later ones are set aside and counted. With `finish`, events that still
+    wait are judged as if nothing followed; the stream may go on from its state nevertheless.
+    """
+    spark = stream.sparkSession
+    out = out or scratch(spark, "debounced")
+    events = stream.select(key, ts, uid)
+
+    def decide(rows: DataFrame, passed: Column, number: int) -> DataFrame:
+        return burst_ends(rows, key, ts, uid, gap_seconds).filter(passed)
+
+    in_order(events, "debounced", ts, decide, out, delay, gap_seconds, checkpoint)
+    waiting, _ = undecided(spark, out, events.schema)
+    rest = burst_ends(waiting, key, ts, uid, gap_seconds)
+    done = decided(spark, out, rest).select(rest.columns)
+    return done.unionByName(rest) if finish else done

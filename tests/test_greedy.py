@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from adsift.operators import bursts, greedy
 from adsift.session import scratch
-from adsift.streaming import reports as sr, runs
+from adsift.streaming import reports as sr, runs, screening
 
 START = datetime(2024, 1, 1)
 SCHEMA = "uid bigint, k string, ts timestamp_ntz"
@@ -70,15 +70,16 @@ def test_dedup_is_idempotent(spark):
 
 @pytest.mark.parametrize("hot_rows", [10**6, 40])
 def test_stream_continues_across_batches(spark, hot_rows):
-    rows = sorted(make(400, 5, 4, 4), key=lambda r: (r[2], r[0]))
+    rows = make(400, 5, 4, 4)  # in no order of time
     path, out = scratch(spark, "in"), scratch(spark, "out")
     checkpoint = scratch(spark, "checkpoint")
-    for part in (rows[:200], rows[200:]):
+    for part in (rows[:150], rows[150:160], rows[160:]):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
         stream = runs.read_stream(spark, path)
         got = sr.accepted_reports(
-            stream, "t", "k", "ts", "uid", 3600, 2, out=out, checkpoint=checkpoint, hot_rows=hot_rows
+            stream, "t", "k", "ts", "uid", 3600, 2, out=out, checkpoint=checkpoint, hot_rows=hot_rows, delay=10**7
         )
+    assert spark.read.parquet(f"{out}/late").count() == 0
     assert {r.uid: r.accepted for r in got.collect()} == {u: a for u, (a, _) in replay(rows, 3600, 2).items()}
 
 
@@ -87,11 +88,44 @@ def test_late_rows_go_aside(spark):
     parts = [[(1, "a", START), (2, "b", START + timedelta(hours=2))], [(3, "a", START + timedelta(hours=1)), (4, "a", START + timedelta(hours=3))]]
     for part in parts:
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
-        got = sr.accepted_reports(runs.read_stream(spark, path), "t", "k", "ts", "uid", 3600, 1, out=out, checkpoint=checkpoint)
+        got = sr.accepted_reports(
+            runs.read_stream(spark, path), "t", "k", "ts", "uid", 3600, 1, out=out, checkpoint=checkpoint, delay=1800
+        )
     assert {r.uid for r in got.collect()} == {1, 2, 4}
+    assert spark.read.parquet(f"{out}/meta").agg({"late": "max"}).first()[0] == 1
     assert [r.uid for r in spark.read.parquet(f"{out}/late").collect()] == [3]
 
 
+def test_stream_in_time_order_with_a_short_delay(spark):
+    """Rows a little out of order, a delay that covers it: decided batch by batch as the batch job would."""
+    rows = sorted(make(400, 5, 4, 4), key=lambda r: r[2] + timedelta(seconds=hash(r[0] * 7919) % 1200))
+    path, out, checkpoint = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "checkpoint")
+    for k in range(0, 400, 100):
+        spark.createDataFrame(rows[k : k + 100], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        got = sr.accepted_reports(
+            runs.read_stream(spark, path), "t", "k", "ts", "uid", 3600, 2, out=out, checkpoint=checkpoint, delay=1200
+        )
+    assert spark.read.parquet(f"{out}/decided").count() > 200
+    assert {r.uid: r.accepted for r in got.collect()} == {u: a for u, (a, _) in replay(rows, 3600, 2).items()}
+
+
+def test_debounce_stream_equals_batch(spark):
+    rows = make(400, 4, 6, 2)
+    rows = [(u, None if k == "k1" else k, t) for u, k, t in rows]
+    path, checkpoint, out = scratch(spark, "in"), scratch(spark, "checkpoint"), scratch(spark, "out")
+    for part in (rows[:130], rows[130:260], rows[260:]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        got = screening.debounced(runs.read_stream(spark, path), "k", "ts", "uid", 60, delay=10**7, out=out, checkpoint=checkpoint)
+    want = bursts.burst_ends(spark.createDataFrame(rows, SCHEMA), "k", "ts", "uid", 60)
+    assert {r.uid for r in got.collect()} == {r.uid for r in want.collect()}
+
+
+def test_stats_of_an_empty_stream(spark):
+    path = scratch(spark, "in")
+    spark.createDataFrame([], "risk_score int, received_at timestamp").write.parquet(path)
+    assert [tuple(r) for r in sr.running_stats(runs.read_stream(spark, path)).collect()] == [(0, 0, 0.0, 0)]
+
+
 def test_burst_ends_equal_lead(spark):
     rows = make(400, 4, 6, 2)
     got = {r.uid for r in bursts.burst_ends(spark.createDataFrame(rows, SCHEMA), "k", "ts", "uid", 60).collect()}

@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from adsift.plans.oracles import ORACLES
+from adsift.plans.queries import QUERIES
 
 SAMPLE = [
     "jn_screen_assemble", "rule_url_flags", "agg_keyword_map", "agg_class_report", "win_roc_curve", "win_stratified_split",
@@ -15,8 +17,9 @@ NO_SQL = {"ml_random_forest", "ml_logistic", "ml_feature_importance", "srt_top_k
 
 
 def test_every_query_has_sql_or_a_reason():
-    names, sql = set(entry.queries()), set(entry.oracle_sql())
+    names, sql = set(QUERIES), set(ORACLES)
     assert sql <= names and names - sql == NO_SQL
+    assert names <= set(entry.queries()) and sql <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):

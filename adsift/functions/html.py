@@ -9,8 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from . import banks
 
+ship(__name__)
+ship("adsift.functions.banks")
+
 # Tags whose subtrees are not read, split into raw-text tags and tags that may nest.
 RAW_TAGS = ["script", "style", "noscript", "iframe"]
 NESTING_TAGS = ["nav", "header", "footer", "aside", "svg", "canvas"]
@@ -22,6 +26,8 @@ ENTITIES = {
 NESTING_PASSES = 4
 MIN_NODE_CHARS = 3
 _BREAK = "\u0001"
+# What may stand in a tag: quoted values may hold its end.
+INSIDE_TAG = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 
 
 class _BodyText(HTMLParser):
@@ -83,24 +89,27 @@ def page_text(df, html: str = "html", out: str = "text"):
     """Add the visible body text: text nodes longer than three characters, joined, collapsed, cut to 3000 characters.
 
     Regular expressions read almost every page inside the JVM. Pages they cannot read (skipped tags nested too deep or
-    left open, rare entities, no body tag) are the only ones handed to the Arrow-batched parser; the others reach it
+    left open, rare or unended entities, odd quotes, no body tag) are the only ones handed to the Arrow-batched parser; the others reach it
     as nulls.
     """
     nesting = "|".join(NESTING_TAGS)
-    body = F.regexp_replace(F.col(html), r"(?is)^.*?<body\b[^>]*>", "")
-    body = F.regexp_replace(body, r"(?s)<!--.*?-->", _BREAK)
-    body = F.regexp_replace(body, rf"(?is)<({'|'.join(RAW_TAGS)})\b.*?</\1\s*>", _BREAK)
+    # Comments and raw-text tags go in document order, before anything inside them is taken for a tag.
+    body = F.regexp_replace(F.col(html), rf"(?is)<!--.*?-->|<({'|'.join(RAW_TAGS)})\b.*?</\1\s*>", _BREAK)
+    no_body = ~body.rlike(r"(?i)<body\b")
+    body = F.regexp_replace(body, rf"(?is)^.*?<body\b{INSIDE_TAG}>", "")
     inner = rf"(?i)<({nesting})\b(?:[^<]++|<(?!/?(?:{nesting})\b))*+</\1\s*>"
-    df = df.withColumn("_body", body)
+    df = df.withColumn("_body", body).withColumn("_no_body", no_body)
     for _ in range(NESTING_PASSES):
         df = df.withColumn("_body", F.regexp_replace("_body", inner, _BREAK))
     known = "|".join(e[1:-1] for e in ENTITIES)
+    bare = F.regexp_replace("_body", rf"<[a-zA-Z/!?]{INSIDE_TAG}>", _BREAK)
     hard = (
         F.col("_body").rlike(rf"(?i)<(?:{nesting}|{'|'.join(RAW_TAGS)})\b")
-        | F.col("_body").rlike(rf"&(?!(?:{known});)(?:#|[a-zA-Z]+;)")
-        | ~F.col(html).rlike(r"(?i)<body\b")
+        | F.col("_body").rlike(rf"&(?!(?:{known});)[#a-zA-Z]")
+        | F.col("_no_body")
+        | bare.rlike(r"<[a-zA-Z/!?]")
     )
-    nodes = F.split(F.regexp_replace("_body", r"<[a-zA-Z/!?][^>]*>", _BREAK), _BREAK)
+    nodes = F.split(bare, _BREAK)
 
     def clean(node: Column) -> Column:
         for entity, char in ENTITIES.items():
@@ -112,5 +121,5 @@ def page_text(df, html: str = "html", out: str = "text"):
     df = df.withColumn("_hard", F.coalesce(hard, F.lit(False)))
     df = df.withColumn("_parsed", _parse(F.when(F.col("_hard"), F.col(html))))
     return df.withColumn(out, F.when(F.col("_hard"), F.col("_parsed")).otherwise(quick)).drop(
-        "_body", "_hard", "_parsed"
+        "_body", "_no_body", "_hard", "_parsed"
     )

@@ -96,7 +96,9 @@ def override(text: Column, p: Column) -> Column:
         value = F.struct(F.lit(float(score)).alias("risk_score"), F.lit(label).alias("label"))
         test = F.contains(lower, F.lit(word))
         out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(text_label(p))
+    percent = F.round(p * F.lit(100.0), 2)  # here the label follows the rounded figure
+    model = F.struct(percent.alias("risk_score"), F.when(percent > 50, "Scam").otherwise("Safe").alias("label"))
+    return out.otherwise(model)
 
 
 def text_label(p: Column) -> Column:

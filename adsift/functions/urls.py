@@ -84,9 +84,10 @@ def url_check(url: Column, full: Column, domain: Column, profile: str) -> tuple[
     return score, flags
 
 
-def url_level(score: Column, flags: Column) -> Column:
-    """Display level of a UI check; URLs that cannot be parsed have none."""
-    out = F.when(F.array_contains(flags, banks.URL_MESSAGES["ui"]["bad"]), "")
+def url_level(score: Column, flags: Column, url: Column) -> Column:
+    """Display level of a UI check; blank URLs and those that cannot be parsed have none."""
+    blank = strip(F.coalesce(url, F.lit(""))) == ""
+    out = F.when(blank | F.array_contains(flags, banks.URL_MESSAGES["ui"]["bad"]), "")
     for limit, label in banks.URL_LEVELS[:-1]:
         out = out.when(score >= limit, label)
     return out.otherwise(banks.URL_LEVELS[-1][1])

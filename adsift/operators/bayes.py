@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+from ..session import materialise
+
 
 def fit(labelled: DataFrame, weights: DataFrame, vocab: DataFrame, id_col: str, alpha: float = 1.0) -> tuple:
     """Return (terms, prior).
@@ -33,6 +36,19 @@ def fit(labelled: DataFrame, weights: DataFrame, vocab: DataFrame, id_col: str,
     return terms, prior
 
 
+def fit_counts(labelled: DataFrame, terms: Column, alpha: float = 1.0) -> DataFrame:
+    """(term, lp0, lp1) over the whole vocabulary of the texts of `labelled` (label 0/1), from counts; terms are arrays.
+
+    One shuffle of partial sums; no term is left out, however many there are.
+    """
+    counts = labelled.select("label", F.explode(tx.bag(terms)).alias("b")).select("label", "b.term", "b.n")
+    of = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0)).cast("double")
+    sums = materialise(counts.groupBy("term").agg(of(0).alias("s0"), of(1).alias("s1")), "term-sums")
+    t = sums.agg(F.coalesce(F.sum("s0"), F.lit(0.0)).alias("t0"), F.coalesce(F.sum("s1"), F.lit(0.0)).alias("t1"), F.count("*").alias("v")).first()
+    log_prob = lambda s, total: F.log(F.col(s) + F.lit(float(alpha))) - F.log(F.lit(float(total)) + F.lit(float(alpha)) * F.lit(t.v))
+    return sums.select("term", log_prob("s0", t.t0).alias("lp0"), log_prob("s1", t.t1).alias("lp1"))
+
+
 def predict(ids: DataFrame, weights: DataFrame, model: tuple, id_col: str) -> DataFrame:
     """(id, p, predicted) for every id: P(class 1) and the likelier class (ties go to class 0)."""
     terms, prior = model

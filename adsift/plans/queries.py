@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import banks, html, rules, text as tx, urls
@@ -128,7 +128,7 @@ def prj_normalise_jobs(spark, sf_dir):
 def _messages(spark, sf_dir):
     """(message_id, role, text, label): conversation turns as short messages; the user's are label 1."""
     return views.texts(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 100_000 + F.col("turn")).alias("message_id"), "role", "text",
+        F.concat_ws("-", "conv_id", "turn").alias("message_id"), "role", "text",
         (F.col("role") == "user").cast("int").alias("label"),
     )
 
@@ -298,7 +298,7 @@ def rule_url_flags(spark, sf_dir):
 def rule_url_level(spark, sf_dir):
     score, flags = F.col("url_risk_score"), F.col("url_flags")
     return _checked(spark, sf_dir, "ui").select(
-        "case_id", urls.url_level(score, flags).alias("level"), urls.url_suspicious(score).alias("is_suspicious")
+        "case_id", urls.url_level(score, flags, F.col("url")).alias("level"), urls.url_suspicious(score).alias("is_suspicious")
     )
 
 
@@ -590,11 +590,8 @@ def ml_naive_bayes_counts(spark, sf_dir):
     rows = _messages(spark, sf_dir).withColumn("text", tx.normalise_sms(F.col("text")))
     terms = tx.tokens(F.col("text"))
     train = _train(rows, "message_id")
-    vocab = materialise(features.vocabulary(train, terms, features.MAX_VOCABULARY), "bayes-counts")
-    weights = features.count_vectors(train, "message_id", terms, vocab)
-    fitted, _ = bayes.fit(train, weights, vocab, "message_id", alpha=0.1)
-    named = fitted.join(F.broadcast(vocab.select("idx", "term")), "idx")
-    return named.select("term", F.round("lp0", 6).alias("log_prob_0"), F.round("lp1", 6).alias("log_prob_1"))
+    fitted = bayes.fit_counts(train, terms, alpha=0.1)
+    return fitted.select("term", F.round("lp0", 6).alias("log_prob_0"), F.round("lp1", 6).alias("log_prob_1"))
 
 
 @query
@@ -605,17 +602,20 @@ def ml_predict(spark, sf_dir):
     return bayes.predict(test, weights, fitted, "doc_id").select("doc_id", F.round("p", 6).alias("p"), "predicted")
 
 
-_MODELS: dict = {}
+def _forest(spark, sf_dir, trees=200, depth=20):
+    """The service's model on the training part of ads."""
+    featuriser = learning.Featuriser()
+    train = _train(views.ads(prepare(spark), sf_dir)).select("doc_id", "text", "label")
+    return learning.train(train, learning.random_forest(trees, depth), featuriser), featuriser
 
 
-def _forest(spark, sf_dir):
-    """The service's model on the training part of ads; trained once a session and table folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        featuriser = learning.Featuriser()
-        train = _train(views.ads(prepare(spark), sf_dir)).select("doc_id", "text", "label")
-        _MODELS[key] = (learning.train(train, learning.random_forest(), featuriser), featuriser)
-    return _MODELS[key]
+def _beats_majority(report_of):
+    """(label, support, beats_majority): the support of each class, and whether more rows are right than the larger class has."""
+    right = report_of.agg(F.count_if(F.col("label") == F.col("predicted")).alias("right"))
+    classes = report_of.groupBy("label").agg(F.count("*").alias("support"))
+    most = classes.agg(F.max("support").alias("most"))
+    better = right.join(F.broadcast(most)).select((F.col("right") > F.col("most")).alias("b"))
+    return classes.withColumn("beats_majority", better.scalar())
 
 
 def _test_part(spark, sf_dir):
@@ -625,7 +625,7 @@ def _test_part(spark, sf_dir):
 @query
 def ml_random_forest(spark, sf_dir):
     model, featuriser = _forest(spark, sf_dir)
-    return metrics.class_report(learning.predict(_test_part(spark, sf_dir), model, featuriser))
+    return _beats_majority(learning.predict(_test_part(spark, sf_dir), model, featuriser))
 
 
 @query
@@ -633,27 +633,42 @@ def ml_logistic(spark, sf_dir):
     featuriser = learning.Featuriser(max_features=3000, sublinear=False)
     train = _train(views.ads(prepare(spark), sf_dir)).select("doc_id", "text", "label")
     model = learning.train(train, learning.logistic, featuriser)
-    return metrics.class_report(learning.predict(_test_part(spark, sf_dir), model, featuriser))
+    return _beats_majority(learning.predict(_test_part(spark, sf_dir), model, featuriser))
+
+
+# Importances need no deep trees; a small forest keeps the queries about them cheap.
+SMALL_FOREST = {"trees": 40, "depth": 8}
 
 
 @query
 def ml_feature_importance(spark, sf_dir):
-    return learning.feature_importance(*_forest(spark, sf_dir))
+    rows = materialise(learning.feature_importance(*_forest(spark, sf_dir, **SMALL_FOREST)), "importances")
+    total = rows.agg(F.round(F.sum("importance"), 2).alias("t")).scalar()
+    return rows.select("phrase", F.col("importance").between(0, 1).alias("is_share")).withColumn("total", total)
 
 
 @query
 def srt_top_keywords(spark, sf_dir):
-    return learning.top_keywords(learning.feature_importance(*_forest(spark, sf_dir)), 50)
+    model, featuriser = _forest(spark, sf_dir, **SMALL_FOREST)
+    top = learning.top_keywords(learning.feature_importance(model, featuriser), 50)
+    order = Window.orderBy(F.desc("importance"), "phrase")  # over 50 rows
+    ranked = top.withColumn("rank", F.row_number().over(order)).withColumn("before", F.lag("importance").over(order))
+    known = featuriser.vocab.select(F.col("term").alias("phrase"), F.lit(True).alias("known"))
+    return ranked.join(F.broadcast(known), "phrase", "left").select(
+        "rank", F.coalesce(F.col("importance") <= F.col("before"), F.lit(True)).alias("falls"), F.coalesce("known", F.lit(False)).alias("known")
+    )
 
 
 @query
 def snk_model(spark, sf_dir):
-    model, featuriser = _forest(spark, sf_dir)
+    model, featuriser = _forest(spark, sf_dir, **SMALL_FOREST)
     path = scratch(spark, "model")
     models.save(model, featuriser, path)
     loaded = models.load(spark, path, featuriser)
-    scored = learning.predict(_test_part(spark, sf_dir), *loaded)
-    return scored.select("doc_id", F.round("p", 6).alias("p"), "predicted")
+    test = _test_part(spark, sf_dir)
+    before = learning.predict(test, model, featuriser).select("doc_id", F.col("p").alias("before"))
+    after = learning.predict(test, *loaded).select("doc_id", "p")
+    return after.join(before, "doc_id").select("doc_id", (F.abs(F.col("p") - F.col("before")) < 1e-12).alias("same"))
 
 
 # --- streaming ---------------------------------------------------------------------------------------------------

@@ -952,6 +952,48 @@ add(
 )
 add("snk_model", f"SELECT doc_id, TRUE AS same FROM {PART}", "ads")
 
+
+
+def answered(source: str) -> list[tuple[str, str]]:
+    """CTE `answered`: rows of source (text, p) with keyword_hits and risk_score."""
+    n = f"CAST(len({hits('text', banks.phrase_list())}) AS INTEGER)"
+    return [
+        ("hit", f"SELECT *, {n} AS keyword_hits FROM {source}"),
+        ("answered", "SELECT *, CAST(least(floor(p * 100::DOUBLE) + least(3 * keyword_hits, 20), 100) AS INTEGER) AS risk_score FROM hit"),
+    ]
+
+
+ANSWER = f"""risk_score, CASE WHEN risk_score > 40 THEN 'FAKE' ELSE 'GENUINE' END AS verdict,
+    CASE WHEN risk_score > 40 THEN {fraud_type('text', 'service')} ELSE 'Not Applicable' END AS fraud_category, keyword_hits"""
+BOUNDS = f"length(text) BETWEEN 5 AND 10000 AND {strip('text')} <> ''"
+add(
+    "jn_scan_pages",
+    f"SELECT page_id, {ANSWER}, url_risk_score, substr({strip('text')}, 1, 200) AS text_snippet FROM checked_service WHERE {BOUNDS}",
+    extra=[
+        ("shown", page_text()),
+        (
+            "gated",
+            f"""SELECT page_id, text, url, (page_id % 101)::DOUBLE / 100::DOUBLE AS p FROM shown JOIN pages USING (page_id)
+            WHERE length(text) >= 30 AND (page_id % 3 = 0 OR len({hits('text', banks.TRIGGERS)}) >= 2)""",
+        ),
+        *answered("gated"),
+        *url_ctes("service", "answered"),
+    ],
+)
+MODEL_P = (
+    "modelled",
+    f"""SELECT doc_id, text, round(1 / (1 + exp(-odds)), 6) AS p FROM (SELECT a.doc_id, a.text, coalesce(s.margin, 0) + pr.prior AS odds
+    FROM ads a LEFT JOIN (SELECT doc_id, sum(weight * (lp1 - lp0)) AS margin FROM wt JOIN params USING (term) GROUP BY doc_id) s USING (doc_id)
+    CROSS JOIN (SELECT ln((count(*) FILTER (label = 1))::DOUBLE) - ln((count(*) FILTER (label = 0))::DOUBLE) AS prior FROM tr) pr
+    WHERE {SPLIT.format('a.doc_id')} = 'test')""",
+)
+add(
+    "jn_screen_with_model",
+    f"SELECT doc_id, {ANSWER}, round(p, 4) AS model_confidence FROM answered WHERE {BOUNDS}",
+    "ads",
+    extra=[*NB, MODEL_P, *answered("modelled")],
+)
+
 # --- streaming ---
 AD_URL = ("ad_urls", "SELECT *, 'http://ads.example.xyz/' || doc_id AS url FROM scored")
 add(

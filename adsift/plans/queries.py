@@ -365,6 +365,26 @@ def jn_screen_assemble(spark, sf_dir):
     )
 
 
+@query
+def jn_scan_pages(spark, sf_dir):
+    """Page to answer in one plan: visible text, trigger gate (every third page is forced), screening."""
+    pages = html.page_text(views.texts(spark, sf_dir, "pages"))
+    given = pages.withColumn("p", (F.col("page_id") % 101).cast("double") / 100)
+    rows = screen.screen(screen.page_gate(given, forced=F.col("page_id") % 3 == 0))
+    return rows.select("page_id", "risk_score", "verdict", "fraud_category", "keyword_hits", "url_risk_score", "text_snippet")
+
+
+@query
+def jn_screen_with_model(spark, sf_dir):
+    """The main path: text, the trained model's probability, screening."""
+    docs, terms, vocab, fitted = _bayes(spark, sf_dir)
+    test = corpus.random_split(docs, "doc_id").filter("split = 'test'").drop("p")
+    p = bayes.predict(test, features.tfidf(test, "doc_id", terms, vocab), fitted, "doc_id")
+    scored = test.join(p.select("doc_id", F.round("p", 6).alias("p")), "doc_id").withColumn("url", F.lit(""))
+    rows = screen.screen(scored)
+    return rows.select("doc_id", "risk_score", "verdict", "fraud_category", "keyword_hits", "model_confidence")
+
+
 @query
 def jn_new_phrases(spark, sf_dir):
     return keywords.new_phrases(rp.phrase_counts(views.reports(spark, sf_dir)))

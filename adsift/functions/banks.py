@@ -135,6 +135,7 @@ SUSPICIOUS_URL_SCORE = 20
 RISK_BANDS = {
     "floor": [(80, "CRITICAL RISK"), (60, "HIGH RISK"), (35, "MEDIUM RISK"), (0, "LOW RISK")],
     "ceiling": [(30, "SAFE"), (60, "CAUTION"), (80, "HIGH RISK"), (100, "CRITICAL")],
+    "chat": [(80, "CRITICAL RISK"), (60, "HIGH RISK"), (35, "CAUTION"), (0, "LIKELY SAFE")],
 }
 
 # Overrides in priority order: (word, score, label).

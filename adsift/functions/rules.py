@@ -83,7 +83,7 @@ def risk_band(score: Column, scheme: str = "floor") -> Column:
     limits = banks.RISK_BANDS[scheme]
     out = None
     for limit, label in limits[:-1]:
-        test = score >= limit if scheme == "floor" else score <= limit
+        test = score >= limit if scheme != "ceiling" else score <= limit
         out = F.when(test, label) if out is None else out.when(test, label)
     return out.otherwise(limits[-1][1])
 

@@ -61,7 +61,7 @@ def hits(x: str, phrases) -> str:
 
 
 def band(score: str, scheme: str) -> str:
-    op = ">=" if scheme == "floor" else "<="
+    op = "<=" if scheme == "ceiling" else ">="
     limits = banks.RISK_BANDS[scheme]
     cases = " ".join(f"WHEN {score} {op} {n} THEN {q(label)}" for n, label in limits[:-1])
     return f"CASE {cases} ELSE {q(limits[-1][1])} END"
@@ -192,6 +192,17 @@ add(
 )
 
 # --- projections ---
+add(
+    "src_job_postings",
+    """SELECT doc_id, coalesce(department, 'Unknown') AS department, coalesce(industry, 'Not Specified') AS industry, ' ' AS benefits,
+    CAST(doc_id % 2 AS INTEGER) AS fraudulent FROM nullable""",
+    "nullable",
+)
+add(
+    "src_sms_latin1",
+    "SELECT regexp_replace(text, '[^\\x00-\\x{ff}]', '', 'g') AS text, '' AS category, label FROM labelled",
+    "labelled",
+)
 add(
     "prj_fill_nulls",
     "SELECT doc_id, coalesce(department, 'Unknown') AS department, coalesce(industry, 'Not Specified') AS industry FROM nullable",
@@ -491,7 +502,8 @@ add(
 )
 add(
     "rule_risk_band",
-    f"SELECT doc_id, {band('risk_score', 'floor')} AS floor_band, {band('risk_score', 'ceiling')} AS ceiling_band FROM scored",
+    f"SELECT doc_id, {band('risk_score', 'floor')} AS floor_band, {band('risk_score', 'ceiling')} AS ceiling_band, "
+    f"{band('risk_score', 'chat')} AS chat_band FROM scored",
     "scored",
 )
 ALLOW, SCAM = banks.OVERRIDES[0][0], [w for w, _, _ in banks.OVERRIDES[1:]]
@@ -930,9 +942,10 @@ add(
 )
 add(
     "snk_keyword_bank",
-    "SELECT term AS phrase, round(idf, 6) AS importance FROM voc",
-    "ads",
-    extra=feature_ctes("ads", "doc_id", GRAMS, 100, train=False),
+    "SELECT row_number() OVER ()::INTEGER AS rank, TRUE AS falls, TRUE AS known, (SELECT count(*) FROM learned) AS total_learned "
+    "FROM (SELECT term FROM voc LIMIT 100)",
+    "ads", "reports",
+    extra=[*feature_ctes("ads", "doc_id", GRAMS, 5000), PHRASES, LEARNED],
 )
 
 PART = f"(SELECT doc_id, label FROM ads WHERE {SPLIT.format('doc_id')} = 'test')"

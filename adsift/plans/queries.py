@@ -86,23 +86,46 @@ def snk_reports_table(spark, sf_dir):
     return table.select("event_id", "url_hash", "risk_score", "status", "evidence_text", "filed_on")
 
 
+@query
+def src_sms_latin1(spark, sf_dir):
+    path = scratch(prepare(spark), "latin1-csv")
+    rows = views.labelled(spark, sf_dir)
+    text = F.regexp_replace("text", r"[^\x00-\xff]", "")
+    named = F.when(F.col("label") == 1, "spam").otherwise("ham").alias("v1")
+    corpora.write_corpus(rows.select(named, text.alias("v2"), F.lit("").alias("junk")), path, encoding="ISO-8859-1")
+    return corpora.read_sms(spark, path)
+
+
+@query
+def src_job_postings(spark, sf_dir):
+    path = scratch(prepare(spark), "jobs-csv")
+    rows = views.nullable(spark, sf_dir)
+    none = F.lit(None).cast("string").alias("benefits")
+    # The posting's number travels in a column the reader keeps as it is.
+    corpora.write_corpus(
+        rows.select(F.col("doc_id").cast("string").alias("title"), "department", "industry", none, (F.col("doc_id") % 2).alias("fraudulent")), path
+    )
+    jobs = corpora.read_job_postings(spark, path)
+    return jobs.select(F.col("title").cast("bigint").alias("doc_id"), "department", "industry", "benefits", "fraudulent")
+
+
 @query
 def snk_corpus_csv(spark, sf_dir):
     path = scratch(prepare(spark), "corpus-csv")
     rows = views.ads(spark, sf_dir)
-    corpora.write_corpus(rows.select("text", F.lit("ad").alias("category"), "label"), path)
-    return corpora.read_labelled(spark, path, ["text"], "label", None, {0: "genuine", 1: "fake"})
+    corpora.write_corpus(rows.select("text", F.lit("ad").alias("category"), "label"), path, escaped=True)
+    return corpora.read_labelled(spark, path, ["text"], "label", None, {0: "genuine", 1: "fake"}, escaped=True)
 
 
 @query
 def snk_keyword_bank(spark, sf_dir):
     path = scratch(prepare(spark), "keyword-bank")
-    docs = views.ads(spark, sf_dir)
-    vocab = features.vocabulary(docs, tx.ngram_range(tx.tokens(F.col("text")), 1, 2), 100)
-    model = vocab.select(F.col("term").alias("phrase"), F.round("idf", 6).alias("importance"))
+    model, featuriser = _forest(spark, sf_dir, **SMALL_FOREST)
+    top = learning.top_keywords(learning.feature_importance(model, featuriser), 100)
     learned = rp.phrase_counts(views.reports(spark, sf_dir))
-    keyword_files.write_bank(model, learned, path, AS_OF)
-    return keyword_files.load_bank(spark, path)
+    keyword_files.write_bank(top, learned, path, AS_OF)
+    total = keyword_files.load_totals(spark, path).select("total_learned").scalar()
+    return _ranked_keywords(keyword_files.load_bank(spark, path), featuriser).withColumn("total_learned", total)
 
 
 # --- projections -------------------------------------------------------------------------------------------------
@@ -307,7 +330,8 @@ def rule_risk_band(spark, sf_dir):
     rows = screen.score_text(views.ads(spark, sf_dir))
     score = F.col("risk_score")
     return rows.select(
-        "doc_id", rules.risk_band(score, "floor").alias("floor_band"), rules.risk_band(score, "ceiling").alias("ceiling_band")
+        "doc_id", rules.risk_band(score, "floor").alias("floor_band"), rules.risk_band(score, "ceiling").alias("ceiling_band"),
+        rules.risk_band(score, "chat").alias("chat_band"),
     )
 
 
@@ -670,8 +694,12 @@ def ml_feature_importance(spark, sf_dir):
 @query
 def srt_top_keywords(spark, sf_dir):
     model, featuriser = _forest(spark, sf_dir, **SMALL_FOREST)
-    top = learning.top_keywords(learning.feature_importance(model, featuriser), 50)
-    order = Window.orderBy(F.desc("importance"), "phrase")  # over 50 rows
+    return _ranked_keywords(learning.top_keywords(learning.feature_importance(model, featuriser), 50), featuriser)
+
+
+def _ranked_keywords(top, featuriser):
+    """(rank, falls, known) of a short list (phrase, importance)."""
+    order = Window.orderBy(F.desc("importance"), "phrase")
     ranked = top.withColumn("rank", F.row_number().over(order)).withColumn("before", F.lag("importance").over(order))
     known = featuriser.vocab.select(F.col("term").alias("phrase"), F.lit(True).alias("known"))
     return ranked.join(F.broadcast(known), "phrase", "left").select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import banks
@@ -14,17 +14,42 @@ CSV = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", **options) -> DataFrame:
-    """All columns as strings; nothing is inferred, so the data is read once."""
-    return spark.read.options(**CSV, **options).option("encoding", encoding).csv(path)
+# A line break inside a field, as write_corpus writes it; files without line breaks in fields can be split.
+ESCAPED, ESCAPES = "\\", {"\\": "\\\\", "\n": "\\n", "\r": "\\r"}
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = True, **options) -> DataFrame:
+    """All columns as strings; nothing is inferred, so the data is read once.
+
+    Fields may hold line breaks, and a file is then one task's work. With multi_line off large files are split.
+    """
+    return spark.read.options(**{**CSV, "multiLine": multi_line}, **options).option("encoding", encoding).csv(path)
+
+
+def _escaped(column: Column) -> Column:
+    for char, written in ESCAPES.items():
+        column = F.replace(column, F.lit(char), F.lit(written))
+    return column
+
+
+def _unescaped(column: Column) -> Column:
+    """Each escape once, from left to right: doubled backslashes are set aside first."""
+    parts = F.split(column, r"\\\\", -1)
+    back = F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.array_join(back, ESCAPED)
 
 
 def read_labelled(
     spark: SparkSession, path: str, text_cols: list[str], label_col: str, label_map: dict[str, int] | None = None,
-    categories: dict[int, str] | None = None, encoding: str = "UTF-8",
+    categories: dict[int, str] | None = None, encoding: str = "UTF-8", escaped: bool = False,
 ) -> DataFrame:
-    """(text, category, label) from a CSV file; rows without text or label are dropped, other columns are not read."""
-    raw = read_csv(spark, path, encoding)
+    """(text, category, label) from a CSV file; rows without text or label are dropped, other columns are not read.
+
+    `escaped` files come from write_corpus and can be split.
+    """
+    raw = read_csv(spark, path, encoding, multi_line=not escaped)
+    if escaped:
+        raw = raw.select(*[_unescaped(F.col(c)).alias(c) for c in raw.columns])
     label = F.col(label_col)
     if label_map:
         mapped = F.coalesce(*[F.when(label == k, F.lit(v)) for k, v in label_map.items()])
@@ -54,5 +79,9 @@ def read_sms(spark: SparkSession, path: str) -> DataFrame:
     return read_labelled(spark, path, ["v2"], "v1", {"spam": 1, "ham": 0}, encoding="ISO-8859-1")
 
 
-def write_corpus(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(**{k: v for k, v in CSV.items() if k != "multiLine"}).csv(path)
+def write_corpus(df: DataFrame, path: str, encoding: str = "UTF-8", escaped: bool = False) -> None:
+    """Write a CSV folder; `escaped` writes line breaks and backslashes in strings as escapes, for split reading."""
+    if escaped:
+        df = df.select(*[_escaped(F.col(c)).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes])
+    options = {k: v for k, v in CSV.items() if k != "multiLine"}
+    df.write.mode("overwrite").options(**options).option("encoding", encoding).csv(path)

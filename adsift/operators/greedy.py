@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch
+from ..session import materialise, scratch
 
 HOT_ROWS = 1_000_000
-BROADCAST_ROWS = 1_000_000
 CELL_FILES = 16
 
 _KEY, _TS, _SEED = "_key", "_ts", "_seed"
@@ -49,15 +48,14 @@ def accept(
     keyed = _keyed(df, key, ts)
     past = None if seeds is None else _keyed(seeds, key, ts).select(_KEY, _TS, F.col(uid).alias(uid))
     counts = keyed.groupBy(_KEY).agg(F.count("*").alias("_n"))
-    hot = [r[_KEY] for r in counts.filter(F.col("_n") > hot_rows).select(_KEY).collect()]
-    if not hot:
+    # Up to (all rows / hot_rows) keys, as a table: Spark broadcasts it where it is small enough.
+    hot = materialise(counts.filter(F.col("_n") > hot_rows).select(_KEY), "hot-keys")
+    if hot.isEmpty():
         return _replay(keyed, past, uid, span, limit).drop(_KEY, _TS)
-    # At most (all rows / hot_rows) keys: the list is short by construction.
-    names = df.sparkSession.createDataFrame([(k,) for k in hot], f"{_KEY} string")
-    cold = keyed.join(F.broadcast(names), _KEY, "left_anti")
-    cold_past = None if past is None else past.join(F.broadcast(names), _KEY, "left_anti")
-    warm = keyed.join(F.broadcast(names), _KEY, "left_semi")
-    warm_past = None if past is None else past.join(F.broadcast(names), _KEY, "left_semi")
+    cold = keyed.join(hot, _KEY, "left_anti")
+    cold_past = None if past is None else past.join(hot, _KEY, "left_anti")
+    warm = keyed.join(hot, _KEY, "left_semi")
+    warm_past = None if past is None else past.join(hot, _KEY, "left_semi")
     done = _replay(cold, cold_past, uid, span, limit)
     return done.unionByName(_replay_hot(warm, warm_past, uid, span, limit)).drop(_KEY, _TS)
 
@@ -111,7 +109,7 @@ def _replay_hot(df: DataFrame, past: DataFrame | None, uid: str, span: int, limi
     spark = df.sparkSession
     cell = F.floor(F.col(_TS) / F.lit(span)).cast("bigint")
     base = scratch(spark, "greedy")
-    hits, kept = f"{base}/hits", f"{base}/accepted"
+    hits, kept, seeds = f"{base}/hits", f"{base}/accepted", f"{base}/seeds"
     narrow = df.select(_KEY, _TS, uid).withColumn("cell", cell)
     # A few files a cell, however many tasks the input has and however full the cell is.
     placed = narrow.repartition("cell", F.pmod(F.xxhash64(uid), F.lit(CELL_FILES)))
@@ -119,42 +117,40 @@ def _replay_hot(df: DataFrame, past: DataFrame | None, uid: str, span: int, limi
     schema = narrow.drop("cell").schema
     if past is not None:
         # Seeds enter as rows accepted in their own cell.
-        past.select(_KEY, _TS, uid).withColumn("cell", cell).write.partitionBy("cell").parquet(kept)
+        past.select(_KEY, _TS, uid).withColumn("cell", cell).write.partitionBy("cell").parquet(seeds)
     stored = spark.read.schema(narrow.schema).parquet(hits)
     cells = [r.cell for r in stored.select("cell").distinct().orderBy("cell").collect()]
     seeded = set()
     if past is not None:
-        old = spark.read.schema(narrow.schema).parquet(kept).select("cell").distinct()
+        old = spark.read.schema(narrow.schema).parquet(seeds).select("cell").distinct()
         seeded = {r.cell for r in old.collect()}
-    written = set(seeded)
+    written: set[int] = set()
 
-    def accepted_in(number: int) -> DataFrame:
-        if number not in written:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{kept}/cell={number}")
+    def accepted_in(number: int, own: bool = True) -> DataFrame:
+        """Rows accepted in a cell: the seeds, and with `own` what was decided here."""
+        paths = [f"{seeds}/cell={number}"] * (number in seeded) + [f"{kept}/cell={number}"] * (own and number in written)
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
     for number in cells:
         rows = spark.read.schema(schema).parquet(f"{hits}/cell={number}")
         before = accepted_in(number - 1)
-        # At most `limit` times a key, for the few hot keys only.
+        # At most `limit` times a hot key.
         expiry = before.groupBy(_KEY).agg(F.sort_array(F.collect_list(F.col(_TS) + span)).alias("_expiry"))
-        staged = rows.join(F.broadcast(expiry), _KEY, "left").withColumn(
+        staged = rows.join(expiry, _KEY, "left").withColumn(
             "_stretch",
             F.coalesce(F.size(F.filter("_expiry", lambda x: x <= F.col(_TS))), F.lit(0)),
         )
         rank = F.row_number().over(Window.partitionBy(_KEY, "_stretch").orderBy(_TS, uid))
         chosen = staged.withColumn("_rank", rank).filter(F.col("_rank") <= limit).select(_KEY, _TS, uid)
-        earlier = before.unionByName(accepted_in(number)) if number in seeded else before
+        earlier = before.unionByName(accepted_in(number, own=False)) if number in seeded else before
         decided = _replay(chosen, earlier, uid, span, limit).filter("accepted").select(_KEY, _TS, uid)
-        decided.write.mode("append").parquet(f"{kept}/cell={number}")
+        # Seeds lie in a folder of their own, so a cell that is written again replaces itself.
+        decided.write.mode("overwrite").parquet(f"{kept}/cell={number}")
         written.add(number)
 
     taken = spark.read.schema(narrow.schema).parquet(kept)
-    small = taken.count() <= BROADCAST_ROWS
-
-    def side(frame: DataFrame) -> DataFrame:
-        # Past the checked size the shuffle join runs, where AQE splits the busy cells.
-        return F.broadcast(frame) if small else frame
+    if seeded:
+        taken = taken.unionByName(spark.read.schema(narrow.schema).parquet(seeds))
 
     # The origin of a row is the last accepted row up to it, which lies in its own cell or in an earlier one. A key has
     # one row a cell here, so the window is as long as its history, not as its rows.
@@ -164,7 +160,7 @@ def _replay_hot(df: DataFrame, past: DataFrame | None, uid: str, span: int, limi
     lists = every.join(own, [_KEY, "cell"], "left").withColumn("_end", F.try_element_at("_own", F.lit(-1)))
     lists = lists.withColumn("_prev", F.last("_end", ignorenulls=True).over(order)).drop("_end")
     everywhere = df.withColumn("cell", cell)
-    joined = everywhere.join(side(lists), [_KEY, "cell"], "left")
+    joined = everywhere.join(lists, [_KEY, "cell"], "left")
     here = F.filter("_own", lambda a: (a[_TS] < F.col(_TS)) | ((a[_TS] == F.col(_TS)) & (a[uid] <= F.col(uid))))
     mine = F.coalesce(F.try_element_at(here, F.lit(-1)), F.col("_prev"))
     out = joined.withColumn("_from", mine)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ranking import running_totals
 
 
@@ -86,10 +87,14 @@ def model_stats(report: DataFrame) -> DataFrame:
 
 
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives of each distinct score; equal scores are folded before anything is ordered."""
-    return df.groupBy(F.col(score).alias("score")).agg(
+    """Positives and negatives of each distinct score; equal scores are folded before anything is ordered.
+
+    The folded table is written once: quantiles, range totals and rows all come from it, not from the input again.
+    """
+    folded = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
+    return materialise(folded, "scores")
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

@@ -11,6 +11,7 @@ import base64
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ ship(__name__)
 
 # Fixed values of the piece model's format.
 NORMAL, UNKNOWN, BPE_MODEL = 1, 2, 2
-# Distinct pre-tokens remembered in a task; beyond that the memory starts afresh.
-REMEMBERED = 150_000
+# Distinct pre-tokens, and stretches between spaces, remembered in a task; beyond that the memory starts afresh.
+REMEMBERED = 400_000
 # Bytes of a column worked on at once.
 SLICE = 1_000_000
 
@@ -80,48 +81,55 @@ def _encoder(model: bytes, tokens: tuple[bytes, ...], ids: tuple[int, ...]):
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-    known = dict(zip(tokens, ids, strict=True))
+    known = {t: np.int32(i).tobytes() for t, i in zip(tokens, ids, strict=True)}
     characters = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
     by_piece = np.array([-1, *sorted(ids)], dtype=np.int32)
 
     def encode(pieces: list[str]) -> list[bytes]:
         raw = [p.encode("utf-8", "replace") for p in pieces]
-        mapped = [r.decode("latin-1").translate(characters) for r in raw]
-        out = [by_piece[x].tobytes() for x in processor.encode(mapped, out_type=int, num_threads=1)]
+        found = processor.encode([r.decode("latin-1").translate(characters) for r in raw], out_type=int, num_threads=1)
+        flat = by_piece[np.fromiter(chain.from_iterable(found), dtype=np.int64)].tobytes()
+        ends = list(accumulate((4 * len(x) for x in found), initial=0))
         # A pre-token that is itself a token is that token, whatever the merges say.
-        return [np.int32(known[r]).tobytes() if r in known else x for r, x in zip(raw, out, strict=True)]
+        return [known[r] if r in known else flat[a:b] for r, a, b in zip(raw, ends, ends[1:], strict=False)]
 
     return encode
 
 
 def _text_encoder(model: bytes, tokens: tuple[bytes, ...], ids: tuple[int, ...], pattern: str):
-    """A function from a text to the bytes of its ids.
+    """A function from a list of texts to the bytes of their ids.
 
     In the pattern a space before anything but white space always begins a pre-token, so a text without other spaces may be
-    cut at them first; what lies between two is cut and encoded once and remembered.
+    cut at them first; what lies between two, and every pre-token, is cut and encoded once and remembered.
     """
     import regex
 
     encoder, cut, other = _encoder(model, tokens, ids), regex.compile(pattern), regex.compile(r" (?:\s|\Z)")
-    memory: dict[str, bytes] = {}
-
-    def whole(stretches: list[str]) -> list[bytes]:
-        cuts = [cut.findall(x) for x in stretches]
-        flat = iter(encoder([p for c in cuts for p in c]))
-        return [b"".join([next(flat) for _ in c]) for c in cuts]
-
-    def encode_text(text: str) -> bytes:
-        if other.search(text):
-            return whole([text])[0]
-        first, *rest = text.split(" ")
-        if new := set(rest).difference(memory):
-            if len(memory) > REMEMBERED:
-                memory.clear()
-                new = set(rest)
-            memory.update(zip(new, whole([" " + x for x in new]), strict=True))
-        return whole([first])[0] + b"".join(map(memory.__getitem__, rest))
-
-    return encode_text
+    pieces: dict[str, bytes] = {}
+    stretches: dict[str, bytes] = {}  # by the text behind a space
+
+    def whole(texts: list[str]) -> list[bytes]:
+        cuts = [cut.findall(x) for x in texts]
+        new = list({p for c in cuts for p in c if p not in pieces})
+        if len(pieces) + len(new) > REMEMBERED:
+            pieces.clear()
+            new = list({p for c in cuts for p in c})
+        if new:
+            pieces.update(zip(new, encoder(new), strict=True))
+        return [b"".join([pieces[p] for p in c]) for c in cuts]
+
+    def encode_texts(texts: list[str]) -> list[bytes]:
+        odd = [other.search(t) is not None for t in texts]
+        parts = [[] if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
+        new = set(chain.from_iterable(islice(p, 1, None) for p in parts)).difference(stretches)
+        if len(stretches) + len(new) > REMEMBERED:
+            stretches.clear()
+            new = set(chain.from_iterable(islice(p, 1, None) for p in parts))
+        stretches.update(zip(new, whole([" " + x for x in new]), strict=True))
+        firsts = whole([t if o else p[0] for t, o, p in zip(texts, odd, parts, strict=True)])
+        return [f + b"".join(map(stretches.__getitem__, islice(p, 1, None))) for f, p in zip(firsts, parts, strict=True)]
+
+    return encode_texts
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
@@ -140,10 +148,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str
     schema = StructType([*(kept.schema[c] for c in names), StructField(ids_col, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = _text_encoder(*shared.value)
+        encode_texts = _text_encoder(*shared.value)
         for batch in batches:
             for part in _pieces(batch, text_col):
-                found = [encode_text(text or "") for text in part.column(text_col).to_pylist()]
+                found = encode_texts([text or "" for text in part.column(text_col).to_pylist()])
                 offsets = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int32)
                 flat = np.frombuffer(b"".join(found), dtype=np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))

@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate, chain, islice
 
 import numpy as np
@@ -75,7 +74,6 @@ def piece_model(ranks: dict[bytes, int]) -> bytes:
     return bytes(model)
 
 
-@lru_cache(maxsize=2)
 def _encoder(model: bytes, tokens: tuple[bytes, ...], ids: tuple[int, ...]):
     """A function from a list of pre-tokens to their ids, as the bytes of an int32 array each."""
     import sentencepiece

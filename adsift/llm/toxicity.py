@@ -45,7 +45,7 @@ class Model:
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     examples: list[tuple] = field(default_factory=list)  # (identifier, label, term numbers)
     rates: tuple[float, float] = (1.0, 1.0)
-    prior: float = 0.0
+    prior: float = 0.0  # broadcast as the plain dict of these, as executors need not have the class
 
 
 def held_out(id_col: Column) -> Column:
@@ -254,12 +254,12 @@ class _Index:
 
 def _scored(vectors: DataFrame, model: Model) -> DataFrame:
     """vectors with score and evidence."""
-    sent = vectors.sparkSession.sparkContext.broadcast(model)
+    sent = vectors.sparkSession.sparkContext.broadcast(vars(model))
     kept = [c for c in vectors.columns if c != "terms"]
     kind = vectors.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(sent.value)
+        index = _Index(Model(**sent.value))
         for batch in batches:
             found = [index.score(t) for t in batch.column("terms").to_pylist()]
             scores = pa.array([f[0] for f in found], pa.float64())
@@ -285,10 +285,11 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of docs that are not predicted to be toxic, with all their columns."""
     model, _ = fit(docs, labels, id_col, text_col, label_col)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, read = _Index(sent.value), _Reader(sent.value.terms)
+        model = Model(**sent.value)
+        index, read = _Index(model), _Reader(model.terms)
         for batch in batches:
             clean = [index.score(read(t.as_py()))[0] < 0.5 for t in batch.column(text_col)]
             yield batch.filter(pa.array(clean, pa.bool_()))

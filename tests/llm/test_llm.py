@@ -199,10 +199,10 @@ def test_language_model_is_a_distribution():
     for raw, use in context_mixing._streams(iter(texts)):
         symbols = alphabet.symbol[raw]
         for table, slot in zip(tables, slots(raw, symbols), strict=True):
-            np.add.at(table, (slot * 64 + symbols)[use], 1)
+            np.add.at(table, (slot * np.uint32(64) + symbols)[use], 1)
     nodes = [context_mixing._nodes(t.reshape(-1, 64)).reshape(-1) for t in tables]
-    weights = np.full((context_mixing.GATES, context_mixing.ORDERS, context_mixing.DEPTH), context_mixing.START)
-    mixer = context_mixing._Mixer(context_mixing.Model(alphabet, nodes, weights))
+    weights = np.full((context_mixing.ORDERS, context_mixing.DEPTH), context_mixing.START)
+    mixer = context_mixing._Mixer({"symbol": alphabet.symbol, "rest": alphabet.rest, "nodes": nodes}, weights)
     seen, n, _ = mixer.code("lorem ipsum dolor amet lorem")
     unseen, m, _ = mixer.code("qzxj vvkw qqqq zzzz jjjj kkk")
     assert seen / n > unseen / m

@@ -26,14 +26,15 @@ ship(__name__)
 
 WORD = re.compile(r"[^\W\d_]+")
 GRAM = 4  # letters in a part of a word; a word's beginning counts as one
-# The model's bounds: terms in the vectors, labelled examples of each class, and neighbours that vote.
-TERMS, EXAMPLES, NEIGHBOURS = 512, 2_048, 25
+# The model's bounds: labelled texts of each class that terms are chosen by, terms in the vectors, labelled examples of
+# each class, and neighbours that vote.
+CHOOSING, TERMS, EXAMPLES, NEIGHBOURS = 20_000, 512, 2_048, 25
 LEVELS = (1, 2, 4)
 LEAST_DOCS = 3  # labelled texts that must hold a term
 FLUSH = 300_000  # terms counted in a task before they are sent on
-BLOCK = 64
+BLOCK, TOGETHER = 64, 16  # examples in a block, blocks opened at once
 PRIOR_VOTES = 0.5
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -60,6 +61,8 @@ def _learnable(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
+    """(label, words, counts) of (id, text, label)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -67,9 +70,9 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                 counted = [Counter(WORD.findall((t or "").lower())) for t in part.column("text").to_pylist()]
                 words, counts = [list(c) for c in counted], [list(c.values()) for c in counted]
                 lists = [pa.array(words, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *lists], names=["id", "words", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column("label"), *lists], names=["label", "words", "counts"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, words array<string>, counts array<int>")
+    return docs.mapInArrow(run, "label int, words array<string>, counts array<int>")
 
 
 def _terms(word: str) -> list[str]:
@@ -78,13 +81,21 @@ def _terms(word: str) -> list[str]:
     return [word, *("-" + marked[at : at + GRAM] for at in range(len(marked) - GRAM + 1))]
 
 
+def _first(labels: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows of each label, those that come first by a hash of the identifier."""
+    order = F.xxhash64(F.col("id").cast("string"))
+    some = [labels.where(F.col("label") == label).orderBy(order, "id").limit(most) for label in (0, 1)]
+    return some[0].unionByName(some[1])
+
+
 def _telling_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
-    """The terms that go most clearly with the label, by chi-square over all labelled texts; at most TERMS.
+    """The terms that go most clearly with the label, by chi-square over CHOOSING labelled texts a class; at most TERMS.
 
-    A term must pass the level that one of as many terms would reach by chance.
+    A term must pass the level that one of as many terms would reach by chance. The labelled texts are few enough for a
+    broadcast of their identifiers, so no text moves.
     """
-    known = docs.where(~held_out(F.col("id"))).where(F.col("id").isNotNull())
-    labelled = _word_counts(known).join(labels, "id").select("label", "words", "counts")
+    chosen = materialise(_first(labels, CHOOSING), "label_choice")
+    labelled = _word_counts(docs.join(F.broadcast(chosen), "id")).select("label", "words", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, ones = Counter(), Counter()
@@ -111,7 +122,7 @@ def _telling_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
 
     counts = labelled.mapInArrow(run, "term string, n long, a long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
     counts = materialise(counts.where(F.col("n") >= LEAST_DOCS), "label_terms")
-    totals = known.select("id").join(labels, "id").agg(F.count("*").alias("n"), F.sum("label").alias("a")).first()
+    totals = docs.select("id").join(F.broadcast(chosen), "id").agg(F.count("*").alias("n"), F.sum("label").alias("a")).first()
     if not totals.n or not totals.a or totals.a == totals.n:
         return []
     n, a = float(totals.n), float(totals.a)
@@ -163,8 +174,9 @@ def _vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, DataFrame]:
     """The model, and the stored vectors (id, terms) of all rows of docs.
 
-    Terms and class shares come from all labelled rows outside the held-out fold, term weights from all of docs. The
-    examples are those EXAMPLES rows of each class with a telling term that come first by a hash of their identifier.
+    Terms come from CHOOSING labelled rows of each class outside the held-out fold, class shares from all of them, term
+    weights from all of docs. The examples are those EXAMPLES rows of each class with a telling term that come first by a
+    hash of their identifier.
     """
     known = _learnable(labels, id_col, label_col)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -202,12 +214,11 @@ class _Index:
             for term, weight in self._weights(terms):
                 postings.setdefault(term, []).append((at, weight))
         self.blocks = -(-len(self.examples) // BLOCK)
-        self.postings, self.starts, self.largest = {}, {}, {}
+        self.postings, self.largest = {}, {}
         for term, rows in postings.items():
             at = np.array([r[0] for r in rows])
             weights = np.array([r[1] for r in rows])
             self.postings[term] = (at, weights)
-            self.starts[term] = np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
             self.largest[term] = np.zeros(self.blocks)
             np.maximum.at(self.largest[term], at // BLOCK, weights)
         self.labels = np.array([e[1] for e in self.examples])
@@ -224,17 +235,24 @@ class _Index:
         if not query:
             return []
         bounds = sum(w * self.largest[t] for t, w in query)
+        order = np.argsort(-bounds, kind="stable")
         best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == NEIGHBOURS and bounds[block] < -best[-1][0] - 1e-12:
+        for at in range(0, len(order), TOGETHER):
+            top = bounds[order[at]]
+            if top <= 0 or len(best) == NEIGHBOURS and top < -best[-1][0] - 1e-12:
                 break
-            scores = np.zeros(BLOCK)
+            opened = np.zeros(self.blocks, dtype=bool)
+            opened[order[at : at + TOGETHER]] = True
+            scores = np.zeros(self.blocks * BLOCK)
             for t, w in query:
-                a, b = self.starts[t][block], self.starts[t][block + 1]
-                at, weights = self.postings[t]
-                scores[at[a:b] - block * BLOCK] += w * weights[a:b]
-            hits = np.flatnonzero(scores > 0)
-            best = sorted(best + [(-round(float(scores[h]), 12), int(block * BLOCK + h)) for h in hits])[:NEIGHBOURS]
+                places, weights = self.postings[t]
+                use = opened[places // BLOCK]
+                scores[places[use]] += w * weights[use]
+            hits = np.flatnonzero(scores)
+            if len(hits) > NEIGHBOURS:  # what cannot be among the nearest, ties kept
+                least = np.partition(scores[hits], -NEIGHBOURS)[-NEIGHBOURS]
+                hits = hits[scores[hits] >= least - 1e-9]
+            best = sorted(best + [(-round(float(scores[h]), 12), int(h)) for h in hits])[:NEIGHBOURS]
         return [(-s, e) for s, e in best]
 
     def score(self, terms: list[int]) -> tuple[float, list]:

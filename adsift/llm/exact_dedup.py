@@ -37,17 +37,22 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str, rest: Column | None) ->
         F.col(id_col).alias("id"), normalised(F.col(text_col)).cast("binary").alias("norm"), *([rest.alias("row")] if rest is not None else [])
     )
     keyed = norm.select(F.substring("norm", 1, HEAD_BYTES).alias("head"), F.unhex(F.sha2("norm", 256)).alias("digest"), "*")
+    whole = ["norm"]
+    if rest is not None:  # the text moves in its row only; it is normalised again where neighbours are compared
+        keyed, whole = keyed.drop("norm"), []
     dealt = keyed.repartitionByRange("head", "digest", F.col("id").desc_nulls_last())
-    return dealt.sortWithinPartitions("head", "digest", "norm", F.col("id").desc_nulls_last())
+    return dealt.sortWithinPartitions("head", "digest", *whole, F.col("id").desc_nulls_last())
 
 
-def _runs(batches: Iterator[pa.RecordBatch], schema: pa.Schema, rows: bool) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], schema: pa.Schema, text_col: str | None) -> Iterator[pa.RecordBatch]:
     """Rows of a sorted range with the run of equal texts each belongs to.
 
     side tells the first (1), the last (2) and the only (3) run of a range from those between (0); the first row of such
-    a run carries its text. With rows only the first row of each run goes on, otherwise the identifiers do. A run's
-    identifiers are all that is held: a range is bounded by the shuffle, and so are its identifiers.
+    a run carries its text. With text_col, the name of the text in the rows, only the first row of each run goes on,
+    otherwise the identifiers do. A run's identifiers are all that is held: a range is bounded by the shuffle, and so are
+    its identifiers.
     """
+    rows = text_col is not None
     part = TaskContext.get().partitionId()
     out: list[tuple] = []
     run: tuple | None = None  # (digest, text, identifiers, row of the first)
@@ -67,8 +72,12 @@ def _runs(batches: Iterator[pa.RecordBatch], schema: pa.Schema, rows: bool) -> I
         return made
 
     for b in batches:
-        columns = [b.column(c).to_pylist() for c in ("id", "digest", "norm")]
+        columns = [b.column(c).to_pylist() for c in ("id", "digest")]
         carried = b.column("row") if rows else None
+        if rows:  # bytes.lower changes A-Z only
+            columns.append([(t or "").encode("utf-8", "replace").lower() for t in carried.field(text_col).to_pylist()])
+        else:
+            columns.append(b.column("norm").to_pylist())
         for k, (one, digest, text) in enumerate(zip(*columns, strict=True)):
             if run is not None and run[0] == digest and run[1] == text:
                 run[2].append(one)
@@ -94,7 +103,7 @@ def _stored(docs: DataFrame, id_col: str, text_col: str, rows: bool) -> DataFram
         + [StructField("edge_text", BinaryType()), *([ordered.schema["row"]] if rows else [])]
     )
     arrow = to_arrow_schema(schema)
-    return materialise(ordered.mapInArrow(lambda it: _runs(it, arrow, rows), schema), "equal_texts")
+    return materialise(ordered.mapInArrow(lambda it: _runs(it, arrow, text_col if rows else None), schema), "equal_texts")
 
 
 def _stitched(stored: DataFrame) -> DataFrame:

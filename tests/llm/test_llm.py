@@ -203,11 +203,11 @@ def test_language_model_is_a_distribution():
     nodes = [context_mixing._nodes(t.reshape(-1, 64)).reshape(-1) for t in tables]
     weights = np.full((context_mixing.ORDERS, context_mixing.DEPTH), context_mixing.START)
     mixer = context_mixing._Mixer({"symbol": alphabet.symbol, "rest": alphabet.rest, "nodes": nodes}, weights)
-    seen, n, _ = mixer.code("lorem ipsum dolor amet lorem")
-    unseen, m, _ = mixer.code("qzxj vvkw qqqq zzzz jjjj kkk")
+    seen, n, _ = mixer.code(b"lorem ipsum dolor amet lorem".split())
+    unseen, m, _ = mixer.code(b"qzxj vvkw qqqq zzzz jjjj kkk".split())
     assert seen / n > unseen / m
     # One-letter words are followed by the same end, so their chances and the rest's are comparable: none exceeds one.
-    chances = [10 ** mixer.code(chr(c))[0] for c in range(33, 65)]
+    chances = [10 ** mixer.code([bytes([c])])[0] for c in range(33, 65)]
     assert sum(chances) < 1
 
 

@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 import corpus_pipeline
-from adsift.llm import bpe, context_mixing, exact_dedup, links, mixing, pii, sharding, simhash, suffix_dedup, suffixes, topk, toxicity
+from adsift.llm import bpe, byte_mixing, context_mixing, exact_dedup, links, mixing, pii, sharding, simhash, suffix_dedup, suffixes, topk, toxicity
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -211,6 +211,61 @@ def test_language_model_is_a_distribution():
     assert sum(chances) < 1
 
 
+def context_counts(texts):
+    """Counts of the byte after each context, by plain dictionaries; and the contexts of every place."""
+    def contexts(text):
+        raw = bytes([10]) * byte_mixing.PAD + b" ".join(byte_mixing.words_of(text)) + bytes([10])
+        for at in range(byte_mixing.PAD, len(raw)):
+            begin = max(raw.rfind(b" ", 0, at), raw.rfind(bytes([10]), 0, at)) + 1
+            yield [(k, raw[at - k : at]) for k in byte_mixing.RECENT] + [("word", raw[begin:at])], raw[at]
+
+    counts: dict = {}
+    for text in texts:
+        for held, byte in contexts(text):
+            for c in held:
+                counts.setdefault(c, Counter())[byte] += 1
+    return counts, contexts
+
+
+def test_language_model_counts_every_context(spark, monkeypatch):
+    """Predictors are those of exact counts, however many contexts there are, and slices answer each other."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(byte_mixing, "SLICE", 120_000)
+    draw = random.Random(12)
+    texts = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1500)) for _ in range(240)] + ["naïve日本 😀 x", "", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    dealt, answers, weights = byte_mixing.model(docs, F.col("id") % 5 != 1)
+    counts, contexts = context_counts([t for i, t in enumerate(texts) if i % 5 != 1])
+    assert sum(k == 5 for k, _ in counts) > 1 << 17  # more than the slots that the model once had
+    assert weights.shape == (byte_mixing.GATES, byte_mixing.ORDERS, 8) and dealt.select("slice").distinct().count() > 2
+    found: dict = {}
+    for r in answers.collect():
+        found.setdefault(r.slice, []).append((r.bucket, bytes(r.predictors)))
+    by: dict = {}
+    for r in dealt.collect():
+        by.setdefault(r.slice, []).append(r)
+    assert set(by) == set(found)
+    for number, members in by.items():
+        data = b"".join(p for _, p in sorted(found[number]))
+        slice_ = byte_mixing._Slice([r.text for r in members])
+        assert len(data) == 8 * len(slice_.keys)
+        for row in draw.sample(range(len(members)), 4):
+            start = slice_.starts[row]
+            for n, (held, byte) in enumerate(contexts(members[row].text)):
+                for k, context in enumerate(held):
+                    after = counts.get(context, {})
+                    key = slice_.places[k][start + n]
+                    for depth in range(8):
+                        same = lambda b, d: b >> 8 - d == byte >> 8 - d
+                        here = sum(c for b, c in after.items() if same(b, depth))
+                        way = sum(c for b, c in after.items() if same(b, depth + 1))
+                        odds = round(max(-127, min(127, 16 * math.log((way + 0.05) / (here - way + 0.05)))))
+                        even = 1 if byte >> 7 - depth & 1 else -1
+                        wanted = (odds or even) if here else 0
+                        assert int.from_bytes(data[8 * key + depth : 8 * key + depth + 1], signed=True) == wanted
+
+
 # 6 -- top k
 
 

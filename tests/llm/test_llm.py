@@ -266,6 +266,37 @@ def test_language_model_counts_every_context(spark, monkeypatch):
                         assert int.from_bytes(data[8 * key + depth : 8 * key + depth + 1], signed=True) == wanted
 
 
+def test_language_model_mixes_by_gate_and_block():
+    """Mixing side by side is that of one decision after the other: weights by gate, and a step every BLOCK bytes of short texts."""
+    import numpy as np
+
+    draw = random.Random(14)
+    texts = [" ".join(draw.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(draw.randint(1, 60))) for _ in range(40)]
+    train, held = byte_mixing._Slice(texts), byte_mixing._Slice(["lorem ipsum qqq dolor zamet lor", "", "amet " * 40])
+    asked = [train.keys, held.keys], [train.counts(np.ones(40, dtype=bool)), np.zeros(len(held.keys), dtype=np.int64)]
+    found = np.frombuffer(list(byte_mixing._answered(0, [0, 1], [False, False], *asked))[1][2], np.int8).reshape(-1, 8)
+    start = np.random.default_rng(3).uniform(0.1, 0.5, (byte_mixing.GATES, byte_mixing.ORDERS, 8))
+    scores, ended = byte_mixing.Mixer(held, found).code(start)
+    assert byte_mixing.RECENT == (2, 3, 4, 5) and byte_mixing.GATES == 4
+    used = set()
+    for text in range(3):
+        weights, total = start.copy(), 0.0
+        for at in range(0, held.sizes[text], byte_mixing.BLOCK):
+            step = np.zeros_like(weights)
+            for n in range(at, min(at + byte_mixing.BLOCK, held.sizes[text])):
+                st = np.array([found[p[held.starts[text] + n]] for p in held.places]) / byte_mixing.SCALE
+                for depth in range(8):
+                    gate = 2 * (st[-2, depth] != 0) + (st[-1, depth] != 0)
+                    used.add(int(gate))
+                    chance = 1 / (1 + math.exp(-max(-12, min(12, weights[gate, :, depth] @ st[:, depth]))))
+                    total += math.log10(chance)
+                    step[gate, :, depth] += byte_mixing.RATE * byte_mixing.SCALE * (1 - chance) * st[:, depth]
+            weights += step
+        assert math.isclose(scores[text], total, rel_tol=1e-4) and np.allclose(ended[text], weights, rtol=1e-3, atol=1e-4)
+        assert not np.allclose(ended[text], start, atol=1e-4) or held.sizes[text] == 1
+    assert len(used) == 4
+
+
 # 6 -- top k
 
 

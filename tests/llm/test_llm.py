@@ -272,7 +272,7 @@ def test_language_model_mixes_by_gate_and_block():
 
     draw = random.Random(14)
     texts = [" ".join(draw.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(draw.randint(1, 60))) for _ in range(40)]
-    train, held = byte_mixing._Slice(texts), byte_mixing._Slice(["lorem ipsum qqq dolor zamet lor", "", "amet " * 40])
+    train, held = byte_mixing._Slice(texts), byte_mixing._Slice(["lorem ipsum qqq dolor zamet xxlorem lor", "", "amet " * 40])
     asked = [train.keys, held.keys], [train.counts(np.ones(40, dtype=bool)), np.zeros(len(held.keys), dtype=np.int64)]
     found = np.frombuffer(list(byte_mixing._answered(0, [0, 1], [False, False], *asked))[1][2], np.int8).reshape(-1, 8)
     start = np.random.default_rng(3).uniform(0.1, 0.5, (byte_mixing.GATES, byte_mixing.ORDERS, 8))
@@ -297,6 +297,21 @@ def test_language_model_mixes_by_gate_and_block():
     assert len(used) == 4
 
 
+def test_language_model_knows_every_script(spark):
+    """Among texts of many ASCII letters, a Cyrillic text of known words is cheaper than the same letters mixed."""
+    draw = random.Random(13)
+    ascii_ = ["".join(chr(draw.choice(range(33, 127))) for _ in range(6)) for _ in range(80)]
+    words = ["молоко", "дерево", "человек", "хорошо", "работа", "сегодня", "дорога", "вопрос"]
+    texts = [" ".join(draw.choice(ascii_) for _ in range(120)) for _ in range(600)]
+    texts += [" ".join(draw.choice(words) for _ in range(40)) for _ in range(60)]
+    known = " ".join(draw.choice(words) for _ in range(40))
+    mixed = " ".join("".join(draw.sample(w, len(w))) for w in known.split())
+    ids = [i for i in range(10_000) if brute.fold(i) != 1][: len(texts)] + [i for i in range(10_000) if brute.fold(i) == 1][:2]
+    docs = brute.frame(spark, [(i, t, *brute.odd_rows()[0][2:]) for i, t in zip(ids, [*texts, known, mixed], strict=True)])
+    found = {r.doc_id: r.bits_per_byte for r in context_mixing.scores(docs).collect()}
+    assert found[ids[-2]] * 2 < found[ids[-1]]
+
+
 # 6 -- top k
 
 

@@ -1,8 +1,9 @@
 """Personal data: patterns, and terms that disclose them by co-occurrence, with DataFrame expressions only.
 
-Addresses, numbers and the like are found by pattern. Corpus counts then tell how strongly a word that stands near such an
-entity reveals it: the pointwise mutual information of word and entity, against the information the entity itself holds. A
-word above the threshold is generalised (a name, a number) or removed wherever it stands near that entity.
+Addresses, numbers and the like are found by pattern. Corpus counts then tell how strongly a word that stands with such an
+entity reveals it: the pointwise mutual information of word and entity over whole documents, against the information the
+entity itself holds. A word above the threshold is generalised (a name, a number) or removed wherever it stands in a
+document that holds the entity.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 WORD = r"[\p{L}\p{N}_]+"
 
-# Code points looked at on either side of an entity; different contexts that must show a word near it; the share of the
-# entity's information that a word may give away.
-REACH, LEAST_CONTEXTS, DISCLOSURE = 64, 3, 0.8
+# Surroundings tell copies of a passage apart: code points on either side of an entity, words on either side of a word.
+# LEAST_CONTEXTS of them must show a word with an entity; DISCLOSURE is the share of the entity's information that a word may give away.
+REACH, BESIDE, LEAST_CONTEXTS, DISCLOSURE = 64, 7, 3, 0.8
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -87,69 +88,110 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _near(text: Column) -> Column:
-    """Words that stand next to an entity: array of (entity, context, words: array of (start, end, value)).
+def _shown(text: Column, base: Column) -> Column:
+    """The entities of base: array of (entity, context), a hash of what surrounds it in the text."""
 
-    Entities are taken from left to right; the gaps between them are cut out once, so a long text costs its length.
-    """
-    pattern = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS)
-    found, gaps = _matches(text, pattern), F.split(text, pattern, -1)
-    behind = F.slice(gaps, F.lit(2), F.size(gaps))
-    sides = F.zip_with(gaps, behind, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-
-    def around(x: Column, side: Column) -> Column:
-        left, right = side["left"], side["right"]
-        before, after = F.right(left, F.lit(REACH)), F.left(right, F.lit(REACH))
-        whole_left = lambda w: (F.length(left) <= REACH) | (w["start"] > 0)
-        whole_right = lambda w: (F.length(right) <= REACH) | (w["end"] < REACH)
-        move = lambda words, by: F.transform(words, lambda w: F.struct(
-            (w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("value")))
-        lefts = move(F.filter(_matches(before, WORD), whole_left), x["start"] - F.length(before))
-        rights = move(F.filter(_matches(after, WORD), whole_right), x["end"])
-        context = F.xxhash64(F.lower(before), F.lower(after))
-        return F.struct(F.lower(x["value"]).alias("entity"), context.alias("context"), F.concat(lefts, rights).alias("words"))
-
-    valid = lambda x: (
-        x["entity"].contains("@") | (x["entity"].rlike(r"^[0-9.]+$") & _valid("ip", x["entity"]) & x["entity"].contains("."))
-        | (x["entity"].rlike(r"^[0-9 -]+$") & _valid("card", x["entity"])) | (x["entity"].startswith("+") & _valid("phone", x["entity"]))
-    )
-    return F.filter(F.zip_with(found, F.slice(sides, F.lit(1), F.size(found)), around), valid)
+    def one(x: Column) -> Column:
+        first = F.greatest(x["start"] - REACH, F.lit(0))
+        before = F.substring(text, first + 1, x["start"] - first)
+        after = F.substring(text, x["end"] + 1, F.lit(REACH))
+        return F.struct(F.lower(x["value"]).alias("entity"), F.xxhash64(F.lower(before), F.lower(after)).alias("context"))
+
+    return F.transform(base, one)
+
+
+def _masked(text: Column, base: Column) -> Column:
+    """The text with a space for every code point of an entity, so that places stay."""
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = F.greatest(acc["at"], x["start"])
+        gap = F.substring(text, acc["at"] + 1, begin - acc["at"])
+        moved = F.struct(x["end"].alias("at"), F.concat(acc["out"], gap, F.repeat(F.lit(" "), x["end"] - begin)).alias("out"))
+        return F.when(x["end"] <= acc["at"], acc).otherwise(moved)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(base, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(_words(text), F.lower))
+
+
+def _used(words: Column) -> Column:
+    """Every word of an array of them: array of (term, form, context), a hash of the words beside it."""
+    lowered = F.transform(words, F.lower)
+
+    def one(w: Column, at: Column) -> Column:
+        beside = F.slice(lowered, F.greatest(at + 1 - BESIDE, F.lit(1)), F.lit(2 * BESIDE + 1))
+        return F.struct(F.lower(w).alias("term"), w.alias("form"), F.xxhash64(beside).alias("context"))
+
+    return F.transform(words, one)
+
+
+def _places(text: Column, form: Column) -> Column:
+    """Where a word stands in the text, as it is written: array of spans."""
+    gaps = F.split(text, F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), form, F.lit(r"(?![\p{L}\p{N}_])")), -1)
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+
+    def step(acc: Column, gap: Column) -> Column:
+        begin = acc["at"] + F.length(gap)
+        end = begin + F.length(form)
+        found = F.struct(begin.alias("start"), F.lit(TERM).alias("kind"), end.alias("end"))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], found).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    return F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), start, step, lambda acc: acc["out"])
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """One row per row of docs: doc_id, key (two hashes of id and text), base and terms, sorted arrays of (start, kind, end).
 
-    Places are in code points, the end exclusive. A word is in terms where it stands near an entity it reveals. Copies of
-    a passage count once as evidence, and only words near an entity are ever touched, so texts without personal data stay
-    as they are. Null texts count as empty. Empty tables give empty results; other columns are not read.
+    Places are in code points, the end exclusive. A word is in terms wherever it stands, outside entities, in a text that
+    holds an entity it reveals. It must be shown with the entity in `least` different surroundings, of the entity or of
+    the word, so copies of a passage count once as evidence. Texts without personal data stay as they are. Null texts count
+    as empty. Empty tables give empty results; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.struct(F.xxhash64(F.col(id_col), text).alias("a"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("b"))
     read = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    near = F.when(F.size("base") > 0, _near(F.col("text")))
     bare = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    rows = materialise(read.select("doc_id", "key", bare.alias("base"), near.alias("near")), "personal")
-
-    held = rows.where("near is not null").select("key", F.explode("near").alias("x")).select("key", "x.*")
-    words = held.select("key", "entity", "context", F.explode("words").alias("w"))
-    words = materialise(words.select("key", "entity", "context", F.col("w.value").alias("term"), "w.start", "w.end"), "near_words")
-    # Distinct first: of a hot entity's copies one row a context is left, and rows of a pair are summed where they lie.
-    shown = words.select("term", "entity", "context").distinct().groupBy("term", "entity").agg(F.count("*").alias("contexts"))
-    pairs = materialise(shown.where(F.col("contexts") >= least), "pairs")
-    together = words.join(pairs, ["term", "entity"], "left_semi").select("term", "entity", "key").distinct()
-    together = together.groupBy("term", "entity").agg(F.count("*").alias("both"))
-    of_entity = held.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))).alias("term"))
-    of_term = every.groupBy("term").agg(F.count("*").alias("n_term"))
+    masked = F.when(F.size("base") > 0, _masked(F.col("text"), F.col("base")))
+    rows = materialise(read.select("doc_id", "key", bare.alias("base"), _shown(F.col("text"), F.col("base")).alias("shown"), masked.alias("masked")), "personal")
     total = rows.count()
+
+    held = rows.select("key", F.explode("shown").alias("x")).select("key", "x.*")
+    per = held.groupBy("entity", "key").agg(F.count("*").alias("n"))
+    # A text or a place of the entity is at most one piece of evidence, so rarer entities cannot reach `least`.
+    of_entity = per.groupBy("entity").agg(F.count("*").alias("n_entity"), F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col("n_entity") < total))
+    of_entity = materialise(of_entity.drop("n"), "entities")
+    entities = per.join(of_entity, "entity", "left_semi").groupBy("key").agg(F.collect_list("entity").alias("entities"))
+    texts = rows.where("masked is not null").groupBy("key").agg(F.first("masked").alias("masked"))
+    holding = materialise(texts.join(entities, "key"), "holding")
+
+    # Over whole texts; a hot entity's pairs are summed where they lie before they move.
+    pairs = holding.select(F.explode("entities").alias("entity"), _terms(F.col("masked")).alias("terms")).select("entity", F.explode("terms").alias("term"))
+    together = pairs.groupBy("term", "entity").agg(F.count("*").alias("both"))
+    of_term = docs.select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     scored = together.join(of_entity, "entity").join(of_term, "term")
     share = F.log2(F.lit(float(total)) * F.col("both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(F.lit(float(total)) / F.col("n_entity"))
-    telling = materialise(scored.where((F.col("n_entity") < total) & (share >= disclosure)).select("term", "entity"), "telling")
-
-    place = F.struct("start", F.lit(TERM).alias("kind"), "end")
-    added = words.join(telling, ["term", "entity"], "left_semi").groupBy("key").agg(F.array_sort(F.collect_set(place)).alias("terms"))
+    likely = materialise(scored.where(share >= disclosure).select("term", "entity"), "likely")
+
+    used = holding.select("key", "entities", _used(_words(F.col("masked"))).alias("used")).select("key", F.explode("entities").alias("entity"), "used").select("key", "entity", F.explode("used").alias("w"))
+    used = materialise(used.select("key", "entity", "w.*").join(likely, ["term", "entity"], "left_semi"), "likely_words")
+    beside = used.groupBy("term", "entity", "key").agg(F.min("context").alias("context")).select("term", "entity", F.lit(0).alias("of"), "context")
+    around = used.select("term", "entity", "key").distinct().join(held, ["entity", "key"]).select("term", "entity", F.lit(1).alias("of"), "context")
+    evidence = beside.unionByName(around).distinct().groupBy("term", "entity", "of").agg(F.count("*").alias("n"))
+    telling = evidence.where(F.col("n") >= least).select("term", "entity").distinct()
+
+    forms = used.join(telling, ["term", "entity"], "left_semi").groupBy("key").agg(F.collect_set("form").alias("forms"))
+    places = F.array_sort(F.flatten(F.transform("forms", lambda form: _places(F.col("masked"), form))))
+    added = forms.join(holding, "key").select("key", places.alias("terms"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return rows.drop("near").join(added, "key", "left").withColumn("terms", F.coalesce("terms", none))
+    return rows.drop("shown", "masked").join(added, "key", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def _listed(places: Column) -> Column:

@@ -366,6 +366,27 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in clean[0] and "[NAME]" in clean[0] and "Zanz" not in clean[0] and clean[10] == texts[10]
 
 
+def disclosed(spark, texts, word):
+    """The places of a word in the texts, and those that the report lists as terms."""
+    import re
+
+    docs = brute.frame(spark, [(i, t, *brute.odd_rows()[0][2:]) for i, t in enumerate(texts)])
+    found = {r.doc_id: {x for x in r.spans.split(",") if x.startswith("term")} for r in pii.report(docs).collect()}
+    stand = {i: {f"term:{m.start()}:{m.end()}" for m in re.finditer(word, t)} for i, t in enumerate(texts)}
+    return stand, found
+
+
+def test_disclosing_terms_behind_numbers(spark):
+    """Numbers between a word and an entity, or in front of an address of digits, hide nothing."""
+    draw = random.Random(17)
+    filler = lambda: " ".join(draw.choice(["the", "of", "and", "note", "plan"]) for _ in range(30))
+    texts = [f"{filler()} Zanzibarov, room 12, zan@corp.example {filler()}" for _ in range(6)]
+    texts += [f"{filler()} Quellhost port 22 10.0.0.1 {filler()}" for _ in range(6)]
+    texts += [f"{filler()} room 12, port 22 {filler()}" for _ in range(80)]
+    stand, found = disclosed(spark, texts, "Zanzibarov|Quellhost")
+    assert all(found[i] == stand[i] for i in range(len(texts))) and stand[0] and stand[6]
+
+
 # 8 -- byte-level BPE
 
 

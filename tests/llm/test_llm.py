@@ -387,6 +387,19 @@ def test_disclosing_terms_behind_numbers(spark):
     assert all(found[i] == stand[i] for i in range(len(texts))) and stand[0] and stand[6]
 
 
+def test_disclosing_terms_far_from_the_entity(spark):
+    """A name far from the address is found over whole texts, and every place of it is marked; copies are one piece of evidence."""
+    draw = random.Random(18)
+    filler = lambda n: " ".join(draw.choice(["the", "of", "and", "note", "plan"]) for _ in range(n))
+    texts = [f"Dear Zanzibarov, {filler(60)} write to zan@corp.example soon. {filler(60)} zanzibarov {filler(4)} Zanzibarov" for _ in range(6)]
+    texts += [filler(80) for _ in range(60)]
+    copy = f"{filler(50)} Kopperfield {filler(50)} kop@corp.example {filler(30)}"
+    texts += [f"{copy} {filler(20)}" for _ in range(5)]
+    stand, found = disclosed(spark, texts, "[Zz]anzibarov")
+    assert all(stand[i] <= found[i] for i in range(6)) and len(stand[0]) == 3
+    assert not any(found[i] for i in range(6, len(texts)))
+
+
 # 8 -- byte-level BPE
 
 

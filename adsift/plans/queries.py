@@ -120,7 +120,7 @@ def snk_corpus_csv(spark, sf_dir):
 @query
 def snk_keyword_bank(spark, sf_dir):
     path = scratch(prepare(spark), "keyword-bank")
-    model, featuriser = _forest(spark, sf_dir, **SMALL_FOREST)
+    model, featuriser = _forest(spark, sf_dir)
     top = learning.top_keywords(learning.feature_importance(model, featuriser), 100)
     learned = rp.phrase_counts(views.reports(spark, sf_dir))
     keyword_files.write_bank(top, learned, path, AS_OF)
@@ -680,20 +680,16 @@ def ml_logistic(spark, sf_dir):
     return _beats_majority(learning.predict(_test_part(spark, sf_dir), model, featuriser))
 
 
-# Importances need no deep trees; a small forest keeps the queries about them cheap.
-SMALL_FOREST = {"trees": 40, "depth": 8}
-
-
 @query
 def ml_feature_importance(spark, sf_dir):
-    rows = materialise(learning.feature_importance(*_forest(spark, sf_dir, **SMALL_FOREST)), "importances")
+    rows = materialise(learning.feature_importance(*_forest(spark, sf_dir)), "importances")
     total = rows.agg(F.round(F.sum("importance"), 2).alias("t")).scalar()
     return rows.select("phrase", F.col("importance").between(0, 1).alias("is_share")).withColumn("total", total)
 
 
 @query
 def srt_top_keywords(spark, sf_dir):
-    model, featuriser = _forest(spark, sf_dir, **SMALL_FOREST)
+    model, featuriser = _forest(spark, sf_dir)
     return _ranked_keywords(learning.top_keywords(learning.feature_importance(model, featuriser), 50), featuriser)
 
 
@@ -709,7 +705,7 @@ def _ranked_keywords(top, featuriser):
 
 @query
 def snk_model(spark, sf_dir):
-    model, featuriser = _forest(spark, sf_dir, **SMALL_FOREST)
+    model, featuriser = _forest(spark, sf_dir)
     path = scratch(spark, "model")
     models.save(model, featuriser, path)
     loaded = models.load(spark, path, featuriser)

@@ -55,3 +55,19 @@ def test_stream_equals_batch(spark, sf_dir, batch, stream):
 def test_top_words_limit_before_shuffle(spark, sf_dir):
     plan = entry.queries()["win_top_words"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+@pytest.mark.parametrize("name", ["snk_keyword_bank", "snk_model", "srt_top_keywords", "ml_feature_importance"])
+def test_queries_train_the_services_forest(spark, sf_dir, monkeypatch, name):
+    from adsift.operators import learning
+
+    class Seen(Exception):
+        pass
+
+    def train(df, estimator, featuriser):
+        raise Seen(estimator.getNumTrees(), estimator.getMaxDepth())
+
+    monkeypatch.setattr(learning, "train", train)
+    with pytest.raises(Seen) as seen:
+        entry.queries()[name](spark, sf_dir)
+    assert seen.value.args == (200, 20)

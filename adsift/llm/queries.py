@@ -4,8 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from adsift.llm import bpe, context_mixing, exact_dedup, mixing, pii, sharding, simhash, suffix_dedup, topk, toxicity
+from pyspark.sql import functions as F
+
+from adsift.llm import (
+    bpe,
+    chat,
+    context_mixing,
+    divergence,
+    exact_dedup,
+    merkle,
+    mixing,
+    pii,
+    sharding,
+    simhash,
+    suffix_dedup,
+    topk,
+    toxicity,
+)
 from adsift.session import prepare
 
 
@@ -54,6 +69,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts are made up of control strings."""
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    hostile = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return chat.digests(table.unionByName(hostile))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
@@ -65,4 +96,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
+    "op11_divergence": op11_divergence,
+    "op12_merkle": op12_merkle,
+    "op13_chat": op13_chat,
 }

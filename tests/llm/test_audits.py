@@ -231,13 +231,13 @@ def test_chat_text_and_mask(spark):
 
 
 def test_chat_templates(spark):
-    own = chat.Template({"q": "<q>", "a": "<a>"}, ("<r ", "]]"), "<end>", frozenset("qa"), {"start": {"q": "q"}, "q": {"q": "q", "a": "done"}}, frozenset({"done"}))
-    data = [(1, 0, "q", "<end><a>", None, 1), (1, 1, "q", "<q>\\", None, 1), (1, 2, "a", "", None, 1), (2, 0, "x]]y", "<r ", None, 1)]
+    own = chat.Template({"q": "<q>", "a": "<a>"}, ("<r ", "]-"), "<end>", frozenset("qa"), {"start": {"q": "q"}, "q": {"q": "q", "a": "done"}}, frozenset({"done"}))
+    data = [(1, 0, "q", "<end><a>", None, 1), (1, 1, "q", "<q>\\", None, 1), (1, 2, "a", "", None, 1), (2, 0, "x]-y", "<r ", None, 1)]
     got = chat.formatted(spark.createDataFrame(data, TURNS), own).withColumn("back", chat.read_back(chat.F.col("formatted"), own))
     got = {r.conv_id: r for r in got.withColumn("loss", chat.trained_text(chat.F.col("segments"))).collect()}
     assert [tuple(t) for t in got[1].back] == [("q", "<end><a>"), ("q", "<q>\\"), ("a", "")]
     assert (got[1].loss, got[1].valid, got[2].bad_turn) == ("<end><a><q>\\", True, 1)
-    assert [tuple(t) for t in got[2].back] == [("x]]y", "<r ")]
+    assert [tuple(t) for t in got[2].back] == [("x]-y", "<r ")]
     for headers, end in (({"u": "<u>"}, "<u>"), ({"u": "<u></e>"}, "</e>"), ({"u": "u<"}, "</e>"), ({"u": "\\u"}, "</e>")):
         with pytest.raises(ValueError):
             chat.Template(headers, ("[[", "]]"), end, frozenset(), {"start": {}}, frozenset())

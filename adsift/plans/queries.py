@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def snk_reports_jsonl(spark, sf_dir):
 
 @query
 def snk_reports_table(spark, sf_dir):
-    stream = _report_stream(spark, sf_dir)
+    stream = _report_stream(spark, sf_dir, close=True)
     table = sr.filed_reports(stream, "filed", delay=STREAM_DELAY)
     return table.select("event_id", "url_hash", "risk_score", "status", "evidence_text", "filed_on")
 
@@ -718,19 +719,31 @@ def snk_model(spark, sf_dir):
 # --- streaming ---------------------------------------------------------------------------------------------------
 
 
-# Files come one a trigger and in no order of time; the delay covers the table, so no row is late.
-STREAM_FILES, STREAM_DELAY = 3, 60 * 24 * 3600.0
+# Rows arrive up to JITTER after their time, in files that come one a trigger; the delay covers that, so no row is late.
+STREAM_FILES, STREAM_DELAY, JITTER = 5, 24 * 3600.0, 20 * 3600
 
 
-def _arriving(spark, df, uid):
-    """A table as an arriving stream: written to the shared folder in shuffled files and read file by file."""
+def _arriving(spark, df, uid, ts, close=True):
+    """A table as an arriving stream: files in the order of arrival, a little out of order in time, read one by one.
+
+    With close, a last file holds nothing but a time far ahead, so that the watermark passes every row of the table.
+    """
     path = scratch(prepare(spark), "stream-in")
-    df.repartition(STREAM_FILES, F.xxhash64(uid)).write.parquet(path)
+    seconds = F.unix_timestamp(F.col(ts).cast("timestamp")) + F.pmod(F.xxhash64(uid), F.lit(JITTER))
+    rows = materialise(df.withColumn("_arrives", seconds), "arrivals")
+    ends = rows.agg(F.min("_arrives").alias("first"), F.max("_arrives").alias("last"), F.max(ts).alias("newest")).first()
+    step = ((ends.last or 0) - (ends.first or 0)) // STREAM_FILES + 1
+    part = (F.col("_arrives") - (ends.first or 0)) / step
+    for number in range(STREAM_FILES):
+        rows.filter(F.floor(part) == number).drop("_arrives").write.mode("append").parquet(path)
+    if close and ends.newest:
+        ahead = [F.lit(None).cast(kind).alias(c) if c != ts else F.lit(ends.newest + timedelta(days=30)).cast(kind).alias(c) for c, kind in df.dtypes]
+        spark.range(1).select(*ahead).write.mode("append").parquet(path)
     return runs.read_stream(spark, path, files_per_trigger=1)
 
 
-def _report_stream(spark, sf_dir):
-    return _arriving(spark, views.reports(spark, sf_dir), "event_id")
+def _report_stream(spark, sf_dir, close=False):
+    return _arriving(spark, views.reports(spark, sf_dir), "event_id", "received_at", close)
 
 
 def _ad_stream(spark, sf_dir):
@@ -762,8 +775,8 @@ def st_dedup_reports(spark, sf_dir):
 def st_dedup_reports_stream(spark, sf_dir):
     from ..functions.hashing import url_key
 
-    stream = _report_stream(spark, sf_dir).withColumn("url_hash", url_key("url"))
-    rows = sr.accepted_reports(stream, "dedup", "url_hash", "received_at", "event_id", 24 * 3600, 1, delay=STREAM_DELAY)
+    stream = _report_stream(spark, sf_dir, close=True).withColumn("url_hash", url_key("url"))
+    rows = sr.accepted_reports(stream, "dedup", "url_hash", "received_at", "event_id", 24 * 3600, 1, delay=STREAM_DELAY, finish=False)
     return rows.select("event_id", "url_hash", "accepted", "origin")
 
 
@@ -775,16 +788,15 @@ def st_rate_limit(spark, sf_dir):
 
 @query
 def st_rate_limit_stream(spark, sf_dir):
-    rows = sr.accepted_reports(
-        _report_stream(spark, sf_dir), "limit", "client", "received_at", "event_id", 24 * 3600, 2, delay=STREAM_DELAY
-    )
+    stream = _report_stream(spark, sf_dir, close=True)
+    rows = sr.accepted_reports(stream, "limit", "client", "received_at", "event_id", 24 * 3600, 2, delay=STREAM_DELAY, finish=False)
     return rows.select("event_id", "client", "accepted")
 
 
 @query
 def st_debounce(spark, sf_dir):
-    stream = _arriving(spark, views.table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "event_id")
-    return screening.debounced(stream, "user_id", "ts", "event_id", 3600, delay=STREAM_DELAY)
+    stream = _arriving(spark, views.table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "event_id", "ts")
+    return screening.debounced(stream, "user_id", "ts", "event_id", 3600, delay=STREAM_DELAY, finish=False)
 
 
 @query

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.greedy import HOT_ROWS, accept
 from ..operators.reports import HIGH_RISK, phrase_counts
-from ..session import remove, scratch
+from ..session import exists, remove, scratch
 from ..sources.report_files import as_rows
-from .ordered import DELAY_SECONDS, decided, in_order, undecided
-from .runs import drain_batches
+from .acceptance import AT, LATE, Acceptance
+from .runs import DELAY_SECONDS, drain_batches
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def accepted_reports(
@@ -21,68 +24,75 @@ def accepted_reports(
 ) -> DataFrame:
     """Run the greedy acceptance over a stream and return the table of all decided rows.
 
-    Rows wait until the watermark (the newest time less `delay` seconds) has passed them and are then decided in time order,
-    whatever the order of arrival, by the same operator as the batch job; rows that come later than that go to `<out>/late`
-    (see in_order). The rows accepted within one window before the mark are carried on. With `file_rows`, accepted rows are
-    also stored in their filed shape under `<out>/table`, by day. With `finish`, rows that still wait are decided as if
-    nothing else came; the stream may go on from its state nevertheless.
+    Rows wait in keyed state until the watermark (the newest time less `delay` seconds) has passed them and are then decided
+    in time order, whatever the order of arrival (see Acceptance). What comes later than that is not decided; see late_rows.
+    Each batch writes a folder of its own under `<out>/judged`, so a batch that runs twice leaves one copy. With `file_rows`,
+    accepted rows are also stored in their filed shape under `<out>/table`, by batch and day. With `finish`, the result also
+    holds the rows that still wait, decided as if nothing else came: they are read from the state and replayed by the
+    batch operator, and the stream may go on from its state nevertheless.
     """
     spark = stream.sparkSession
-    out = out or scratch(spark, name)
+    # Lists and timers of a key need the store that keeps state outside the heap.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    out, checkpoint = out or scratch(spark, name), checkpoint or scratch(spark, f"{name}-checkpoint")
     columns = stream.schema
-    seed_schema = f"_k string, _at timestamp, _u {columns[uid].dataType.simpleString()}"
+    blank = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    # The mark's own column goes, so that late rows reach the operator instead of being dropped before it.
+    marked = stream.withColumn("_key", blank).withColumn("_mark", F.col(ts).cast("timestamp")).withWatermark("_mark", f"{int(delay * 1000)} milliseconds")
+    keyed = marked.withColumn(AT, F.unix_micros("_mark")).drop("_mark")
+    held = T.StructType([*columns.fields, T.StructField(AT, T.LongType())])
+    answer = [T.StructField("accepted", T.BooleanType()), T.StructField("origin", columns[uid].dataType), T.StructField(LATE, T.BooleanType())]
+    result = T.StructType([*columns.fields, *answer])
+    processor = Acceptance(held, uid, int(window * 1_000_000), limit)
+    decided = keyed.groupBy("_key").transformWithState(processor, result, "append", "eventTime")
 
-    def carried(session: SparkSession, number: int) -> DataFrame:
-        if number < 0:
-            return session.createDataFrame([], seed_schema)
-        return session.read.schema(seed_schema).parquet(f"{out}/state/batch={number}")
-
-    def judged(rows: DataFrame, past: DataFrame) -> DataFrame:
-        seeds = past.select(
-            F.col("_k").cast(columns[key].dataType).alias(key), F.col("_at").cast(columns[ts].dataType).alias(ts), F.col("_u").alias(uid)
-        )
-        return accept(rows, key, ts, uid, window, limit, hot_rows, seeds)
-
-    def decide(rows: DataFrame, passed: Column, number: int) -> DataFrame:
-        session = rows.sparkSession
-        past = carried(session, number - 1)
+    def step(batch: DataFrame, number: int) -> None:
         target = f"{out}/judged/batch={number}"
-        result = judged(rows.filter(passed), past)
-        result.write.mode("overwrite").parquet(target)
-        done = session.read.schema(result.schema).parquet(target)
+        batch.write.mode("overwrite").parquet(target)
         if file_rows:
-            rows = as_rows(done.filter("accepted").drop("accepted", "origin"))
+            done = batch.sparkSession.read.schema(result).parquet(target)
+            rows = as_rows(done.filter("accepted").drop(*[f.name for f in answer]))
             rows.write.mode("overwrite").partitionBy("filed_on").parquet(f"{out}/table/batch={number}")
-        fresh = done.filter("accepted").select(
-            F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.col(ts).cast("timestamp").alias("_at"),
-            F.col(uid).alias("_u"),
-        )
-        both = past.unionByName(fresh)
-        newest = both.agg(F.max("_at").alias("m")).first().m
-        since = F.lit(newest) - F.make_dt_interval(secs=F.lit(float(window)).cast("decimal(18,6)"))
-        recent = both if newest is None else both.filter(F.col("_at") > since)
-        recent.write.mode("overwrite").parquet(f"{out}/state/batch={number}")
-        for folder in ("state", "judged"):
-            remove(session, f"{out}/{folder}/batch={number - 2}")
+
+    drain_batches(decided, name, step, checkpoint=checkpoint)
+    done = _stored(spark, f"{out}/judged", result).filter(~F.col(LATE)).drop(LATE)
+    if not finish or not exists(spark, f"{checkpoint}/state"):
         return done
+    state = lambda variable: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", variable).load()
+    waiting = state("waiting").select("list_element.*").drop(AT)
+    seeds = state("taken").select(
+        F.col("key._key").try_cast(columns[key].dataType).alias(key),
+        F.timestamp_micros("list_element.at").cast(columns[ts].dataType).alias(ts), F.col("list_element.uid").alias(uid),
+    )
+    return done.unionByName(accept(waiting, key, ts, uid, window, limit, hot_rows, seeds).select(done.columns))
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What the batches wrote so far; nothing before the first one."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(schema.names)
 
-    in_order(stream, name, ts, decide, out, delay, checkpoint=checkpoint)
-    waiting, number = undecided(spark, out, columns)
-    rest = judged(waiting, carried(spark, number))
-    done = decided(spark, out, rest).select(rest.columns)
-    return done.unionByName(rest) if finish else done
+
+def late_rows(spark: SparkSession, out: str) -> DataFrame:
+    """The rows that came behind the mark, or without a time, and were not decided."""
+    rows = spark.read.parquet(f"{out}/judged")
+    return rows.filter(LATE).drop("accepted", "origin", LATE, "batch")
 
 
 def filed_reports(stream: DataFrame, name: str, out: str | None = None, **options) -> DataFrame:
-    """The report table: one kept report for each URL and day, evidence cut, partitioned by day under `<out>/table`.
+    """The report table, as its folder holds it: one kept report for each URL and day, evidence cut, by day under `<out>/table`.
 
-    Reports that still wait for the watermark are in the result, not yet in the folder.
+    Reports that still wait for the watermark are not in it yet.
     """
     from ..functions.hashing import url_key
 
+    spark = stream.sparkSession
+    out = out or scratch(spark, name)
     hashed = stream.withColumn("url_hash", url_key("url"))
-    rows = accepted_reports(hashed, name, "url_hash", "received_at", "event_id", 24 * 3600, 1, out, file_rows=True, **options)
-    return as_rows(rows.filter("accepted").drop("accepted", "origin"))
+    accepted_reports(hashed, name, "url_hash", "received_at", "event_id", 24 * 3600, 1, out, file_rows=True, finish=False, **options)
+    filed = as_rows(spark.createDataFrame([], hashed.schema)).schema
+    return _stored(spark, f"{out}/table", filed)
 
 
 def running_stats(

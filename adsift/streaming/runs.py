@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch
 
+DELAY_SECONDS = 3600.0
+
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A file stream over a parquet table (a folder or one file), with the table's own schema.
@@ -20,8 +23,10 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drain(stream: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Append everything available to a parquet table and return it."""
+def drain(
+    stream: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None, progress: list | None = None,
+) -> DataFrame:
+    """Append everything available to a parquet table and return it; `progress` gets the run's progress reports."""
     spark = stream.sparkSession
     out = out or scratch(spark, name)
     query = (
@@ -32,6 +37,8 @@ def drain(stream: DataFrame, name: str, out: str | None = None, checkpoint: str
         .start(out)
     )
     query.awaitTermination()
+    if progress is not None:
+        progress.extend(json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress)
     return spark.read.schema(stream.schema).parquet(out)
 
 

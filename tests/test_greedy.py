@@ -79,7 +79,7 @@ def test_stream_continues_across_batches(spark, hot_rows):
         got = sr.accepted_reports(
             stream, "t", "k", "ts", "uid", 3600, 2, out=out, checkpoint=checkpoint, hot_rows=hot_rows, delay=10**7
         )
-    assert spark.read.parquet(f"{out}/late").count() == 0
+    assert sr.late_rows(spark, out).count() == 0
     assert {r.uid: r.accepted for r in got.collect()} == {u: a for u, (a, _) in replay(rows, 3600, 2).items()}
 
 
@@ -92,8 +92,7 @@ def test_late_rows_go_aside(spark):
             runs.read_stream(spark, path), "t", "k", "ts", "uid", 3600, 1, out=out, checkpoint=checkpoint, delay=1800
         )
     assert {r.uid for r in got.collect()} == {1, 2, 4}
-    assert spark.read.parquet(f"{out}/meta").agg({"late": "max"}).first()[0] == 1
-    assert [r.uid for r in spark.read.parquet(f"{out}/late").collect()] == [3]
+    assert [r.uid for r in sr.late_rows(spark, out).collect()] == [3]
 
 
 def test_stream_in_time_order_with_a_short_delay(spark):
@@ -105,8 +104,44 @@ def test_stream_in_time_order_with_a_short_delay(spark):
         got = sr.accepted_reports(
             runs.read_stream(spark, path), "t", "k", "ts", "uid", 3600, 2, out=out, checkpoint=checkpoint, delay=1200
         )
-    assert spark.read.parquet(f"{out}/decided").count() > 200
-    assert {r.uid: r.accepted for r in got.collect()} == {u: a for u, (a, _) in replay(rows, 3600, 2).items()}
+    batches = spark.read.parquet(f"{out}/judged").groupBy("batch").count().collect()
+    assert len(batches) > 2 and sum(r["count"] for r in batches) > 200
+    assert {r.uid: (r.accepted, r.origin) for r in got.collect()} == replay(rows, 3600, 2)
+
+
+def test_state_follows_the_window(spark):
+    """What a key holds in state is what waits and what one window accepted; a key that falls silent holds nothing."""
+    path, out, checkpoint = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "checkpoint")
+    rows = [(i, f"k{i // 40}", START + timedelta(minutes=5 * i)) for i in range(400)]
+    for k in range(0, 400, 80):
+        spark.createDataFrame(rows[k : k + 80], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        got = sr.accepted_reports(
+            runs.read_stream(spark, path), "t", "k", "ts", "uid", 1800, 2, out=out, checkpoint=checkpoint, delay=600, finish=False
+        )
+    held = {v: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", v).load() for v in ("waiting", "taken")}
+    assert {r.key[0] for r in held["taken"].collect()} <= {"k9"} and held["taken"].count() <= 2
+    assert 0 < held["waiting"].count() <= 4 and got.count() == 400 - held["waiting"].count()
+
+
+def test_a_batch_that_runs_twice_leaves_one_copy(spark):
+    """The report table is what its folder holds; the last batch is run again from a checkpoint that lost its commit."""
+    from pathlib import Path
+
+    path, out, checkpoint = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "checkpoint")
+    for k in range(4):
+        rows = [(10 * k + i, f"http://x/{i % 4}", START + timedelta(hours=30 * k + i), "text", 50) for i in range(10)]
+        frame = spark.createDataFrame(rows, "event_id long, url string, received_at timestamp_ntz, evidence_text string, risk_score int")
+        frame.coalesce(1).write.mode("append").parquet(path)
+        got = sr.filed_reports(runs.read_stream(spark, path), "t", out, checkpoint=checkpoint, delay=3600)
+    once = sorted((r.event_id, str(r.filed_on)) for r in got.collect())
+    assert [i for i, _ in once] == [0, 1, 2, 3, 10, 11, 12, 13, 20, 21, 22, 23, 30, 31, 32, 33]
+    days = [p.name for p in Path(out, "table").glob("batch=*/*") if p.is_dir()]
+    assert {f"filed_on={d}" for _, d in once} == set(days)
+    commits = sorted(Path(checkpoint, "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for name in (commits[-1].name, f".{commits[-1].name}.crc"):
+        Path(checkpoint, "commits", name).unlink(missing_ok=True)
+    again = sr.filed_reports(runs.read_stream(spark, path), "t", out, checkpoint=checkpoint, delay=3600)
+    assert sorted((r.event_id, str(r.filed_on)) for r in again.collect()) == once
 
 
 def test_debounce_stream_equals_batch(spark):
@@ -120,6 +155,25 @@ def test_debounce_stream_equals_batch(spark):
     assert {r.uid for r in got.collect()} == {r.uid for r in want.collect()}
 
 
+def test_debounce_decides_in_the_stream(spark):
+    """With a short delay bursts come out before the stream ends; events of bursts that are out are dropped and counted."""
+    rows = sorted(make(400, 4, 6, 2), key=lambda r: r[2] + timedelta(seconds=hash(r[0] * 7919) % 600))
+    path, checkpoint, out = scratch(spark, "in"), scratch(spark, "checkpoint"), scratch(spark, "out")
+    sizes = []
+    for k in range(0, 400, 100):
+        spark.createDataFrame(rows[k : k + 100], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        got = screening.debounced(runs.read_stream(spark, path), "k", "ts", "uid", 60, delay=600, out=out, checkpoint=checkpoint)
+        sizes.append(spark.read.parquet(f"{out}/decided").count())
+    want = {r.uid for r in bursts.burst_ends(spark.createDataFrame(rows, SCHEMA), "k", "ts", "uid", 60).collect()}
+    assert {r.uid for r in got.collect()} == want
+    assert 0 < sizes[0] < sizes[1] < sizes[2] < sizes[3] < len(want)
+    late = [(900, "k1", START - timedelta(hours=1)), (901, None, START - timedelta(hours=2))]
+    spark.createDataFrame(late, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    got = screening.debounced(runs.read_stream(spark, path), "k", "ts", "uid", 60, delay=600, out=out, checkpoint=checkpoint)
+    assert {r.uid for r in got.collect()} == want
+    assert spark.read.parquet(f"{out}/late").agg({"late": "sum"}).first()[0] == 2
+
+
 def test_stats_of_an_empty_stream(spark):
     path = scratch(spark, "in")
     spark.createDataFrame([], "risk_score int, received_at timestamp").write.parquet(path)

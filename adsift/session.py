@@ -17,6 +17,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # What travels to Python at once is bounded in bytes too, as texts may be long.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     # Session windows: merge inside map tasks first, so that a busy key travels as few rows.
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return spark

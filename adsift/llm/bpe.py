@@ -8,6 +8,7 @@ by the public pattern and each distinct stretch between spaces is encoded once a
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 from itertools import accumulate, chain, islice
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from adsift.session import ship
 
@@ -24,8 +25,9 @@ ship(__name__)
 
 # Fixed values of the piece model's format.
 NORMAL, UNKNOWN, BPE_MODEL = 1, 2, 2
-# Distinct pre-tokens, and stretches between spaces, remembered in a task; beyond that the memory starts afresh.
-REMEMBERED = 400_000
+# Bytes that a task may use to remember distinct pre-tokens, and as many for stretches between spaces; beyond that the
+# memory starts afresh. An entry costs OVERHEAD bytes besides its text and ids.
+REMEMBERED, OVERHEAD = 32_000_000, 200
 # Bytes of a column worked on at once.
 SLICE = 1_000_000
 
@@ -94,6 +96,25 @@ def _encoder(model: bytes, tokens: tuple[bytes, ...], ids: tuple[int, ...]):
     return encode
 
 
+class _Memory(dict):
+    """What was worked out for each string; it starts afresh where it would grow beyond a number of bytes."""
+
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
+
+    def filled(self, wanted: set[str], work) -> None:
+        """Work out those of the strings that are not here; work takes a list of strings."""
+        new = list(wanted.difference(self))
+        found = work(new) if new else []
+        size = sum(map(len, new)) + sum(map(len, found)) + OVERHEAD * len(new)
+        if self.size + size > self.most and len(self):
+            self.clear()
+            self.size = 0
+            return self.filled(wanted, work)
+        self.size += size
+        self.update(zip(new, found, strict=True))
+
+
 def _text_encoder(model: bytes, tokens: tuple[bytes, ...], ids: tuple[int, ...], pattern: str):
     """A function from a list of texts to the bytes of their ids.
 
@@ -103,84 +124,104 @@ def _text_encoder(model: bytes, tokens: tuple[bytes, ...], ids: tuple[int, ...],
     import regex
 
     encoder, cut, other = _encoder(model, tokens, ids), regex.compile(pattern), regex.compile(r" (?:\s|\Z)")
-    pieces: dict[str, bytes] = {}
-    stretches: dict[str, bytes] = {}  # by the text behind a space
+    pieces, stretches = _Memory(REMEMBERED), _Memory(REMEMBERED)  # stretches by the text behind a space
 
     def whole(texts: list[str]) -> list[bytes]:
         cuts = [cut.findall(x) for x in texts]
-        new = list({p for c in cuts for p in c if p not in pieces})
-        if len(pieces) + len(new) > REMEMBERED:
-            pieces.clear()
-            new = list({p for c in cuts for p in c})
-        if new:
-            pieces.update(zip(new, encoder(new), strict=True))
+        pieces.filled({p for c in cuts for p in c}, encoder)
         return [b"".join([pieces[p] for p in c]) for c in cuts]
 
     def encode_texts(texts: list[str]) -> list[bytes]:
         odd = [other.search(t) is not None for t in texts]
         parts = [[] if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
-        new = set(chain.from_iterable(islice(p, 1, None) for p in parts)).difference(stretches)
-        if len(stretches) + len(new) > REMEMBERED:
-            stretches.clear()
-            new = set(chain.from_iterable(islice(p, 1, None) for p in parts))
-        stretches.update(zip(new, whole([" " + x for x in new]), strict=True))
+        stretches.filled(set(chain.from_iterable(islice(p, 1, None) for p in parts)), lambda new: whole([" " + x for x in new]))
         firsts = whole([t if o else p[0] for t, o, p in zip(texts, odd, parts, strict=True)])
         return [f + b"".join(map(stretches.__getitem__, islice(p, 1, None))) for f, p in zip(firsts, parts, strict=True)]
 
     return encode_texts
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
-    """docs with the token ids of each whole text (array of int; null and empty texts have none).
+def _decoder(tokens: list[bytes]):
+    """A function from many texts' ids, one after the other, to their bytes and to where each id's bytes end."""
+    lengths = np.array([len(t) for t in tokens])
+    starts, every = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), dtype=np.uint8)
 
-    The pattern cuts the text into pre-tokens, none of which is dropped; special tokens are ordinary text. The vocabulary
-    is a public file of bounded size and travels with the tasks. Other columns stay, save one named like ids_col
-    and, without keep_text, the text.
-    """
+    def decode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or not lengths[ids].all()):
+            raise ValueError("an id without a token")
+        size = lengths[ids]
+        ends = np.cumsum(size)
+        return every[np.repeat(starts[ids] - ends + size, size) + np.arange(size.sum())], np.concatenate([[0], ends])
+
+    return decode_ids
+
+
+def _by_rank(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str, ids_col: str, names: list[str], check: StructField | None) -> DataFrame:
+    """The named columns of docs, the ids of each text and, with check, a column worked out from the decoded bytes: whether they
+    are the text's (boolean) or their digest (string). Ids and bytes never leave the task apart from what is asked for."""
     order = sorted(ranks.items(), key=lambda x: x[1])
     shared = docs.sparkSession.sparkContext.broadcast(
         (piece_model(ranks), tuple(t for t, _ in order), tuple(r for _, r in order), pattern)
     )
-    kept = docs.drop(ids_col)
-    names = [c for c in kept.columns if keep_text or c != text_col]
-    schema = StructType([*(kept.schema[c] for c in names), StructField(ids_col, ArrayType(IntegerType()))])
+    schema = StructType([*(docs.schema[c] for c in names), StructField(ids_col, ArrayType(IntegerType())), *([check] if check else [])])
+    digest = check is not None and check.dataType == StringType()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = _text_encoder(*shared.value)
+        decode_ids = _decoder(_by_rank(dict(zip(shared.value[1], shared.value[2], strict=True))))
         for batch in batches:
             for part in _pieces(batch, text_col):
-                found = encode_texts([text or "" for text in part.column(text_col).to_pylist()])
+                texts = [text or "" for text in part.column(text_col).to_pylist()]
+                found = encode_texts(texts)
                 offsets = np.cumsum([0, *(len(f) // 4 for f in found)], dtype=np.int32)
                 flat = np.frombuffer(b"".join(found), dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids], names=[*names, ids_col])
+                arrays = [*(part.column(c) for c in names), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+                if check:
+                    raw, ends = decode_ids(flat.astype(np.int64))
+                    raw, ends = raw.tobytes(), ends[offsets].tolist()
+                    back = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+                    if digest:
+                        arrays.append(pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()))
+                    else:
+                        arrays.append(pa.array([x == t.encode("utf-8", "replace") for x, t in zip(back, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
+    """docs with the token ids of each whole text (array of int; null and empty texts have none).
+
+    The pattern cuts the text into pre-tokens, none of which is dropped; special tokens are ordinary text. The vocabulary
+    is a public file of bounded size and travels with the tasks. Other columns stay, save one named like ids_col
+    and, without keep_text, the text.
+    """
+    names = [c for c in docs.columns if c != ids_col and (keep_text or c != text_col)]
+    return _coded(docs, ranks, pattern, text_col, ids_col, names, None)
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """docs with the bytes that the ids stand for (null ids: no bytes); an unknown id is an error."""
-    tokens = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    shared = docs.sparkSession.sparkContext.broadcast(tokens)
+    """docs with the bytes that the ids stand for (null ids: no bytes); an unknown id is an error. A column named like
+    bytes_col is replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(_by_rank(ranks))
     kept = docs.drop(bytes_col)
     schema = StructType([*kept.schema.fields, StructField(bytes_col, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = np.array([len(t) for t in shared.value])
-        starts, every = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(shared.value), dtype=np.uint8)
+        decode_ids = _decoder(shared.value)
         for batch in batches:
             for part in _pieces(batch, ids_col):
                 lists = part.column(ids_col)
-                ids = np.asarray(lists.flatten()).astype(np.int64)
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or not lengths[ids].all()):
-                    raise ValueError("an id without a token")
-                size = lengths[ids]
-                ends = np.cumsum(size)
-                raw = every[np.repeat(starts[ids] - ends + size, size) + np.arange(size.sum())]
+                raw, ends = decode_ids(np.asarray(lists.flatten()).astype(np.int64))
                 per_row = np.cumsum([0, *(x or 0 for x in lists.value_lengths().to_pylist())])
-                offsets = np.concatenate([[0], ends])[per_row].astype(np.int32)
+                offsets = ends[per_row].astype(np.int32)
                 made = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())])
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, bytes_col])
 
@@ -197,17 +238,21 @@ def _pieces(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[p
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    both = decode(encode(texts, ranks, pattern, keep_text=False), ranks)
+    both = _coded(texts, ranks, pattern, "text", "ids", ["doc_id"], StructField("decoded_sha256", StringType()))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "decoded_sha256",
     )
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with ids, n_tokens and round_trip: whether decoding the ids gives back the text's bytes (null: empty)."""
-    both = decode(encode(docs, ranks, pattern, text_col), ranks)
-    same = F.col("decoded") == F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return both.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("round_trip", same).drop("decoded")
+    """docs with ids, n_tokens and round_trip: whether decoding the ids gives back the text's bytes (null: empty).
+
+    Columns of docs with these three names are replaced; all others stay as they are.
+    """
+    added = ("ids", "n_tokens", "round_trip")
+    names = [c for c in docs.columns if c not in added or c == text_col]
+    both = _coded(docs.select(*[F.col(f"`{c}`") for c in names]), ranks, pattern, text_col, "ids", names, StructField("round_trip", BooleanType()))
+    return both.select(*[F.col(f"`{c}`") for c in names], "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")

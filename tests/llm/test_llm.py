@@ -422,6 +422,31 @@ def test_bpe(spark):
 # 9 -- exact dedup
 
 
+def test_encoded_keeps_other_columns(spark):
+    """Columns named like what it adds are replaced, all others stay, those of its own steps included."""
+    from pyspark.sql import functions as F
+
+    docs = brute.frame(spark, brute.odd_rows()[:6])
+    docs = docs.withColumns({"decoded": F.lit("mine"), "n_tokens": F.lit("old"), "round_trip": F.lit(3), "decoded_sha256": F.lit(None).cast("int")})
+    out = bpe.encoded(docs, RANKS, public_tokenizers.PATTERN)
+    assert set(out.columns) == {*docs.columns, "ids"} and out.schema["n_tokens"].dataType.simpleString() == "bigint"
+    assert {(r.decoded, r.decoded_sha256, r.round_trip) for r in out.collect()} == {("mine", None, True)}
+
+
+def test_memory_of_pre_tokens_is_bounded():
+    """A memory that always starts afresh gives the same ids."""
+    order = sorted(RANKS.items(), key=lambda x: x[1])
+    make = lambda: bpe._text_encoder(bpe.piece_model(RANKS), tuple(t for t, _ in order), tuple(r for _, r in order), public_tokenizers.PATTERN)
+    texts = [" ".join(f"word{k} naïve" for k in range(n, n + 40)) for n in range(0, 400, 20)]
+    want = make()(texts)
+    least, bpe.REMEMBERED = bpe.REMEMBERED, 3_000
+    try:
+        small = make()
+        assert [small([t])[0] for t in texts] == want
+    finally:
+        bpe.REMEMBERED = least
+
+
 def test_exact_dedup(spark):
     data = brute.odd_rows() + [(i, "hot", *brute.odd_rows()[0][2:]) for i in range(200, 500)]
     docs = brute.frame(spark, data).repartition(5)

@@ -4,11 +4,18 @@ With limit 1 this is deduplication against the kept row; with a larger limit it
 are not recorded. Whether a row is accepted depends on earlier accepted rows, so no window frame expresses it.
 
 Ordinary keys are sorted in their partition and replayed with at most `limit` times in memory. A key with more than
-`hot_rows` rows is never sent to one task. Its timeline is cut into cells of one window: a cell accepts at most
-`limit` rows of a key, and which ones depends only on the rows accepted in the cell before. Inside a cell, the times
-at which earlier rows expire cut it into at most limit + 1 stretches, and the accepted rows of a stretch are its first
-ones. So the first `limit` rows of each stretch, found by a rank with a map-side limit, are all the candidates: a few
-hundred rows a key, which the same replay then decides exactly.
+`hot_rows` rows is never sent to one task; its timeline is cut into cells of one window.
+
+With limit 1 every row points to the row that would be accepted next if it were accepted itself: the first one a window
+later, which lies in the next cell or begins the next one that holds rows. Following the pointers from a key's first row gives
+what is accepted, and doubling them (a pointer's pointer) finds all of it in a logarithmic number of rounds.
+
+With a larger limit the state is several times and cannot be doubled. But behind a gap of a whole window the state is
+empty, so the pieces between such gaps are decided side by side. Inside a piece, neighbouring cells are taken together up
+to `hot_rows` rows and replayed at once; the number of rounds follows the rows of the longest piece, not its cells. A cell
+that is larger by itself is first reduced: the times at which earlier rows expire cut it into at most limit + 1 stretches,
+and the accepted rows of a stretch are its first ones, so the first `limit` rows of each stretch, found by a rank with a
+map-side limit, are all the candidates.
 """
 
 from __future__ import annotations
@@ -24,8 +31,7 @@ from pyspark.sql import types as T
 from ..session import materialise, scratch
 
 HOT_ROWS = 1_000_000
-CELL_FILES = 16
-
+STEP_FILES = 16
 _KEY, _TS, _SEED = "_key", "_ts", "_seed"
 
 
@@ -57,7 +63,7 @@ def accept(
     warm = keyed.join(hot, _KEY, "left_semi")
     warm_past = None if past is None else past.join(hot, _KEY, "left_semi")
     done = _replay(cold, cold_past, uid, span, limit)
-    return done.unionByName(_replay_hot(warm, warm_past, uid, span, limit)).drop(_KEY, _TS)
+    return done.unionByName(_replay_hot(warm, warm_past, uid, span, limit, hot_rows)).drop(_KEY, _TS)
 
 
 def _keyed(df: DataFrame, key: str, ts: str) -> DataFrame:
@@ -105,52 +111,13 @@ def _replay(df: DataFrame, past: DataFrame | None, uid: str, span: int, limit: i
     return placed.mapInArrow(walk, T.StructType(fields))
 
 
-def _replay_hot(df: DataFrame, past: DataFrame | None, uid: str, span: int, limit: int) -> DataFrame:
-    spark = df.sparkSession
+def _replay_hot(df: DataFrame, past: DataFrame | None, uid: str, span: int, limit: int, hot_rows: int) -> DataFrame:
     cell = F.floor(F.col(_TS) / F.lit(span)).cast("bigint")
-    base = scratch(spark, "greedy")
-    hits, kept, seeds = f"{base}/hits", f"{base}/accepted", f"{base}/seeds"
-    narrow = df.select(_KEY, _TS, uid).withColumn("cell", cell)
-    # A few files a cell, however many tasks the input has and however full the cell is.
-    placed = narrow.repartition("cell", F.pmod(F.xxhash64(uid), F.lit(CELL_FILES)))
-    placed.write.partitionBy("cell").parquet(hits)
-    schema = narrow.drop("cell").schema
-    if past is not None:
-        # Seeds enter as rows accepted in their own cell.
-        past.select(_KEY, _TS, uid).withColumn("cell", cell).write.partitionBy("cell").parquet(seeds)
-    stored = spark.read.schema(narrow.schema).parquet(hits)
-    cells = [r.cell for r in stored.select("cell").distinct().orderBy("cell").collect()]
-    seeded = set()
-    if past is not None:
-        old = spark.read.schema(narrow.schema).parquet(seeds).select("cell").distinct()
-        seeded = {r.cell for r in old.collect()}
-    written: set[int] = set()
-
-    def accepted_in(number: int, own: bool = True) -> DataFrame:
-        """Rows accepted in a cell: the seeds, and with `own` what was decided here."""
-        paths = [f"{seeds}/cell={number}"] * (number in seeded) + [f"{kept}/cell={number}"] * (own and number in written)
-        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-    for number in cells:
-        rows = spark.read.schema(schema).parquet(f"{hits}/cell={number}")
-        before = accepted_in(number - 1)
-        # At most `limit` times a hot key.
-        expiry = before.groupBy(_KEY).agg(F.sort_array(F.collect_list(F.col(_TS) + span)).alias("_expiry"))
-        staged = rows.join(expiry, _KEY, "left").withColumn(
-            "_stretch",
-            F.coalesce(F.size(F.filter("_expiry", lambda x: x <= F.col(_TS))), F.lit(0)),
-        )
-        rank = F.row_number().over(Window.partitionBy(_KEY, "_stretch").orderBy(_TS, uid))
-        chosen = staged.withColumn("_rank", rank).filter(F.col("_rank") <= limit).select(_KEY, _TS, uid)
-        earlier = before.unionByName(accepted_in(number, own=False)) if number in seeded else before
-        decided = _replay(chosen, earlier, uid, span, limit).filter("accepted").select(_KEY, _TS, uid)
-        # Seeds lie in a folder of their own, so a cell that is written again replaces itself.
-        decided.write.mode("overwrite").parquet(f"{kept}/cell={number}")
-        written.add(number)
-
-    taken = spark.read.schema(narrow.schema).parquet(kept)
-    if seeded:
-        taken = taken.unionByName(spark.read.schema(narrow.schema).parquet(seeds))
+    stored = materialise(df.select(_KEY, _TS, uid).withColumn("cell", cell), "greedy-rows")
+    seeds = None if past is None else materialise(past.select(_KEY, _TS, uid), "greedy-seeds")
+    taken = _chained(stored, seeds, uid, span) if limit == 1 else _stepped(stored, seeds, uid, span, limit, hot_rows)
+    if seeds is not None:
+        taken = taken.unionByName(seeds.withColumn("cell", cell))
 
     # The origin of a row is the last accepted row up to it, which lies in its own cell or in an earlier one. A key has
     # one row a cell here, so the window is as long as its history, not as its rows.
@@ -171,6 +138,92 @@ def _replay_hot(df: DataFrame, past: DataFrame | None, uid: str, span: int, limi
     )
 
 
+def _chained(rows: DataFrame, seeds: DataFrame | None, uid: str, span: int) -> DataFrame:
+    """The accepted rows (limit 1) of rows: key, time, uid, cell."""
+    node = F.struct(_TS, uid)
+    starts = rows if seeds is None else rows.join(seeds.groupBy(_KEY).agg(F.max(_TS).alias("_seeded")), _KEY, "left").where(
+        F.col("_seeded").isNull() | (F.col(_TS) - F.col("_seeded") >= span))
+    taken = materialise(starts.groupBy(_KEY).agg(F.min(node).alias("at")), "chain")
+
+    # A key has one row a cell here.
+    by_cell = Window.partitionBy(_KEY).orderBy("cell")
+    firsts = rows.groupBy(_KEY, "cell").agg(F.min(node).alias("first"))
+    next_cell = F.lead("cell").over(by_cell)
+    beyond = F.when(next_cell == F.col("cell") + 1, F.lead("first", 2).over(by_cell)).otherwise(F.lead("first").over(by_cell))
+    beyond = firsts.select(_KEY, "cell", beyond.alias("beyond"))
+    none = F.lit(None).cast(firsts.schema["first"].dataType)
+    given = rows.select(_KEY, "cell", F.col(_TS).alias("at"), F.lit(0).alias("asks"), node.alias("here"), none.alias("beyond"))
+    asked = rows.join(beyond, [_KEY, "cell"]).select(
+        _KEY, (F.col("cell") + 1).alias("cell"), (F.col(_TS) + span).alias("at"), F.lit(1).alias("asks"), node.alias("here"), "beyond")
+    # From the latest back: what was given last is the first row at or after the time asked for.
+    back = Window.partitionBy(_KEY, "cell").orderBy(F.desc("at"), "asks", F.desc("here")).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(F.when(F.col("asks") == 0, F.col("here")), ignorenulls=True).over(back)
+    both = given.unionByName(asked).withColumn("found", found).where("asks = 1")
+    jumps = both.select(_KEY, F.col("here").alias("at"), F.coalesce("found", "beyond").alias("to")).where("to is not null")
+    jumps = materialise(jumps, "jumps")
+    # Only what something points to can be reached.
+    met = jumps.select(_KEY, F.col("to").alias("at")).unionByName(taken).distinct()
+    jumps = materialise(jumps.join(met, [_KEY, "at"], "left_semi"), "jumps")
+    while not jumps.isEmpty():
+        reached = taken.join(jumps, [_KEY, "at"]).select(_KEY, F.col("to").alias("at"))
+        taken = materialise(taken.unionByName(reached), "chain")
+        further = jumps.select(_KEY, F.col("at").alias("to"), F.col("to").alias("_to"))
+        jumps = materialise(jumps.join(further, [_KEY, "to"]).select(_KEY, "at", F.col("_to").alias("to")), "jumps")
+    cell = F.floor(F.col(_TS) / F.lit(span)).cast("bigint")
+    return taken.select(_KEY, "at.*").withColumn("cell", cell)
+
+
+def _stepped(rows: DataFrame, seeds: DataFrame | None, uid: str, span: int, limit: int, hot_rows: int) -> DataFrame:
+    """The accepted rows of rows: key, time, uid, cell; pieces side by side, and the blocks of a piece one after the other."""
+    spark = rows.sparkSession
+    # A key has one row a cell here.
+    by_cell = Window.partitionBy(_KEY).orderBy("cell")
+    cells = rows.groupBy(_KEY, "cell").agg(F.count("*").alias("n"), F.min(_TS).alias("low"), F.max(_TS).alias("high"))
+    apart = F.coalesce(F.col("low") - F.lag("high").over(by_cell) >= span, F.lit(False))
+    cells = cells.withColumn("piece", F.sum(apart.cast("long")).over(by_cell))
+    in_piece = Window.partitionBy(_KEY, "piece").orderBy("cell")
+    ahead = F.sum("n").over(in_piece) - F.col("n")
+    cells = cells.withColumn("big", F.col("n") > hot_rows).withColumn("bucket", F.floor(ahead / F.lit(hot_rows)))
+    new = (F.col("bucket") != F.lag("bucket").over(in_piece)) | F.col("big") | F.lag("big").over(in_piece)
+    cells = cells.withColumn("step", F.sum(F.coalesce(new, F.lit(False)).cast("long")).over(in_piece))
+    placed = rows.join(cells.select(_KEY, "cell", "piece", "big", "step"), [_KEY, "cell"])
+    base = scratch(spark, "greedy")
+    # A few files a step, however many tasks the input has and however full a cell is.
+    placed.repartition("step", F.pmod(F.xxhash64(uid), F.lit(STEP_FILES))).write.partitionBy("step").parquet(f"{base}/rows")
+    schema = placed.drop("step").schema
+    last = spark.read.schema(placed.schema).parquet(f"{base}/rows").agg(F.max("step")).first()[0]
+
+    before = rows.limit(0).select(_KEY, _TS, uid, F.lit(0).cast("long").alias("piece"))
+    if seeds is not None:
+        before = seeds.withColumn("piece", F.lit(0).cast("long"))
+    paths = []
+    for step in range((-1 if last is None else last) + 1):
+        block = spark.read.schema(schema).parquet(f"{base}/rows/step={step}")
+        # At most `limit` times a piece in the window before its block.
+        expiry = before.groupBy(_KEY, "piece").agg(F.sort_array(F.collect_list(F.col(_TS) + span)).alias("_expiry"))
+        staged = block.where("big").join(expiry, [_KEY, "piece"], "left").withColumn(
+            "_stretch", F.coalesce(F.size(F.filter("_expiry", lambda x: x <= F.col(_TS))), F.lit(0)))
+        rank = F.row_number().over(Window.partitionBy(_KEY, "piece", "_stretch").orderBy(_TS, uid))
+        large = staged.withColumn("_rank", rank).filter(F.col("_rank") <= limit).select(block.columns)
+        both = block.where("not big").unionByName(large)
+        # A piece of a key is replayed as a key of its own; seeds keep to the pieces that follow them.
+        name = F.concat(F.col("piece").cast("string"), F.lit(":"), F.col(_KEY))
+        alone = lambda rows, name=name: rows.withColumn("_own_key", F.col(_KEY)).withColumn(_KEY, name)
+        decided = _replay(alone(both), alone(before).select(_KEY, _TS, uid), uid, span, limit).filter("accepted")
+        done = decided.select(F.col("_own_key").alias(_KEY), _TS, uid, "cell", "piece")
+        path = f"{base}/accepted/step={step}"
+        done.write.parquet(path)
+        paths.append(path)
+        done = spark.read.schema(done.schema).parquet(path)
+        # What the next block of a piece has to know: at most `limit` rows of the last window.
+        newest = Window.partitionBy(_KEY, "piece").orderBy(F.desc(_TS), F.desc(uid))
+        both = before.unionByName(done.select(before.columns)).withColumn("_rank", F.row_number().over(newest))
+        before = materialise(both.filter(F.col("_rank") <= limit).drop("_rank"), "greedy-before")
+    if not paths:
+        return rows.limit(0)
+    return spark.read.schema(rows.schema).parquet(*paths)
+
+
 def deduplicate(
     df: DataFrame, url: str = "url", ts: str = "received_at", uid: str = "event_id", hours: float = 24,
     skip_blank: bool = False, **options,

@@ -46,6 +46,39 @@ def test_accept_equals_replay(spark, limit, hot_rows, partitions):
     assert {r.uid: (r.accepted, r.origin) for r in got.collect()} == replay(rows, 3600, limit)
 
 
+@pytest.mark.parametrize("limit", [1, 2, 3])
+def test_cells_that_accept_nothing(spark, limit):
+    """Cells whose rows are all rejected, gaps of a whole window and long pieces without one."""
+    rng, rows, at = random.Random(limit), [], 0
+    for uid in range(400):
+        at += rng.choice([1, 1, 1, 5, 900, 1700, 3599, 3600, 3601, 9000]) if uid % 7 else 1
+        rows.append((uid, "a" if uid % 3 else None, START + timedelta(seconds=at)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    for hot_rows in (3, 20, 150):
+        got = greedy.accept(df, "k", "ts", "uid", 3600, limit, hot_rows)
+        assert {r.uid: (r.accepted, r.origin) for r in got.collect()} == replay(rows, 3600, limit)
+
+
+def jobs_of(spark, df, limit, hot_rows):
+    """How many jobs the acceptance of df runs."""
+    group = f"greedy-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "count")
+    greedy.accept(df, "k", "ts", "uid", 3600, limit, hot_rows).write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_do_not_follow_the_cells(spark):
+    """As many rows over 10 and over 1,000 cells: with a larger limit as many jobs, with limit 1 a logarithm more."""
+    jobs = {}
+    for cells in (10, 1000):
+        rows = [(i, "a", START + timedelta(seconds=i * cells * 3600 // 2000)) for i in range(2000)]
+        df = spark.createDataFrame(rows, SCHEMA)
+        jobs[cells] = [jobs_of(spark, df, limit, 500) for limit in (1, 3)]
+    assert jobs[1000][1] <= jobs[10][1] + 4 and jobs[1000][0] <= jobs[10][0] + 12 * 7
+    assert max(jobs[1000]) < 200
+
+
 def test_exact_gap_is_kept(spark):
     rows = [(1, "a", START), (2, "a", START + timedelta(hours=24)), (3, "a", START + timedelta(hours=47, minutes=59))]
     df = spark.createDataFrame(rows, SCHEMA)

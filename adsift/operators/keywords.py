@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import banks
 from ..functions.text import bound, literal_rows, phrases_in
+from ..session import materialise, ship
+
+ship(__name__)
 
-# A bank up to this size is used as a literal array; a larger one is joined on the beginnings of its phrases.
+# A bank up to this size is used as a literal array; a larger one becomes an automaton, or several of this many phrases.
 LITERAL_BANK_ROWS = 2000
-PREFIX_CHARS = 8
-SALTS = 32
+SHARD_ROWS = 100_000
 
 
 def keyword_hits(df: DataFrame, id_col: str, text: str = "text", bank: dict = banks.KEYWORDS) -> DataFrame:
@@ -30,38 +37,49 @@ def keyword_hits(df: DataFrame, id_col: str, text: str = "text", bank: dict = ba
     return df.select(id_col, F.explode(hits).alias("h")).select(id_col, "h.*")
 
 
-def phrase_hits(df: DataFrame, bank: DataFrame, id_col: str, text: str = "text") -> DataFrame:
+def phrase_hits(df: DataFrame, bank: DataFrame, id_col: str, text: str = "text", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The same join with a bank table (phrase) of any size, such as learned phrases.
 
-    Blank and null phrases hit nothing. A small bank becomes a literal array. Beyond that, a text contains a phrase only if
-    it contains the phrase's first characters (PREFIX_CHARS of them, or the whole phrase), so both sides meet in an
-    equi-join on these, which carries no text; `contains` then decides on the few texts and phrases that met. Common
-    beginnings are salted: a text takes one salt, a phrase all of them.
+    Blank and null phrases hit nothing. A small bank becomes a literal array. Beyond that, an automaton over the phrases,
+    built once a task, walks each text once, whatever the number of phrases; no piece of a text leaves its row. A bank of more than
+    `shard_rows` phrases is cut into shards by a hash, each with its own automaton and walk, so what is broadcast at
+    once is bounded.
     """
     phrases = bank.select("phrase").where(F.trim("phrase") != "").distinct()
     rows = phrases.limit(LITERAL_BANK_ROWS + 1).collect()
     if len(rows) <= LITERAL_BANK_ROWS:
         return df.select(id_col, F.explode(phrases_in(F.col(text), [r.phrase for r in rows])).alias("phrase"))
-    keyed = phrases.withColumn("_head", F.substring("phrase", 1, PREFIX_CHARS))
-    # At most PREFIX_CHARS different lengths.
-    lengths = [r.n for r in keyed.select(F.length("_head").alias("n")).distinct().collect() if r.n]
+    stored = materialise(phrases, "phrases")
+    shards = -(-stored.count() // shard_rows)
+    lowered = df.select(id_col, F.lower(text).alias("_low")).where("_low is not null")
+    found = None
+    for number in range(shards):
+        shard = stored.where(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == number)
+        hits = _walked(lowered, id_col, [r.phrase for r in shard.collect()])
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
-    def pieces(low: Column) -> Column:
-        def cut(n: int) -> Column:
-            last = F.length(low) - n + 1
-            starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.substring(low, i, n))
 
-        return F.array_distinct(F.concat(*[cut(n) for n in sorted(lengths)]))
+def _walked(lowered: DataFrame, id_col: str, phrases: list[str]) -> DataFrame:
+    """(id, phrase) for every phrase that the text _low contains."""
+    shared = lowered.sparkSession.sparkContext.broadcast(phrases)
+    schema = T.StructType([lowered.schema[id_col], T.StructField("phrase", T.StringType())])
 
-    low = F.lower(F.col(text))
-    heads = df.select(
-        id_col, F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("_salt"), F.explode(bound(low, pieces)).alias("_head")
-    )
-    salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    met = heads.join(salted, ["_head", "_salt"]).groupBy(id_col).agg(F.collect_set("phrase").alias("_met"))
-    hits = df.select(id_col, low.alias("_low")).join(met, id_col)
-    return hits.select(id_col, F.explode(F.filter("_met", lambda p: F.contains(F.col("_low"), p))).alias("phrase"))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for number, phrase in enumerate(shared.value):
+            automaton.add_word(phrase, number)
+        automaton.make_automaton()
+        for batch in batches:
+            texts = batch.column("_low").to_pylist()
+            met = [{number for _, number in automaton.iter(t)} if len(automaton) else set() for t in texts]
+            rows = np.repeat(np.arange(len(met)), [len(m) for m in met])
+            names = [shared.value[n] for m in met for n in sorted(m)]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(rows)), pa.array(names, pa.string())], names=[id_col, "phrase"])
+
+    return lowered.mapInArrow(walk, schema)
 
 
 def new_phrases(learned: DataFrame, bank: dict = banks.KEYWORDS) -> DataFrame:

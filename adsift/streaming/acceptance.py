@@ -9,6 +9,10 @@ from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..session import ship
+
+ship(__name__)
+
 AT, LATE = "_at", "_late"
 
 

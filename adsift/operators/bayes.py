@@ -1,4 +1,4 @@
-"""Multinomial naive Bayes over long-form features: fit and predict are two aggregations."""
+"""Multinomial naive Bayes: fitting is one aggregation, predicting is arithmetic inside the row."""
 
 from __future__ import annotations
 
@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.text import literal_rows
 from ..session import materialise
+from .features import WEIGHTS
 
 
-def fit(labelled: DataFrame, weights: DataFrame, vocab: DataFrame, id_col: str, alpha: float = 1.0) -> tuple:
+def fit(rows: DataFrame, vocab: DataFrame, alpha: float = 1.0) -> tuple:
     """Return (terms, prior).
 
     terms: (idx, lp0, lp1) smoothed log probabilities for every vocabulary term. prior: one value, the log odds of the
-    unsmoothed class shares. `labelled` holds (id, label 0/1), `weights` the long features of the same ids.
+    unsmoothed class shares. `rows` holds label (0/1) and the weights of each text (see features.weighted); the sums by
+    term are the only shuffle.
     """
-    w = weights.join(labelled.select(id_col, "label"), id_col)
-    sums = w.groupBy("idx").agg(
-        F.sum(F.when(F.col("label") == 0, F.col("weight")).otherwise(0.0)).alias("s0"),
-        F.sum(F.when(F.col("label") == 1, F.col("weight")).otherwise(0.0)).alias("s1"),
-    )
+    flat = rows.select("label", F.explode(WEIGHTS).alias("w"))
+    of = lambda label: F.sum(F.when(F.col("label") == label, F.col("w.weight")).otherwise(0.0))
+    sums = flat.groupBy("w.idx").agg(of(0).alias("s0"), of(1).alias("s1"))
     # From here on at most one row a vocabulary term.
     full = vocab.select("idx").join(sums, "idx", "left").na.fill(0.0, ["s0", "s1"])
     totals = full.agg(
@@ -30,7 +31,7 @@ def fit(labelled: DataFrame, weights: DataFrame, vocab: DataFrame, id_col: str,
         return F.log(F.col(s) + F.lit(float(alpha))) - F.log(F.col("t")[t] + F.lit(float(alpha)) * F.col("t")["v"])
 
     terms = full.withColumn("t", totals).select("idx", log_prob("s0", "t0").alias("lp0"), log_prob("s1", "t1").alias("lp1"))
-    prior = labelled.agg(
+    prior = rows.agg(
         (F.log(F.count_if(F.col("label") == 1).cast("double")) - F.log(F.count_if(F.col("label") == 0).cast("double"))).alias("p")
     )
     return terms, prior
@@ -49,15 +50,18 @@ def fit_counts(labelled: DataFrame, terms: Column, alpha: float = 1.0) -> DataFr
     return sums.select("term", log_prob("s0", t.t0).alias("lp0"), log_prob("s1", t.t1).alias("lp1"))
 
 
-def predict(ids: DataFrame, weights: DataFrame, model: tuple, id_col: str) -> DataFrame:
-    """(id, p, predicted) for every id: P(class 1) and the likelier class (ties go to class 0)."""
+def predict(rows: DataFrame, model: tuple) -> DataFrame:
+    """rows (with weights, see features.weighted) and p = P(class 1), predicted: the likelier class (ties go to class 0).
+
+    The model is a list as long as the vocabulary and one number, looked up inside the row: no exchange, no join, so it
+    scores streams as well.
+    """
     terms, prior = model
-    # terms has one row a vocabulary term, so its broadcast is bounded.
-    scored = weights.join(F.broadcast(terms), "idx").groupBy(id_col).agg(
-        F.sum(F.col("weight") * (F.col("lp1") - F.col("lp0"))).alias("margin")
-    )
-    every = ids.select(id_col).join(scored, id_col, "left").withColumn("prior", prior.scalar())
-    odds = F.coalesce("margin", F.lit(0.0)) + F.col("prior")
-    return every.select(
-        id_col, (1 / (1 + F.exp(-odds))).alias("p"), F.when(odds > 0, 1).otherwise(0).alias("predicted")
-    )
+    # A number a vocabulary term; idx counts the terms from 0.
+    odds = [r.odds for r in terms.select("idx", (F.col("lp1") - F.col("lp0")).alias("odds")).orderBy("idx").collect()]
+    start = prior.first()[0]
+    table = literal_rows(odds, "array<double>")
+    margin = F.aggregate(WEIGHTS, F.lit(0.0), lambda acc, w: acc + w["weight"] * F.get(table, w["idx"])) + F.lit(start).cast("double")
+    scored = rows.withColumn("_odds", margin)
+    p = 1 / (1 + F.exp(-F.col("_odds")))
+    return scored.withColumn("p", p).withColumn("predicted", F.when(F.col("_odds") > 0, 1).otherwise(0)).drop("_odds", WEIGHTS)

@@ -1,17 +1,23 @@
-"""Term features in long form: counts, vocabulary, TF-IDF, and vectors built from them."""
+"""Term features: counts, vocabulary, TF-IDF inside the row, the same in long form, and vectors."""
 
 from __future__ import annotations
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as tx
+from ..functions.text import literal_rows
+from ..session import ship
 from .lookup import lookup
 
-# A vocabulary is a top-k list, so its broadcast is bounded by this many rows.
+ship(__name__)
+
+# A vocabulary is a top-k list, so what a plan holds of it is bounded by this many rows.
 MAX_VOCABULARY = 50_000
+# The column of weights inside a row, and its type.
+WEIGHTS, KIND = "_weights", "array<struct<idx:int,weight:double>>"
 
 
 def term_counts(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
@@ -36,7 +42,7 @@ def vocabulary(df: DataFrame, terms: Column, max_features: int) -> DataFrame:
     Ties are cut by term. The number of documents comes from the same table; idf = ln((1+n)/(1+df)) + 1.
     """
     if max_features > MAX_VOCABULARY:
-        raise ValueError(f"max_features is limited to {MAX_VOCABULARY}: the vocabulary is broadcast")
+        raise ValueError(f"max_features is limited to {MAX_VOCABULARY}: the vocabulary is part of the plan")
     top = doc_freq(df, terms).orderBy(F.desc("cf"), "term").limit(max_features)
     n_docs = df.agg(F.count("*").alias("n")).scalar()
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
@@ -45,40 +51,82 @@ def vocabulary(df: DataFrame, terms: Column, max_features: int) -> DataFrame:
     return top.withColumn("n_docs", n_docs).withColumn("idf", idf).withColumn("idx", index).drop("n_docs")
 
 
+def weighted(df: DataFrame, terms: Column, vocab: DataFrame, sublinear: bool = False, counts: bool = False, out: str = WEIGHTS) -> DataFrame:
+    """df with the text's vocabulary terms as array<struct<idx, weight>>, sorted by idx: tf * idf scaled to length one, or counts.
+
+    A fitted vocabulary counts the terms of a row in one hash table; idf and length are arithmetic on the row's array. There is no
+    exchange, so it serves streams as well. The vocabulary has at most MAX_VOCABULARY rows and is part of the plan.
+    """
+    entries = vocab.select("idx", "term", "idf").orderBy("idx").collect()
+    if not entries:
+        return df.withColumn(out, F.array().cast(KIND))
+    counter = CountVectorizerModel.from_vocabulary([r.term for r in entries], "_terms", "_counted")
+    none = F.array().cast("array<string>")
+    counted = counter.transform(df.withColumn("_terms", F.coalesce(terms, none))).withColumn("_counted", F.unwrap_udt("_counted"))
+    found, n = F.col("_counted.indices"), F.col("_counted.values")
+    if counts:
+        pairs = F.zip_with(found, n, lambda i, n: F.struct(i.alias("idx"), n.alias("weight")))
+        return counted.withColumn(out, pairs.cast(KIND)).drop("_terms", "_counted")
+    idf = literal_rows([r.idf for r in entries], "array<double>")
+    raw = F.zip_with(found, n, lambda i, n: F.struct(i.alias("idx"), ((1 + F.log(n) if sublinear else n) * F.get(idf, i)).alias("raw")))
+
+    def scaled(pairs: Column) -> Column:
+        length = F.sqrt(F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + p["raw"] * p["raw"]))
+        return tx.bound(length, lambda norm: F.transform(pairs, lambda p: F.struct(p["idx"].alias("idx"), (p["raw"] / norm).alias("weight"))))
+
+    return counted.withColumn(out, tx.bound(raw, scaled).cast(KIND)).drop("_terms", "_counted")
+
+
+def _long(df: DataFrame, id_col: str, vocab: DataFrame) -> DataFrame:
+    names = tx.literal([r.term for r in vocab.select("idx", "term").orderBy("idx").collect()])
+    flat = df.select(id_col, F.explode(WEIGHTS).alias("w"))
+    return flat.select(id_col, "w.idx", F.get(names, F.col("w.idx")).alias("term"), "w.weight")
+
+
 def count_vectors(df: DataFrame, id_col: str, terms: Column, vocab: DataFrame) -> DataFrame:
     """(id, idx, term, weight) with raw counts of vocabulary terms."""
-    counts = term_counts(df, id_col, terms).join(F.broadcast(vocab.select("idx", "term")), "term")
-    return counts.select(id_col, "idx", "term", F.col("n").cast("double").alias("weight"))
+    return _long(weighted(df, terms, vocab, counts=True), id_col, vocab)
 
 
 def tfidf(df: DataFrame, id_col: str, terms: Column, vocab: DataFrame, sublinear: bool = False) -> DataFrame:
-    """(id, idx, term, weight): tf * idf, each document scaled to length one.
-
-    The broadcast vocabulary removes other terms before the only exchange, which is on the document id; a document
-    then holds at most as many rows as the vocabulary.
-    """
-    counts = term_counts(df, id_col, terms).join(F.broadcast(vocab.select("idx", "term", "idf")), "term")
-    tf = 1 + F.log(F.col("n").cast("double")) if sublinear else F.col("n").cast("double")
-    raw = counts.select(id_col, "idx", "term", (tf * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "idx", "term", (F.col("raw") / norm).alias("weight"))
+    """(id, idx, term, weight): tf * idf, each document scaled to length one; see weighted."""
+    return _long(weighted(df, terms, vocab, sublinear), id_col, vocab)
 
 
 def vector(pairs: Column, size: int) -> Column:
-    """A sparse ML vector from array<struct<idx, weight>> sorted by idx, built on the JVM side."""
+    """A sparse ML vector from array<struct<idx, weight>> sorted by idx: the same values under the vector's type."""
     body = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
         F.lit(size).alias("size"),
-        F.transform(pairs, lambda p: p["idx"].cast("int")).alias("indices"),
+        F.transform(pairs, lambda p: p["idx"]).alias("indices"),
         F.transform(pairs, lambda p: p["weight"]).alias("values"),
     )
-    schema = T.StructType([T.StructField("v", VectorUDT())])
-    return F.from_json(F.to_json(F.struct(body.alias("v"))), schema)["v"]
+    # Marked as not deterministic, so that a filter on what a model makes of it is not pushed below it.
+    return F.arrow_udf(lambda given: given, VectorUDT()).asNondeterministic()(body)
+
 
+def vectors(df: DataFrame, terms: Column, vocab: DataFrame, sublinear: bool = False) -> DataFrame:
+    """df with a `features` vector of TF-IDF weights; texts without any vocabulary term get the zero vector."""
+    rows = weighted(df, terms, vocab, sublinear)
+    return rows.withColumn("features", vector(F.col(WEIGHTS), vocab.count())).drop(WEIGHTS)
 
-def vectors(df: DataFrame, id_col: str, weights: DataFrame, size: int) -> DataFrame:
-    """df with a `features` vector; texts without any vocabulary term get the zero vector."""
-    pairs = weights.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("_pairs"))
-    empty = F.array().cast("array<struct<idx:int,weight:double>>")
-    joined = df.join(pairs, id_col, "left").withColumn("_pairs", F.coalesce("_pairs", empty))
-    return joined.withColumn("features", vector(F.col("_pairs"), size)).drop("_pairs")
+
+def term_gains(labelled: DataFrame, terms: Column, vocab: DataFrame) -> DataFrame:
+    """(idx, phrase, gain) for every vocabulary term: how much Gini impurity of `label` (0/1) the term's presence removes.
+
+    This is what a tree of depth one gains by splitting on the term. One shuffle of partial counts by (term, class).
+    """
+    rows = weighted(labelled.select("label", "text"), terms, vocab, counts=True).select("label", F.explode(WEIGHTS).alias("w"))
+    of = lambda label: F.count_if(F.col("label") == label)
+    held = rows.groupBy("w.idx").agg(of(0).alias("n0"), of(1).alias("n1"))
+    all_ = labelled.agg(F.struct(of(0).alias("n0"), of(1).alias("n1")).alias("t")).scalar()
+    full = vocab.select("idx", F.col("term").alias("phrase")).join(held, "idx", "left").na.fill(0, ["n0", "n1"]).withColumn("t", all_)
+
+    def gini(a: Column, b: Column) -> Column:
+        n = (a + b).cast("double")
+        return F.when(n > 0, 1 - (a / n) * (a / n) - (b / n) * (b / n)).otherwise(0.0)
+
+    a, b, t0, t1 = F.col("n0"), F.col("n1"), F.col("t.n0"), F.col("t.n1")
+    n = (t0 + t1).cast("double")
+    inside = (a + b) / n * gini(a, b) + (t0 - a + t1 - b) / n * gini(t0 - a, t1 - b)
+    return full.select("idx", "phrase", (gini(t0, t1) - inside).alias("gain"))

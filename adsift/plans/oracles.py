@@ -861,11 +861,18 @@ add(
     ],
 )
 
+ORACLES["ml_augmented_forest"] = (
+    "SELECT label, CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS support, TRUE AS beats_majority "
+    f"FROM ({ORACLES['aug_expand']}) GROUP BY label"
+)
+
 # --- learning ---
 
 
-def feature_ctes(source: str, id_col: str, terms: str, k: int | None, sublinear: bool = False, train: bool = True) -> list[tuple[str, str]]:
-    """CTEs tc(id, term, n), voc(term, idf), wt(id, term, weight), tr(ids of the training rows)."""
+def feature_ctes(
+    source: str, id_col: str, terms: str, k: int | None, sublinear: bool = False, train: bool = True, scope: str = "tr",
+) -> list[tuple[str, str]]:
+    """CTEs tc(id, term, n), voc(term, idf), wt(id, term, weight), tr(ids of the training rows); scope holds the ids that make voc."""
     tf = "1 + ln(n::DOUBLE)" if sublinear else "n::DOUBLE"
     where = f"WHERE {SPLIT.format(id_col)} = 'train'" if train else ""
     cut = f"ORDER BY cf DESC, term LIMIT {k}" if k else ""
@@ -879,8 +886,8 @@ def feature_ctes(source: str, id_col: str, terms: str, k: int | None, sublinear:
         (
             "voc",
             f"""SELECT term, df, ln((c.n_docs + 1)::DOUBLE / (df + 1)::DOUBLE) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(n) AS cf
-            FROM tc JOIN tr USING ({id_col}) GROUP BY term {cut})
-            CROSS JOIN (SELECT count(*) AS n_docs FROM tr) c""",
+            FROM tc JOIN {scope} USING ({id_col}) GROUP BY term {cut})
+            CROSS JOIN (SELECT count(*) AS n_docs FROM {scope}) c""",
         ),
         (
             "wt",
@@ -931,37 +938,53 @@ add(
         *bayes_ctes("message_id", "SELECT message_id, term, n::DOUBLE AS weight FROM tc", 0.1),
     ],
 )
-add(
-    "ml_predict",
-    f"""SELECT doc_id, round(1 / (1 + exp(-odds)), 6) AS p, CAST(odds > 0 AS INTEGER) AS predicted FROM (
-    SELECT a.doc_id, coalesce(s.margin, 0) + pr.prior AS odds FROM ads a LEFT JOIN (SELECT doc_id, sum(weight * (lp1 - lp0)) AS margin
+NB_ALL = feature_ctes("ads", "doc_id", "w", 5000, scope="ads") + bayes_ctes("doc_id", "SELECT * FROM wt", 1.0)
+for name, ctes in (("ml_predict", NB), ("ml_predict_fit_all", NB_ALL)):
+    add(
+        name,
+        f"""SELECT doc_id, round(1 / (1 + exp(-odds)), 6) AS p, CAST(odds > 0 AS INTEGER) AS predicted FROM (
+        SELECT a.doc_id, coalesce(s.margin, 0) + pr.prior AS odds FROM ads a LEFT JOIN (SELECT doc_id, sum(weight * (lp1 - lp0)) AS margin
     FROM wt JOIN params USING (term) GROUP BY doc_id) s USING (doc_id) CROSS JOIN (SELECT ln((count(*) FILTER (label = 1))::DOUBLE)
-    - ln((count(*) FILTER (label = 0))::DOUBLE) AS prior FROM tr) pr WHERE {SPLIT.format('a.doc_id')} = 'test')""",
-    "ads",
-    extra=NB,
+        - ln((count(*) FILTER (label = 0))::DOUBLE) AS prior FROM tr) pr WHERE {SPLIT.format('a.doc_id')} = 'test')""",
+        "ads",
+        extra=ctes,
+    )
+FEATURES = feature_ctes("ads", "doc_id", GRAMS, 5000)
+
+
+def gini(a: str, b: str) -> str:
+    n = f"(({a}) + ({b}))::DOUBLE"
+    return f"CASE WHEN {n} > 0 THEN 1 - (({a}) / {n}) * (({a}) / {n}) - (({b}) / {n}) * (({b}) / {n}) ELSE 0 END"
+
+
+GAINS = (
+    "gains",
+    f"""SELECT term AS phrase, round({gini("t0", "t1")} - ((n0 + n1) / (t0 + t1)::DOUBLE * ({gini("n0", "n1")})
+    + (t0 - n0 + t1 - n1) / (t0 + t1)::DOUBLE * ({gini("t0 - n0", "t1 - n1")})), 9) AS gain
+    FROM (SELECT voc.term, count(*) FILTER (tr.label = 0) AS n0, count(*) FILTER (tr.label = 1) AS n1
+          FROM voc LEFT JOIN tc ON tc.term = voc.term LEFT JOIN tr ON tr.doc_id = tc.doc_id GROUP BY voc.term)
+    CROSS JOIN (SELECT count(*) FILTER (label = 0) AS t0, count(*) FILTER (label = 1) AS t1 FROM tr)""",
 )
 add(
     "snk_keyword_bank",
-    "SELECT row_number() OVER ()::INTEGER AS rank, TRUE AS falls, TRUE AS known, (SELECT count(*) FROM learned) AS total_learned "
-    "FROM (SELECT term FROM voc LIMIT 100)",
+    "SELECT phrase, (SELECT count(*) FROM learned) AS total_learned, 100::BIGINT AS n_model, TRUE AS strong, TRUE AS whole FROM learned",
     "ads", "reports",
-    extra=[*feature_ctes("ads", "doc_id", GRAMS, 5000), PHRASES, LEARNED],
+    extra=[PHRASES, LEARNED],
 )
 
 PART = f"(SELECT doc_id, label FROM ads WHERE {SPLIT.format('doc_id')} = 'test')"
-for name in ("ml_random_forest", "ml_logistic"):
-    add(name, f"SELECT label, count(*) AS support, TRUE AS beats_majority FROM {PART} GROUP BY label", "ads")
+add("ml_random_forest", f"SELECT label, count(*) AS support, TRUE AS beats_majority FROM {PART} GROUP BY label", "ads")
 add(
-    "ml_feature_importance",
-    "SELECT term AS phrase, TRUE AS is_share, 1.0::DOUBLE AS total FROM voc",
-    "ads",
-    extra=feature_ctes("ads", "doc_id", GRAMS, 5000),
+    "ml_logistic",
+    f"SELECT label, count(*) AS support, TRUE AS beats_majority FROM messages WHERE {SPLIT.format('message_id')} = 'test' GROUP BY label",
+    "messages",
 )
+add("ml_feature_importance", "SELECT phrase, gain, TRUE AS strong FROM gains", "ads", extra=[*FEATURES, GAINS])
 add(
     "srt_top_keywords",
-    "SELECT row_number() OVER ()::INTEGER AS rank, TRUE AS falls, TRUE AS known FROM (SELECT term FROM voc LIMIT 50)",
+    "SELECT phrase, gain, row_number() OVER (ORDER BY gain DESC, phrase)::INTEGER AS rank, TRUE AS strong FROM gains ORDER BY gain DESC, phrase LIMIT 50",
     "ads",
-    extra=feature_ctes("ads", "doc_id", GRAMS, 5000),
+    extra=[*FEATURES, GAINS],
 )
 add("snk_model", f"SELECT doc_id, TRUE AS same FROM {PART}", "ads")
 
@@ -1007,6 +1030,8 @@ add(
     extra=[*NB, MODEL_P, *answered("modelled")],
 )
 
+ORACLES["st_screen_with_model"] = ORACLES["jn_screen_with_model"]
+
 # --- streaming ---
 AD_URL = ("ad_urls", "SELECT *, 'http://ads.example.xyz/' || doc_id AS url FROM scored")
 add(

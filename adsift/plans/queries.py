@@ -13,7 +13,7 @@ from ..functions.hashing import report_id
 from ..operators import (
     augment, bayes, bursts, corpus, features, greedy, keywords, learning, metrics, reports as rp, screen, stemming,
 )
-from ..session import materialise, prepare, scratch
+from ..session import materialise, prepare, scratch, shared
 from ..sources import corpora, keyword_files, models, report_files
 from ..streaming import reports as sr, runs, screening
 from . import views
@@ -120,13 +120,21 @@ def snk_corpus_csv(spark, sf_dir):
 
 @query
 def snk_keyword_bank(spark, sf_dir):
+    """The learned part of the bank as it is read back, with the number of its model phrases and whether they are the model's."""
     path = scratch(prepare(spark), "keyword-bank")
     model, featuriser = _forest(spark, sf_dir)
-    top = learning.top_keywords(learning.feature_importance(model, featuriser), 100)
+    importance = materialise(learning.feature_importance(model, featuriser), "importances")
     learned = rp.phrase_counts(views.reports(spark, sf_dir))
-    keyword_files.write_bank(top, learned, path, AS_OF)
+    keyword_files.write_bank(learning.top_keywords(importance, 100), learned, path, AS_OF)
     total = keyword_files.load_totals(spark, path).select("total_learned").scalar()
-    return _ranked_keywords(keyword_files.load_bank(spark, path), featuriser).withColumn("total_learned", total)
+    bank = keyword_files.load_bank(spark, path)
+    _, strong = _gains(spark, sf_dir, model, featuriser)
+    # Read back, the bank holds no less than any 100 phrases of the model do.
+    most = importance.orderBy(F.desc("importance")).limit(100).agg(F.round(F.sum("importance"), 5).alias("m"))
+    held = bank.agg(F.round(F.sum("importance"), 5).alias("m"))
+    whole = held.join(most, held.m == most.m).agg((F.count("*") == 1).alias("w")).scalar()
+    rows = keyword_files.load_learned(spark, path).withColumn("total_learned", total)
+    return rows.withColumn("n_model", bank.agg(F.count("*").alias("n")).scalar()).withColumn("strong", strong).withColumn("whole", whole)
 
 
 # --- projections -------------------------------------------------------------------------------------------------
@@ -402,11 +410,13 @@ def jn_scan_pages(spark, sf_dir):
 @query
 def jn_screen_with_model(spark, sf_dir):
     """The main path: text, the trained model's probability, screening."""
-    docs, terms, vocab, fitted = _bayes(spark, sf_dir)
+    docs, score = _bayes_score(spark, sf_dir)
+    return _screened_by_model(docs, score)
+
+
+def _screened_by_model(docs, score):
     test = corpus.random_split(docs, "doc_id").filter("split = 'test'").drop("p")
-    p = bayes.predict(test, features.tfidf(test, "doc_id", terms, vocab), fitted, "doc_id")
-    scored = test.join(p.select("doc_id", F.round("p", 6).alias("p")), "doc_id").withColumn("url", F.lit(""))
-    rows = screen.screen(scored)
+    rows = screen.screen(score(test).withColumn("p", F.round("p", 6)).withColumn("url", F.lit("")))
     return rows.select("doc_id", "risk_score", "verdict", "fraud_category", "keyword_hits", "model_confidence")
 
 
@@ -613,14 +623,20 @@ def ml_count_vectors(spark, sf_dir):
     return counts.select("message_id", "term", "n")
 
 
-def _bayes(spark, sf_dir):
+def _bayes(spark, sf_dir, scope="train"):
+    """(ads, terms, vocabulary, fitted model); scope tells whether all rows or the training rows make the vocabulary."""
     docs = views.ads(spark, sf_dir)
     terms = tx.tokens(F.col("text"))
     train = _train(docs)
     # Written once: the vocabulary serves the training and the scoring features.
-    vocab = materialise(features.vocabulary(train, terms, 5000), "bayes-vocabulary")
-    fitted = bayes.fit(train, features.tfidf(train, "doc_id", terms, vocab), vocab, "doc_id")
-    return docs, terms, vocab, fitted
+    vocab = materialise(features.vocabulary(train if scope == "train" else docs, terms, 5000), "bayes-vocabulary")
+    return docs, terms, vocab, bayes.fit(features.weighted(train, terms, vocab), vocab)
+
+
+def _bayes_score(spark, sf_dir, scope="train"):
+    """(ads, a function that adds p and predicted to texts, streams included)."""
+    docs, terms, vocab, fitted = _bayes(spark, sf_dir, scope)
+    return docs, lambda texts: bayes.predict(features.weighted(texts, terms, vocab), fitted)
 
 
 @query
@@ -639,19 +655,32 @@ def ml_naive_bayes_counts(spark, sf_dir):
     return fitted.select("term", F.round("lp0", 6).alias("log_prob_0"), F.round("lp1", 6).alias("log_prob_1"))
 
 
+def _predicted(spark, sf_dir, scope):
+    docs, score = _bayes_score(spark, sf_dir, scope)
+    test = corpus.random_split(docs, "doc_id").filter("split = 'test'").drop("p")
+    return score(test).select("doc_id", F.round("p", 6).alias("p"), "predicted")
+
+
 @query
 def ml_predict(spark, sf_dir):
-    docs, terms, vocab, fitted = _bayes(spark, sf_dir)
-    test = corpus.random_split(docs, "doc_id").filter("split = 'test'")
-    weights = features.tfidf(test, "doc_id", terms, vocab)
-    return bayes.predict(test, weights, fitted, "doc_id").select("doc_id", F.round("p", 6).alias("p"), "predicted")
+    return _predicted(spark, sf_dir, "train")
+
+
+@query
+def ml_predict_fit_all(spark, sf_dir):
+    """Vocabulary and idf from all rows, the classifier from the training rows."""
+    return _predicted(spark, sf_dir, "all")
 
 
 def _forest(spark, sf_dir, trees=200, depth=20):
-    """The service's model on the training part of ads."""
+    """The service's model on the training part of ads, trained once an application and table and then loaded."""
+    prepare(spark)
     featuriser = learning.Featuriser()
-    train = _train(views.ads(prepare(spark), sf_dir)).select("doc_id", "text", "label")
-    return learning.train(train, learning.random_forest(trees, depth), featuriser), featuriser
+    path = shared(spark, f"forest-{trees}-{depth}", sf_dir)
+    if not models.saved(spark, path):
+        train = _train(views.ads(spark, sf_dir)).select("doc_id", "text", "label")
+        models.save(learning.train(train, learning.random_forest(trees, depth), featuriser), featuriser, path)
+    return models.load(spark, path, featuriser)
 
 
 def _beats_majority(report_of):
@@ -675,33 +704,52 @@ def ml_random_forest(spark, sf_dir):
 
 @query
 def ml_logistic(spark, sf_dir):
-    featuriser = learning.Featuriser(max_features=3000, sublinear=False)
-    train = _train(views.ads(prepare(spark), sf_dir)).select("doc_id", "text", "label")
-    model = learning.train(train, learning.logistic, featuriser)
-    return _beats_majority(learning.predict(_test_part(spark, sf_dir), model, featuriser))
+    """Messages cleaned and stemmed, one- and two-word terms of all messages, logistic regression on the training part."""
+    rows = _messages(spark, sf_dir).select("message_id", tx.normalise_sms(F.col("text")).alias("text"), "label")
+    rows = materialise(stemming.stem_text(rows, "message_id"), "stemmed")
+    featuriser = learning.Featuriser(id_col="message_id", max_features=3000, sublinear=False)
+    model = learning.train(_train(rows, "message_id"), learning.logistic, featuriser, fit_on=rows)
+    test = corpus.random_split(rows, "message_id").filter("split = 'test'").drop("split")
+    return _beats_majority(learning.predict(test, model, featuriser))
 
 
 @query
-def ml_feature_importance(spark, sf_dir):
-    rows = materialise(learning.feature_importance(*_forest(spark, sf_dir)), "importances")
-    total = rows.agg(F.round(F.sum("importance"), 2).alias("t")).scalar()
-    return rows.select("phrase", F.col("importance").between(0, 1).alias("is_share")).withColumn("total", total)
+def ml_augmented_forest(spark, sf_dir):
+    """Variants of the fraudulent ads, a split by class, 8,000 terms, 300 trees."""
+    ads = views.ads(spark, sf_dir)
+    rows = augment.expand(ads.withColumn("category", F.when(F.col("label") == 1, "fake").otherwise("genuine")), "doc_id")
+    rows = rows.select(F.concat_ws("-", "doc_id", "variant").alias("row_id"), "text", "label")
+    rows = materialise(corpus.stratified_split(rows, "row_id"), "augmented")
+    featuriser = learning.Featuriser(id_col="row_id", max_features=8000)
+    train = rows.filter("split = 'train'").drop("split")
+    model = learning.train(train, learning.random_forest(300, 30), featuriser)
+    return _beats_majority(learning.predict(rows.filter("split = 'test'").drop("split"), model, featuriser))
+
+
+def _gains(spark, sf_dir, model, featuriser):
+    """(gains, strong): each term's impurity gain on the training rows, and whether the model agrees with them: the 50 terms
+    of the largest gains hold three times the importance that as many terms would hold on average."""
+    train = _train(views.ads(spark, sf_dir))
+    gains = materialise(features.term_gains(train, featuriser.terms(), featuriser.vocab), "gains")
+    gains = gains.select("phrase", F.round("gain", 9).alias("gain"))
+    top = gains.orderBy(F.desc("gain"), "phrase").limit(50)
+    held = learning.feature_importance(model, featuriser).join(F.broadcast(top), "phrase", "left_semi")
+    strong = held.agg((F.sum("importance") > 3 * 50.0 / featuriser.size).alias("s")).scalar()
+    return gains, strong
 
 
 @query
-def srt_top_keywords(spark, sf_dir):
-    model, featuriser = _forest(spark, sf_dir)
-    return _ranked_keywords(learning.top_keywords(learning.feature_importance(model, featuriser), 50), featuriser)
+def ml_feature_importance(spark, sf_dir):
+    gains, strong = _gains(spark, sf_dir, *_forest(spark, sf_dir))
+    return gains.withColumn("strong", strong)
 
 
-def _ranked_keywords(top, featuriser):
-    """(rank, falls, known) of a short list (phrase, importance)."""
-    order = Window.orderBy(F.desc("importance"), "phrase")
-    ranked = top.withColumn("rank", F.row_number().over(order)).withColumn("before", F.lag("importance").over(order))
-    known = featuriser.vocab.select(F.col("term").alias("phrase"), F.lit(True).alias("known"))
-    return ranked.join(F.broadcast(known), "phrase", "left").select(
-        "rank", F.coalesce(F.col("importance") <= F.col("before"), F.lit(True)).alias("falls"), F.coalesce("known", F.lit(False)).alias("known")
-    )
+@query
+def srt_top_keywords(spark, sf_dir):
+    gains, strong = _gains(spark, sf_dir, *_forest(spark, sf_dir))
+    top = gains.orderBy(F.desc("gain"), "phrase").limit(50)
+    order = Window.orderBy(F.desc("gain"), "phrase")
+    return top.withColumn("rank", F.row_number().over(order)).withColumn("strong", strong)
 
 
 @query
@@ -759,6 +807,13 @@ def st_screen(spark, sf_dir):
     )
 
 
+@query
+def st_screen_with_model(spark, sf_dir):
+    """The trained model on a stream of ads: the same rows as jn_screen_with_model."""
+    _, score = _bayes_score(spark, sf_dir)
+    return runs.drain(_screened_by_model(_ad_stream(spark, sf_dir), score), "screened-by-model")
+
+
 @query
 def st_alerts(spark, sf_dir):
     out = screening.alerting(_ad_stream(spark, sf_dir), forced=F.col("p") == 0)

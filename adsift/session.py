@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import tempfile
 import uuid
@@ -51,6 +52,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/adsift/{name}-{uuid.uuid4().hex}"
 
 
+def shared(spark: SparkSession, name: str, *of: str) -> str:
+    """A path in the same folder that stays the same for these names within an application."""
+    base = scratch(spark, name).rpartition("/")[0]
+    key = hashlib.md5("|".join((spark.sparkContext.applicationId, *of)).encode()).hexdigest()
+    return f"{base}/{name}-{key}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is such a folder, wherever the session keeps it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -77,7 +77,9 @@ def test_tfidf_has_unit_length(spark):
     w = features.tfidf(df, "doc_id", terms, vocab, sublinear=True)
     norms = w.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert {r.doc_id: round(r.s, 9) for r in norms} == {1: 1.0, 2: 1.0}
-    vecs = {r.doc_id: r.features for r in features.vectors(df, "doc_id", w, 2).collect()}
+    vecs = {r.doc_id: r.features for r in features.vectors(df, terms, vocab, sublinear=True).collect()}
+    long = {(r.doc_id, r.idx): r.weight for r in w.collect()}
+    assert {(d, int(i)): x for d, v in vecs.items() for i, x in zip(v.indices, v.values)} == long
     assert vecs[3].numNonzeros() == 0 and vecs[2].indices.tolist() == [1] and vecs[1].size == 2
 
 
@@ -101,14 +103,66 @@ def test_naive_bayes_by_hand(spark):
     df = spark.createDataFrame([(1, "win win cash", 1), (2, "meet today", 0), (3, "cash today", 0)], "doc_id bigint, text string, label int")
     terms = tx.tokens(F.col("text"))
     vocab = features.vocabulary(df, terms, 10)
-    counts = features.count_vectors(df, "doc_id", terms, vocab)
-    model = bayes.fit(df, counts, vocab, "doc_id", alpha=1.0)
+    long = features.count_vectors(df, "doc_id", terms, vocab)
+    assert {(r.doc_id, r.term): r.weight for r in long.collect()}[1, "win"] == 2.0
+    counts = features.weighted(df, terms, vocab, counts=True)
+    model = bayes.fit(counts, vocab, alpha=1.0)
     lp = {r.term: (r.lp0, r.lp1) for r in model[0].join(vocab, "idx").collect()}
     assert lp["win"][1] == pytest.approx(math.log(3 / 7)) and lp["today"][0] == pytest.approx(math.log(3 / 8))
-    got = {r.doc_id: r.predicted for r in bayes.predict(df, counts, model, "doc_id").collect()}
+    got = {r.doc_id: r.predicted for r in bayes.predict(counts, model).collect()}
     assert got == {1: 1, 2: 0, 3: 0}
 
 
+def test_scoring_and_features_have_no_exchange(spark):
+    """The weights of a text, its vector and its score are worked out inside the row; blank texts get the prior."""
+    df = spark.createDataFrame([(1, "win win cash", 1), (2, "meet today", 0), (3, None, 0), (4, "", 0)], "doc_id bigint, text string, label int")
+    terms = tx.tokens(F.col("text"))
+    vocab = features.vocabulary(df, terms, 10)
+    weights = features.weighted(df, terms, vocab)
+    model = bayes.fit(weights, vocab)
+    featuriser = learning.Featuriser(high=1).fit(df)
+    for out in (weights, bayes.predict(weights, model), featuriser.transform(df), features.tfidf(df, "doc_id", terms, vocab)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and "to_json" not in plan
+    assert {r.doc_id: round(r.p, 9) for r in bayes.predict(weights, model).collect()}[3] == pytest.approx(0.25)
+    assert features.weighted(df, terms, vocab.limit(0)).collect()[0]._weights == []
+
+
+def test_gains_are_those_of_trees_of_depth_one(spark):
+    """What a tree of one split gains on a term's presence, and which term it takes first; a wrong label changes both."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    words = ["cash", "prize", "team", "note", "other"]
+    rows = []
+    for i in range(200):
+        has = [i % 2 and i % 10 < 8, i % 3 == 0, not i % 2 and i % 7 < 6, i % 5 == 0, i % 11 < 4]
+        rows.append((i, " ".join(w for w, h in zip(words, has) if h), i % 2))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    terms = tx.tokens(F.col("text"))
+    vocab = features.vocabulary(df, terms, 10)
+    gains = {r.phrase: r.gain for r in features.term_gains(df, terms, vocab).collect()}
+    for w in words:
+        one = df.select(F.col("label").cast("double").alias("label"), array_to_vector(F.array(F.contains("text", F.lit(w)).cast("double"))).alias("features"))
+        tree = DecisionTreeClassifier(maxDepth=1, minInfoGain=0.0).fit(one)
+        root = tree._java_obj.rootNode()
+        assert (root.gain() if tree.depth else 0.0) == pytest.approx(gains[w], abs=1e-12)
+    featuriser = learning.Featuriser(high=1, sublinear=False)
+    model = learning.train(df, learning.random_forest(trees=1, depth=1).setFeatureSubsetStrategy("all").setBootstrap(False), featuriser)
+    best = max(gains, key=gains.get)
+    assert learning.top_keywords(learning.feature_importance(model, featuriser), 1).first().phrase == best
+    wrong = {r.phrase: r.gain for r in features.term_gains(df.withColumn("label", F.col("doc_id").cast("int") % 3 % 2), terms, vocab).collect()}
+    assert max(wrong, key=wrong.get) != best
+
+
+def test_fit_on_all_rows(spark):
+    df = spark.createDataFrame([(1, "aa bb", 1), (2, "bb cc", 0), (3, "dd", 1), (4, "dd cc", 0)], "doc_id bigint, text string, label int")
+    some, whole = learning.Featuriser(high=1), learning.Featuriser(high=1)
+    learning.train(df.filter("doc_id < 3"), learning.logistic, some)
+    learning.train(df.filter("doc_id < 3"), learning.logistic, whole, fit_on=df)
+    assert (some.size, whole.size) == (3, 4)
+
+
 def test_forest_round_trip(spark):
     rows = [(i, "free cash prize now" if i % 2 else "team meeting agenda notes", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")

@@ -2,11 +2,14 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import check
+from adsift.plans import queries as entry_queries
 from adsift.plans.oracles import ORACLES
 from adsift.plans.queries import QUERIES
+from adsift.session import scratch
 
 SAMPLE = [
     "jn_screen_assemble", "rule_url_flags", "agg_keyword_map", "agg_class_report", "win_roc_curve", "win_stratified_split",
@@ -60,6 +63,7 @@ def test_top_words_limit_before_shuffle(spark, sf_dir):
 @pytest.mark.parametrize("name", ["snk_keyword_bank", "snk_model", "srt_top_keywords", "ml_feature_importance"])
 def test_queries_train_the_services_forest(spark, sf_dir, monkeypatch, name):
     from adsift.operators import learning
+    from adsift.sources import models
 
     class Seen(Exception):
         pass
@@ -68,6 +72,33 @@ def test_queries_train_the_services_forest(spark, sf_dir, monkeypatch, name):
         raise Seen(estimator.getNumTrees(), estimator.getMaxDepth())
 
     monkeypatch.setattr(learning, "train", train)
+    monkeypatch.setattr(models, "saved", lambda spark, path: False)
     with pytest.raises(Seen) as seen:
         entry.queries()[name](spark, sf_dir)
     assert seen.value.args == (200, 20)
+
+
+def test_wrong_model_is_noticed(spark, sf_dir, monkeypatch):
+    """A forest that was trained on labels without sense fails the facts that the queries about it state."""
+    from adsift.operators import learning
+    from adsift.sources import models
+
+    whole = learning.train
+
+    def train(df, estimator, featuriser, fit_on=None):
+        return whole(df.withColumn("label", (F.xxhash64("doc_id") % 2 == 0).cast("int")), learning.random_forest(5, 5), featuriser, fit_on)
+
+    monkeypatch.setattr(learning, "train", train)
+    monkeypatch.setattr(models, "saved", lambda spark, path: False)
+    monkeypatch.setattr(entry_queries, "shared", lambda spark, name, *of: scratch(spark, "wrong-model"))
+    assert [r.strong for r in entry.queries()["srt_top_keywords"](spark, sf_dir).collect()] == [False] * 50
+
+
+def test_screening_with_the_model_has_no_exchange(spark, sf_dir):
+    """Once the model is fitted, neither the batch nor the stream moves a row, and both give the same."""
+    queries = entry.queries()
+    batch = queries["jn_screen_with_model"](spark, sf_dir)
+    plan = batch._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    stream = queries["st_screen_with_model"](spark, sf_dir)
+    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.select(batch.columns).collect()))

@@ -27,7 +27,7 @@ ship(__name__)
 NORMAL, UNKNOWN, BPE_MODEL = 1, 2, 2
 # Bytes that a task may use to remember distinct pre-tokens, and as many for stretches between spaces; beyond that the
 # memory starts afresh. An entry costs OVERHEAD bytes besides its text and ids.
-REMEMBERED, OVERHEAD = 32_000_000, 200
+REMEMBERED, OVERHEAD = 72_000_000, 200
 # Bytes of a column worked on at once.
 SLICE = 1_000_000
 

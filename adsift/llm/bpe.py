@@ -96,23 +96,24 @@ def _encoder(model: bytes, tokens: tuple[bytes, ...], ids: tuple[int, ...]):
     return encode
 
 
-class _Memory(dict):
+class _Memory:
     """What was worked out for each string; it starts afresh where it would grow beyond a number of bytes."""
 
     def __init__(self, most: int):
         self.most, self.size = most, 0
+        self.known: dict[str, bytes] = {}
 
-    def filled(self, wanted: set[str], work) -> None:
-        """Work out those of the strings that are not here; work takes a list of strings."""
-        new = list(wanted.difference(self))
+    def filled(self, wanted: set[str], work) -> dict[str, bytes]:
+        """The memory with all of these strings in it; work takes a list of strings."""
+        new = list(wanted.difference(self.known))
         found = work(new) if new else []
         size = sum(map(len, new)) + sum(map(len, found)) + OVERHEAD * len(new)
-        if self.size + size > self.most and len(self):
-            self.clear()
-            self.size = 0
+        if self.size + size > self.most and self.known:
+            self.known, self.size = {}, 0
             return self.filled(wanted, work)
         self.size += size
-        self.update(zip(new, found, strict=True))
+        self.known.update(zip(new, found, strict=True))
+        return self.known
 
 
 def _text_encoder(model: bytes, tokens: tuple[bytes, ...], ids: tuple[int, ...], pattern: str):
@@ -128,15 +129,15 @@ def _text_encoder(model: bytes, tokens: tuple[bytes, ...], ids: tuple[int, ...],
 
     def whole(texts: list[str]) -> list[bytes]:
         cuts = [cut.findall(x) for x in texts]
-        pieces.filled({p for c in cuts for p in c}, encoder)
-        return [b"".join([pieces[p] for p in c]) for c in cuts]
+        known = pieces.filled({p for c in cuts for p in c}, encoder)
+        return [b"".join([known[p] for p in c]) for c in cuts]
 
     def encode_texts(texts: list[str]) -> list[bytes]:
         odd = [other.search(t) is not None for t in texts]
         parts = [[] if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
-        stretches.filled(set(chain.from_iterable(islice(p, 1, None) for p in parts)), lambda new: whole([" " + x for x in new]))
+        known = stretches.filled(set(chain.from_iterable(islice(p, 1, None) for p in parts)), lambda new: whole([" " + x for x in new]))
         firsts = whole([t if o else p[0] for t, o, p in zip(texts, odd, parts, strict=True)])
-        return [f + b"".join(map(stretches.__getitem__, islice(p, 1, None))) for f, p in zip(firsts, parts, strict=True)]
+        return [f + b"".join(map(known.__getitem__, islice(p, 1, None))) for f, p in zip(firsts, parts, strict=True)]
 
     return encode_texts
 

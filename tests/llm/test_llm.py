@@ -400,6 +400,39 @@ def test_disclosing_terms_far_from_the_entity(spark):
     assert not any(found[i] for i in range(6, len(texts)))
 
 
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    data = [(n, [k % 7 for k in range(n)]) for n in (0, 1, 2, 3, 4, 5, 8, 9, 17, 100)]
+    df = spark.createDataFrame(data, "n int, x array<int>")
+    for r in df.select("n", "x", pii._running(F.col("x"), 3).alias("s")).collect():
+        assert r.s == [sum(r.x[: k + 1]) for k in range(r.n)]
+
+
+def test_texts_with_very_many_matches(spark):
+    """Places in a text with tens of thousands of matches come out right, and in a time that does not grow with their square."""
+    import time
+
+    text = " ".join(f"x{k} 10.0.{k % 300}.7 a{k}@b.example" for k in range(8_000))
+    start = time.time()
+    found = pii.report(brute.frame(spark, [(1, text, *brute.odd_rows()[0][2:])])).first()
+    assert found.base_sha256 == brute.sha(brute.listed(brute.personal(text))) and found.n_email == 8_000
+    assert time.time() - start < 120
+
+
+def test_hot_text_and_hot_entity(spark):
+    """A text with thousands of copies, and an entity in all of them, count as one piece of evidence each time."""
+    name = "Quillandra"
+    data = [(i, f"note {i} for {name}: her mail q@p.example, thanks", *brute.odd_rows()[0][2:]) for i in range(5)]
+    data += [(100 + i, "hot text with r@s.example and 10.0.0.1 inside", *brute.odd_rows()[0][2:]) for i in range(2_000)]
+    data += [(5000 + i, f"plain words {i} in many texts", *brute.odd_rows()[0][2:]) for i in range(300)]
+    found = {r.doc_id: r for r in pii.report(brute.frame(spark, data)).collect()}
+    assert len(found) == len(data) and not any(found[100 + i].n_term for i in range(2_000))
+    for i in range(5):
+        at = data[i][1].index(name)
+        assert f"term:{at}:{at + len(name)}" in found[i].spans.split(",")
+
+
 # 8 -- byte-level BPE
 
 

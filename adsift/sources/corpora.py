@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import banks
 from ..functions.text import join_text
+from . import quoted
 
 CSV = {
     "header": True, "multiLine": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
@@ -19,11 +20,24 @@ ESCAPED, ESCAPES = "\\", {"\\": "\\\\", "\n": "\\n", "\r": "\\r"}
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = True, **options) -> DataFrame:
-    """All columns as strings; nothing is inferred, so the data is read once.
+    """All columns as strings; nothing is inferred.
 
-    Fields may hold line breaks, and a file is then one task's work. With multi_line off large files are split.
+    Fields may hold line breaks. Files are split all the same, at records (see quoted); only where quotes are not paired, or with
+    multi_line="whole", a file is one task's work. With multi_line off a line is a record.
     """
-    return spark.read.options(**{**CSV, "multiLine": multi_line}, **options).option("encoding", encoding).csv(path)
+    settings = {**CSV, "multiLine": bool(multi_line), **options}
+    plain = spark.read.options(**settings).option("encoding", encoding).csv(path)
+    if multi_line is not True:
+        return plain
+    texts = quoted.records(spark, path)
+    if texts is None:
+        return plain
+    # A record may end with the first half of a two-character line break.
+    text = F.regexp_replace(F.decode("text", F.lit(encoding)), r"\r\z", "")
+    schema = ", ".join(f"`{c}` string" for c in plain.columns)
+    parser = {k: str(v).lower() if isinstance(v, bool) else v for k, v in settings.items() if k not in ("header", "multiLine")}
+    rows = texts.select(text.alias("t")).where(F.trim("t") != "").select(F.from_csv("t", schema, parser).alias("r"))
+    return rows.select("r.*")
 
 
 def _escaped(column: Column) -> Column:

@@ -142,14 +142,29 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in df.dtypes)
 
 
-def learned_phrases(stream: DataFrame, name: str = "learn", min_count: int = 3, out: str | None = None) -> DataFrame:
-    """Phrase counts kept batch by batch; a scheduled run adds what arrived since the last one."""
+def learned_phrases(
+    stream: DataFrame, name: str = "learn", min_count: int = 3, out: str | None = None, checkpoint: str | None = None,
+) -> DataFrame:
+    """Phrase counts kept batch by batch; a scheduled run adds what arrived since the last one.
+
+    Each batch merges its counts with the table of the batch before into one of its own and removes the one before that, so
+    there is one table however many batches there were, and a batch may run twice.
+    """
     spark = stream.sparkSession
     out = out or scratch(spark, name)
+    schema = "phrase string, n long"
 
     def step(batch: DataFrame, number: int) -> None:
-        phrase_counts(batch, min_count=1).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    drain_batches(stream, name, step, checkpoint=f"{out}-checkpoint")
-    counts = spark.read.parquet(out).groupBy("phrase").agg(F.sum("n").alias("n"))
-    return counts.filter(F.col("n") >= min_count)
+        counts = phrase_counts(batch, min_count=1)
+        if number:
+            before = batch.sparkSession.read.schema(schema).parquet(f"{out}/batch={number - 1}")
+            counts = counts.unionByName(before).groupBy("phrase").agg(F.sum("n").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        remove(batch.sparkSession, f"{out}/batch={number - 2}")
+
+    drain_batches(stream, name, step, checkpoint=checkpoint or f"{out}-checkpoint")
+    if not exists(spark, out):
+        return spark.createDataFrame([], schema)
+    counts = spark.read.schema(f"{schema}, batch long").parquet(out)
+    newest = counts.agg(F.max("batch")).first()[0]
+    return counts.filter((F.col("batch") == newest) & (F.col("n") >= min_count)).drop("batch")

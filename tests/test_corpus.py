@@ -10,7 +10,7 @@ from adsift.functions import html, text as tx
 from adsift.functions.hashing import draw
 from adsift.operators import augment, bayes, corpus, features, learning, lookup, metrics, ranking, reports as rp, stemming
 from adsift.session import scratch
-from adsift.sources import corpora, keyword_files, models, report_files
+from adsift.sources import corpora, keyword_files, models, quoted, report_files
 
 
 def test_distinct_text_keeps_first(spark):
@@ -309,3 +309,77 @@ def test_empty_stats(spark):
     df = spark.createDataFrame([], "risk_score int, received_at timestamp_ntz")
     row = rp.report_stats(df, F.lit("2024-01-01")).collect()[0]
     assert row.asDict() == {"total_reports": 0, "high_risk": 0, "filed_today": 0, "avg_risk_score": 0.0}
+
+
+@pytest.mark.parametrize("split", [40, 97, 1000, 10**6])
+@pytest.mark.parametrize("end,encoding", [("\n", "UTF-8"), ("\r\n", "UTF-8"), ("\n", "ISO-8859-1")])
+def test_csv_with_line_breaks_is_split(spark, tmp_path, split, end, encoding):
+    """Files of another writer, with line breaks, doubled quotes and blank lines, read in splits of any size: the same rows."""
+    import csv
+    import random
+
+    draw = random.Random(split)
+    bits = ["a", "é", '"', ",", "\n", end, " ", "\\", "word", "\n\n", '""']
+    rows = []
+    for part in range(3):
+        with open(tmp_path / f"p{part}.csv", "w", newline="", encoding=encoding) as file:
+            out = csv.writer(file, lineterminator=end, quoting=csv.QUOTE_ALL if part == 2 else csv.QUOTE_MINIMAL)
+            out.writerow(["id", "text", "label"])
+            for i in range(60):
+                text = "".join(draw.choice(bits) for _ in range(draw.randint(1, 30 if i else 900))) + "."
+                rows.append((str(100 * part + i), text, str(i % 2)))
+                out.writerow(rows[-1])
+                if i % 20 == 7:
+                    file.write(end)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = corpora.read_csv(spark, str(tmp_path), encoding)
+        assert sorted(map(tuple, got.collect())) == sorted(rows)
+        if split < 1000:
+            assert quoted._lines(spark, str(tmp_path)).select("block").distinct().count() > 10
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_csv_with_unpaired_quotes_is_read_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text\n1,5" disk\n2,plain\n')
+    got = sorted(map(tuple, corpora.read_csv(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, corpora.read_csv(spark, str(tmp_path), multi_line="whole").collect())) and len(got) == 2
+
+
+@pytest.mark.parametrize("by_report", [False, True])
+def test_pruned_phrase_counts(spark, monkeypatch, by_report):
+    """Pruning by frequent pairs changes no count, and far fewer phrases are shuffled."""
+    import random
+
+    from adsift.operators import reports
+
+    draw = random.Random(1)
+    rows = [(i, " ".join(draw.choice("abcdefghijklmnop") + draw.choice("xyz") for _ in range(20)), "the same words again", 60 + i % 40) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, evidence_text string, comment string, risk_score int")
+    got = sorted(map(tuple, reports.phrase_counts(df, by_report=by_report).collect()))
+    monkeypatch.setattr(reports, "FREQUENT_PAIRS", 0)
+    assert got == sorted(map(tuple, reports.phrase_counts(df, by_report=by_report).collect()))
+    every = {p: n for p, n in map(tuple, reports.phrase_counts(df, min_count=1, by_report=by_report).collect()) if n >= 3}
+    assert got == sorted(every.items()) and any(p.count(" ") == 2 for p, _ in got)
+    words = df.filter("risk_score >= 70").select(tx.learning_tokens(F.concat_ws(" ", "evidence_text", "comment")).alias("_w"))
+    pairs = spark.createDataFrame([(p, n) for p, n in got if p.count(" ") == 1], "phrase string, n long")
+    pruned = reports._pruned(words, pairs, by_report).count()
+    assert pruned < reports._counted(words, tx.ngram_range(F.col("_w"), 3, 3), by_report).count()
+
+
+def test_learning_keeps_one_table(spark):
+    from pathlib import Path
+
+    from adsift.streaming import reports as sr, runs
+
+    path, out = scratch(spark, "in"), scratch(spark, "learn")
+    for k in range(5):
+        rows = [(f"send money now {k % 2}", "friend", 90)] * 2
+        spark.createDataFrame(rows, "evidence_text string, comment string, risk_score int").coalesce(1).write.mode("append").parquet(path)
+        got = sr.learned_phrases(runs.read_stream(spark, path), min_count=4, out=out)
+    assert {r.phrase: r.n for r in got.collect()}["send money now"] == 10
+    assert len([p for p in Path(out).glob("batch=*")]) == 2

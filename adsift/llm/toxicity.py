@@ -26,9 +26,9 @@ ship(__name__)
 
 WORD = re.compile(r"[^\W\d_]+")
 GRAM = 4  # letters in a part of a word; a word's beginning counts as one
-# The model's bounds: labelled texts of each class that terms are chosen by, terms in the vectors, labelled examples of
-# each class, and neighbours that vote.
-CHOOSING, TERMS, EXAMPLES, NEIGHBOURS = 20_000, 512, 2_048, 25
+# The model's bounds: labelled texts of each class that terms are chosen by, labelled examples of each class, and neighbours
+# that vote.
+CHOOSING, EXAMPLES, NEIGHBOURS = 20_000, 2_048, 25
 LEVELS = (1, 2, 4)
 LEAST_DOCS = 3  # labelled texts that must hold a term
 FLUSH = 300_000  # terms counted in a task before they are sent on
@@ -40,7 +40,7 @@ FOLDS, HELD_OUT = 5, 0
 
 @dataclass
 class Model:
-    """Terms and their idf, the examples, the share of each label's texts that they are, and that of label 1 in all."""
+    """Terms and their idf, the examples, the share of each label's different vectors that they are, and that of label 1 in all."""
 
     terms: dict[str, int] = field(default_factory=dict)
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -89,7 +89,7 @@ def _first(labels: DataFrame, most: int) -> DataFrame:
 
 
 def _telling_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
-    """The terms that go most clearly with the label, by chi-square over CHOOSING labelled texts a class; at most TERMS.
+    """All terms that go clearly with the label, by chi-square over CHOOSING labelled texts a class, which bounds their number.
 
     A term must pass the level that one of as many terms would reach by chance. The labelled texts are few enough for a
     broadcast of their identifiers, so no text moves.
@@ -130,7 +130,7 @@ def _telling_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
     square = (hit * n - has * a) ** 2 * n / (has * (n - has) * a * (n - a))
     least = 2 * math.log(max(2, counts.count())) + 3
     found = counts.where(F.col("n") < totals.n).withColumn("x", square).where(F.col("x") >= least)
-    return [r.term for r in found.orderBy(F.desc("x"), "term").limit(TERMS).collect()]
+    return [r.term for r in found.orderBy(F.desc("x"), "term").collect()]
 
 
 class _Reader:
@@ -175,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model, and the stored vectors (id, terms) of all rows of docs.
 
     Terms come from CHOOSING labelled rows of each class outside the held-out fold, class shares from all of them, term
-    weights from all of docs. The examples are those EXAMPLES rows of each class with a telling term that come first by a
-    hash of their identifier.
+    weights from all of docs. The examples are those EXAMPLES different vectors of each class that come first by
+    a hash of their least identifier.
     """
     known = _learnable(labels, id_col, label_col)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -189,16 +189,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     idf = np.array([math.log((1 + total) / (1 + df.get(n, 0))) + 1 for n in range(len(terms))])
     learned = materialise(vectors.where(~held_out(F.col("id"))).join(known, "id"), "labelled")
     telling = learned.where(F.size("terms") > 0)
-    sums = {r.label: (r.n, r.t) for r in learned.groupBy("label").agg(F.count("*").alias("n"), F.sum((F.size("terms") > 0).cast("int")).alias("t")).collect()}
+    # Copies, and other rows with the same terms, are one example and vote once.
+    telling = materialise(telling.groupBy("label", "terms").agg(F.min("id").alias("id")), "examples")
+    sums = dict(learned.groupBy("label").agg(F.count("*")).collect())
+    different = dict(telling.groupBy("label").agg(F.count("*")).collect())
     examples: list[tuple] = []
     rates = []
     for label in (0, 1):
         first = telling.where(F.col("label") == label).orderBy(F.xxhash64(F.col("id").cast("string")), "id", "terms").limit(EXAMPLES)
         held = [(r.id, label, r.terms) for r in first.collect()]
         examples += held
-        rates.append(len(held) / max(1, sums.get(label, (0, 0))[1]) or 1.0)
-    everything = sum(n for n, _ in sums.values())
-    prior = sums.get(1, (0, 0))[0] / max(1, everything)
+        rates.append(len(held) / max(1, different.get(label, 0)) or 1.0)
+    prior = sums.get(1, 0) / max(1, sum(sums.values()))
     return Model({t: n for n, t in enumerate(terms)}, idf, examples, (rates[0], rates[1]), prior), vectors
 
 

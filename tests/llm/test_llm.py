@@ -99,6 +99,49 @@ def test_toxicity_neighbours_are_exact(spark):
         assert [(round(c, 9), e) for c, e in index.nearest(r.terms)] == [(round(-c, 9), k) for c, k in best]
 
 
+def test_toxicity_scores_are_the_votes_of_the_nearest(spark):
+    """The score of every row from plain text: terms, weights, all cosines, votes, against a loop over all examples."""
+    data, labels = labelled(spark)
+    data = [(i, t + " rare" * (i % 3) + (" oddly" if i % 17 == 0 else ""), *rest) for i, t, *rest in data]
+    docs = brute.frame(spark, data + [(900 + k, data[0][1], *data[0][2:]) for k in range(40)])
+    model, _ = toxicity.fit(docs, labels)
+    examples = toxicity._Index(model).examples
+    # Rows with the same terms are one example, the one of the least identifier.
+    assert len({(e[1], tuple(e[2])) for e in examples}) == len(examples)
+
+    def numbers(text):
+        times = Counter(t for w in toxicity.WORD.findall((text or "").lower()) for t in toxicity._terms(w))
+        return sorted(model.terms[f"{t}#{n}"] for t in times for n in toxicity.LEVELS if times[t] >= n and f"{t}#{n}" in model.terms)
+
+    def unit(terms):
+        size = math.sqrt(sum(model.idf[t] ** 2 for t in terms)) or 1.0
+        return {t: model.idf[t] / size for t in terms}
+
+    total, df = len(data) + 40, Counter(t for r in docs.collect() for t in numbers(r.text))
+    assert all(model.idf[t] == pytest.approx(math.log((1 + total) / (1 + df[t])) + 1) for t in range(len(model.terms)))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.scores(docs, labels).collect():
+        query, votes = unit(numbers(texts[r.doc_id])), [toxicity.PRIOR_VOTES * (1 - model.prior), toxicity.PRIOR_VOTES * model.prior]
+        near = sorted((-round(sum(w * query.get(t, 0) for t, w in unit(e[2]).items()), 12), k) for k, e in enumerate(examples))
+        for cosine, k in [x for x in near if x[0] < 0][: toxicity.NEIGHBOURS]:
+            votes[examples[k][1]] += cosine * cosine / model.rates[examples[k][1]]
+        assert r.score == pytest.approx(votes[1] / sum(votes), abs=1e-9)
+
+
+def test_toxicity_keeps_every_telling_term(spark):
+    """No number of terms is cut off: texts whose only telling word is one of hundreds are all found."""
+    draw = random.Random(2)
+    words = ["".join(draw.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(200)]
+    data, labels = [], []
+    for i in range(8000):
+        toxic, word = i % 2, words[i % 200]
+        data.append((i, f"plain words {word} here", *brute.odd_rows()[0][2:]))
+        labels.append((i, toxic))
+    model, _ = toxicity.fit(brute.frame(spark, data), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = toxicity.scores(brute.frame(spark, data), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(model.terms) > 512 and all(r.predicted == r.doc_id % 2 for r in found)
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     found = toxicity.scores(brute.frame(spark), none).collect()

@@ -29,7 +29,7 @@ SEGMENT = 1 << 17  # bytes of a text looked at together
 BASE, INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 PHRASE_GRAM, PHRASE_MARK = 8, 32  # a phrase ends with 8 bytes whose hash is divisible by 32
 TOGETHER = 3_000  # surroundings compared in one suffix array, at least; whole groups of a gram
-# A gram with more surroundings than this, or than this share of all, is compared by window hashes instead.
+# A gram with more surroundings than this, or than this share of all, is compared by window digests instead.
 MOST_TOGETHER, MOST_SHARE = 20_000, 400
 
 
@@ -74,6 +74,11 @@ def _anchors(raw: np.ndarray, hashes: _Hashes, length: int) -> tuple[np.ndarray,
     return both, np.concatenate(grams)[first]
 
 
+def _digest(stretch: bytes, ahead: int = 0) -> bytes:
+    """What stands for a stretch of bytes, with `ahead` of them before the anchor: nobody can make two with one digest."""
+    return hashlib.blake2b(stretch, digest_size=16, salt=ahead.to_bytes(2, "little")).digest()
+
+
 def _key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
@@ -87,28 +92,27 @@ def _occurrences(texts: DataFrame, length: int) -> DataFrame:
     """doc, key, n_bytes, sha256, and the anchors of each text: places, grams and hashes of their surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         hashes, reach = _Hashes(GRAM, SEGMENT + length), length - GRAM
         for batch in batches:
             sizes, digests, found = [], [], []
             for value in batch.column("text"):
                 raw = value.as_py().encode("utf-8", "replace")
                 places, grams = _anchors(np.frombuffer(raw, dtype=np.uint8), hashes, length)
-                around = [xxhash.xxh3_64_intdigest(raw[max(0, p - reach) : p + length], min(p, reach)) for p in places.tolist()]
+                around = [_digest(raw[max(0, p - reach) : p + length], min(p, reach)) for p in places.tolist()]
                 sizes.append(len(raw))
                 digests.append(hashlib.sha256(raw).hexdigest())
-                found.append((places, grams, np.array(around, dtype=np.uint64)))
+                found.append((places, grams, around))
             offsets = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
-            flat = [np.concatenate([f[k] for f in found]).view(np.int64) if found else np.empty(0, np.int64) for k in range(3)]
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in flat]
+            flat = [np.concatenate([f[k] for f in found]).view(np.int64) if found else np.empty(0, np.int64) for k in range(2)]
+            arounds = pa.array([a for f in found for a in f[2]], pa.binary())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (*map(pa.array, flat), arounds)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), *lists],
                 names=["doc", "key", "n_bytes", "sha256", "places", "grams", "arounds"],
             )
 
     doc = texts.schema["doc"].dataType.simpleString()
-    kinds = f"doc {doc}, key struct<a:bigint,b:bigint>, n_bytes long, sha256 string, places array<long>, grams array<long>, arounds array<long>"
+    kinds = f"doc {doc}, key struct<a:bigint,b:bigint>, n_bytes long, sha256 string, places array<long>, grams array<long>, arounds array<binary>"
     return texts.mapInArrow(run, kinds)
 
 
@@ -122,14 +126,14 @@ def _surroundings(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame
                 rows = anchors.as_py()
                 before = [raw[max(0, x["place"] - length + GRAM) : x["place"]][::-1] for x in rows]
                 after = [raw[x["place"] : x["place"] + length] for x in rows]
-                columns = [pa.array([x[c] for x in rows], pa.int64()) for c in ("gram", "around", "surroundings")]
+                columns = [pa.array([x[c] for x in rows], kind) for c, kind in (("gram", pa.int64()), ("around", pa.binary()), ("surroundings", pa.int64()))]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(before, pa.binary()), pa.array(after, pa.binary())],
                     names=["gram", "around", "surroundings", "before", "after"],
                 )
 
     joined = texts.join(wanted, ["key", "doc"]).select("text", "anchors")
-    return joined.mapInArrow(run, "gram long, around long, surroundings long, before binary, after binary")
+    return joined.mapInArrow(run, "gram long, around binary, surroundings long, before binary, after binary")
 
 
 def _ranked(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +217,7 @@ def _compared(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         found = [[{"a": a, "b": b} for a, b in s] for s in _stretches(shared, length)]
         held.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array([g for g, _ in rows], pa.int64()), pa.array([a for _, a in rows], pa.int64()), pa.array(found, STRETCHES)],
+            [pa.array([g for g, _ in rows], pa.int64()), pa.array([a for _, a in rows], pa.binary()), pa.array(found, STRETCHES)],
             names=["gram", "around", "stretches"],
         )
 
@@ -227,28 +231,27 @@ def _compared(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
 
 
 STRETCHES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-COMPARED = "gram long, around long, stretches array<struct<a:int,b:int>>"
+COMPARED = "gram long, around binary, stretches array<struct<a:int,b:int>>"
 
 
-def _hashed_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(gram, around, windows): the hash of every window that holds the anchor, by shift; null where it does not fit."""
-    hashes, shifts = _Hashes(length, 2 * length), length - GRAM + 1
+def _digested_windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(gram, around, windows): the digest of every window that holds the anchor, by shift; null where it does not fit."""
+    shifts = length - GRAM + 1
     for batch in batches:
         out = []
         for before, after in zip(batch.column("before"), batch.column("after"), strict=True):
             left = before.as_py()
-            raw = np.frombuffer(left[::-1] + after.as_py(), dtype=np.uint8)
-            found = hashes(raw).view(np.int64).tolist() if len(raw) >= length else []
-            out.append([found[len(left) - s] if 0 <= len(left) - s < len(found) else None for s in range(shifts)])
+            raw, at = left[::-1] + after.as_py(), len(left)
+            out.append([_digest(raw[at - s : at - s + length]) if 0 <= at - s <= len(raw) - length else None for s in range(shifts)])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("gram"), batch.column("around"), pa.array(out, pa.list_(pa.int64()))], names=["gram", "around", "windows"]
+            [batch.column("gram"), batch.column("around"), pa.array(out, pa.list_(pa.binary()))], names=["gram", "around", "windows"]
         )
 
 
-def _compared_by_hash(rows: DataFrame, length: int) -> DataFrame:
+def _compared_by_digest(rows: DataFrame, length: int) -> DataFrame:
     """What _compared finds, for grams with too many surroundings for one task: windows are counted wherever they lie."""
-    each = rows.mapInArrow(lambda it: _hashed_windows(it, length), "gram long, around long, windows array<long>")
-    each = each.distinct().select("gram", "around", F.posexplode("windows").alias("shift", "window")).where("window is not null")
+    each = rows.mapInArrow(lambda it: _digested_windows(it, length), "gram long, around binary, windows array<binary>")
+    each = each.dropDuplicates(["gram", "around"]).select("gram", "around", F.posexplode("windows").alias("shift", "window")).where("window is not null")
     each = materialise(each, "windows")
     often = each.groupBy("gram", "shift", "window").agg(F.count("*").alias("n")).where("n > 1")
     shared = each.join(often, ["gram", "shift", "window"]).groupBy("gram", "around").agg(F.collect_list("shift").alias("shifts"))
@@ -276,7 +279,7 @@ def _marked(texts: DataFrame, anchors: DataFrame, length: int, most: int | None)
     few = around.where(F.col("surroundings") <= most).drop("surroundings")
     compared = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda it: _compared(it, length), COMPARED)
     if largest > most:
-        compared = compared.unionByName(_compared_by_hash(around.where(F.col("surroundings") > most).drop("surroundings"), length))
+        compared = compared.unionByName(_compared_by_digest(around.where(F.col("surroundings") > most).drop("surroundings"), length))
     compared = materialise(compared.where(F.size("stretches") > 0), "compared")
 
     # Surroundings that occur more than once repeat throughout.
@@ -341,7 +344,7 @@ def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     Removed are the bytes covered by a string of `length` bytes that starts anywhere else too, in the same text or another;
     kept_sha256 is the digest of the rest. Texts shorter than that lose nothing; null texts are empty. Repeated rows lose
     all that is long enough, and get equal results. Empty tables give empty results; other columns are not read. `most` is
-    the number of different surroundings of a gram above which windows are counted by hash instead of sorted in a task.
+    the number of different surroundings of a gram above which windows are counted by digest instead of sorted in a task.
     """
     return _results(docs, length, id_col, text_col, most, keep_text=False).select(F.col("doc.id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

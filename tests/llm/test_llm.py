@@ -52,6 +52,27 @@ def test_suffix_dedup(spark, most):
     same(rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), brute.removed(data, 100))
 
 
+@pytest.mark.parametrize("most", [None, 2])
+def test_suffix_dedup_of_long_texts(spark, most):
+    """At the contract's 400 bytes, with texts longer than a segment and repeats that lie across its border."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7)))
+    filler = lambda n: " ".join(word() for _ in range(n // 5))[:n].ljust(n, "x")
+    cut, shared = suffix_dedup.SEGMENT, [filler(n) for n in (399, 400, 401, 900, 5_000)]
+    data = []
+    for i in range(6):
+        text = filler(cut - 700 + 130 * i)
+        for part in shared[i % 5 :] + shared[: i % 2]:
+            text += part + filler(draw.randint(0, 60))
+        data.append((i, text + filler(3_000), *brute.odd_rows()[0][2:]))
+    data += [(10, "ab" * 80_000, *brute.odd_rows()[0][2:]), (11, filler(399), *brute.odd_rows()[0][2:]), (12, "é" * 300, *brute.odd_rows()[0][2:])]
+    data += [(20 + k, shared[2][k:] + filler(50) + shared[3][: 400 + k], *brute.odd_rows()[0][2:]) for k in range(12)]
+    found = suffix_dedup.spans(brute.frame(spark, data), most=most)
+    wanted = brute.removed(data, 400)
+    assert max(r[1] for r in wanted) > cut and sum(r[2] > 0 for r in wanted) > 10
+    same(rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), wanted)
+
+
 def test_suffix_dedup_text(spark):
     data = brute.odd_rows()[:10]
     found = {(r.doc_id, r.kept_sha256): bytes(r.kept) for r in suffix_dedup.removed(brute.frame(spark, data), length=100).collect()}

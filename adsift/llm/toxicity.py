@@ -34,7 +34,7 @@ LEAST_DOCS = 3  # labelled texts that must hold a term
 FLUSH = 300_000  # terms counted in a task before they are sent on
 BLOCK, TOGETHER = 64, 16  # examples in a block, blocks opened at once
 PRIOR_VOTES = 0.5
-REMEMBERED = 400_000
+REMEMBERED, ANSWERS = 400_000, 20_000  # words, and answers for equal texts, that a task remembers
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -209,22 +209,22 @@ class _Index:
 
     def __init__(self, model: Model):
         self.model = model
-        postings: dict[int, list[tuple[int, float]]] = {}
         # Examples with the same leading word stand together, so that blocks differ in what they can score.
         self.examples = sorted(model.examples, key=lambda e: (e[1], max(e[2], key=lambda t: model.idf[t]), str(e[0])))
-        for at, (_, _, terms) in enumerate(self.examples):
-            for term, weight in self._weights(terms):
-                postings.setdefault(term, []).append((at, weight))
         self.blocks = -(-len(self.examples) // BLOCK)
-        self.postings, self.largest = {}, {}
-        for term, rows in postings.items():
-            at = np.array([r[0] for r in rows])
-            weights = np.array([r[1] for r in rows])
-            self.postings[term] = (at, weights)
-            self.largest[term] = np.zeros(self.blocks)
-            np.maximum.at(self.largest[term], at // BLOCK, weights)
+        rows = [(t, at, w) for at, (_, _, terms) in enumerate(self.examples) for t, w in self._weights(terms)]
+        terms, at, weights = (np.array(x, dtype=k) for x, k in zip(zip(*rows, strict=True) if rows else ((), (), ()), (np.int64, np.int64, np.float64), strict=True))
+        order = np.lexsort((at, terms))
+        terms, self.at, self.weights = terms[order], at[order], weights[order]
+        # Postings lie by term and block; first tells where those of a term and block begin, largest their largest weight.
+        place = terms * self.blocks + self.at // max(1, BLOCK)
+        every = len(model.terms) * self.blocks
+        self.first = np.searchsorted(place, np.arange(every + 1))
+        self.largest = np.zeros(every)
+        np.maximum.at(self.largest, place, self.weights)
+        self.largest = self.largest.reshape(len(model.terms), self.blocks)
         self.labels = np.array([e[1] for e in self.examples])
-        self.memory: dict[tuple, tuple[float, list]] = {}
+        self.memory: dict[bytes, tuple[float, list]] = {}
 
     def _weights(self, terms: list[int]) -> list[tuple[int, float]]:
         raw = [(t, self.model.idf[t]) for t in terms]
@@ -233,23 +233,23 @@ class _Index:
 
     def nearest(self, terms: list[int]) -> list[tuple[float, int]]:
         """(cosine, example) of the NEIGHBOURS nearest; of equal ones those that stand first."""
-        query = [(t, w) for t, w in self._weights(terms) if t in self.postings]
-        if not query:
+        if not self.blocks or not terms:
             return []
-        bounds = sum(w * self.largest[t] for t, w in query)
+        asked = np.array(terms, dtype=np.int64)
+        idf = self.model.idf[asked]
+        query = idf / math.sqrt(float((idf * idf).sum()))
+        bounds = query @ self.largest[asked]
         order = np.argsort(-bounds, kind="stable")
         best: list[tuple[float, int]] = []
         for at in range(0, len(order), TOGETHER):
             top = bounds[order[at]]
             if top <= 0 or len(best) == NEIGHBOURS and top < -best[-1][0] - 1e-12:
                 break
-            opened = np.zeros(self.blocks, dtype=bool)
-            opened[order[at : at + TOGETHER]] = True
-            scores = np.zeros(self.blocks * BLOCK)
-            for t, w in query:
-                places, weights = self.postings[t]
-                use = opened[places // BLOCK]
-                scores[places[use]] += w * weights[use]
+            place = (asked[:, None] * self.blocks + np.sort(order[at : at + TOGETHER])[None, :]).ravel()
+            begin, size = self.first[place], self.first[place + 1] - self.first[place]
+            upto = np.cumsum(size)
+            held = np.repeat(begin - upto + size, size) + np.arange(upto[-1])
+            scores = np.bincount(self.at[held], self.weights[held] * np.repeat(np.repeat(query, len(place) // len(asked)), size), len(self.examples))
             hits = np.flatnonzero(scores)
             if len(hits) > NEIGHBOURS:  # what cannot be among the nearest, ties kept
                 least = np.partition(scores[hits], -NEIGHBOURS)[-NEIGHBOURS]
@@ -259,9 +259,9 @@ class _Index:
 
     def score(self, terms: list[int]) -> tuple[float, list]:
         """The share of toxic votes, and the identifiers of the three nearest examples."""
-        key = tuple(terms)
+        key = np.array(terms, dtype=np.int32).tobytes()
         if key not in self.memory:
-            if len(self.memory) >= REMEMBERED:
+            if len(self.memory) >= ANSWERS:
                 self.memory.clear()
             near = self.nearest(terms)
             votes = [PRIOR_VOTES * (1 - self.model.prior), PRIOR_VOTES * self.model.prior]

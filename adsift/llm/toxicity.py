@@ -33,6 +33,7 @@ LEVELS = (1, 2, 4)
 LEAST_DOCS = 3  # labelled texts that must hold a term
 FLUSH = 300_000  # terms counted in a task before they are sent on
 BLOCK, TOGETHER = 64, 16  # examples in a block, blocks opened at once
+WIDE, ROUNDING = 2_048, 1e-5  # lists kept densely, and what sums of them may be off by
 PRIOR_VOTES = 0.5
 REMEMBERED, ANSWERS = 400_000, 20_000  # words, and answers for equal texts, that a task remembers
 FOLDS, HELD_OUT = 5, 0
@@ -89,7 +90,7 @@ def _first(labels: DataFrame, most: int) -> DataFrame:
 
 
 def _telling_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
-    """All terms that go clearly with the label, by chi-square over CHOOSING labelled texts a class, which bounds their number.
+    """All terms that go clearly with label 1, by chi-square over CHOOSING labelled texts a class, which bounds their number.
 
     A term must pass the level that one of as many terms would reach by chance. The labelled texts are few enough for a
     broadcast of their identifiers, so no text moves.
@@ -129,7 +130,8 @@ def _telling_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
     hit, has = F.col("a").cast("double"), F.col("n").cast("double")
     square = (hit * n - has * a) ** 2 * n / (has * (n - has) * a * (n - a))
     least = 2 * math.log(max(2, counts.count())) + 3
-    found = counts.where(F.col("n") < totals.n).withColumn("x", square).where(F.col("x") >= least)
+    # More often in texts of label 1 than in all: a text without any such term has nothing toxic to show.
+    found = counts.where((F.col("n") < totals.n) & (hit * n > has * a)).withColumn("x", square).where(F.col("x") >= least)
     return [r.term for r in found.orderBy(F.desc("x"), "term").collect()]
 
 
@@ -137,23 +139,33 @@ class _Reader:
     """Numbers of the model's terms in a text; what a word holds of them is looked up once."""
 
     def __init__(self, terms: dict[str, int]):
-        self.memory: dict[str, tuple] = {}
-        self.levels: dict[str, list[tuple[int, int]]] = {}
-        for term, number in terms.items():
-            base, _, level = term.rpartition("#")
-            self.levels.setdefault(base, []).append((int(level), number))
-
-    def __call__(self, text: str | None) -> list[int]:
-        times: Counter = Counter()
-        for word in WORD.findall((text or "").lower()):
-            held = self.memory.get(word)
-            if held is None:
-                if len(self.memory) >= REMEMBERED:
-                    self.memory.clear()
-                held = self.memory[word] = tuple(t for t in _terms(word) if t in self.levels)
-            if held:
-                times.update(held)
-        return sorted(number for term, n in times.items() for level, number in self.levels[term] if n >= level)
+        parts = [(*term.rpartition("#")[::2], number) for term, number in terms.items()]
+        self.base = {base: n for n, base in enumerate(dict.fromkeys(base for base, _, _ in parts))}
+        # By level the term's number for each base, or -1.
+        self.levels = {level: np.full(len(self.base) + 1, -1) for level in LEVELS}
+        for base, level, number in parts:
+            self.levels[int(level)][self.base[base]] = number
+        self.memory: dict[str, np.ndarray] = {}
+
+    def _held(self, word: str) -> np.ndarray:
+        held = self.memory.get(word)
+        if held is None:
+            if len(self.memory) >= REMEMBERED:
+                self.memory.clear()
+            held = self.memory[word] = np.array([self.base[t] for t in _terms(word) if t in self.base], dtype=np.int64)
+        return held
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = WORD.findall((text or "").lower())
+        if not words:
+            return np.zeros(0, dtype=np.int32)
+        memory = self.memory
+        times = np.bincount(np.concatenate([memory[w] if w in memory else self._held(w) for w in words]))
+        found = []
+        for level, number in self.levels.items():
+            of = number[np.flatnonzero(times >= level)]
+            found.append(of[of >= 0])
+        return np.sort(np.concatenate(found)).astype(np.int32)
 
 
 def _vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -223,6 +235,15 @@ class _Index:
         self.largest = np.zeros(every)
         np.maximum.at(self.largest, place, self.weights)
         self.largest = self.largest.reshape(len(model.terms), self.blocks)
+        # The longest lists lie densely, a row of BLOCK weights by block and term, rounded to 32 bits: at most WIDE of them.
+        length = self.first[self.blocks :: self.blocks] - self.first[: -1 : self.blocks] if every else np.zeros(0, dtype=np.int64)
+        wide = np.argsort(-length, kind="stable")[:WIDE]
+        self.row = np.full(len(model.terms), -1)
+        self.row[wide] = np.arange(len(wide))
+        self.dense = np.zeros((self.blocks, len(wide), BLOCK), dtype=np.float32)
+        held = self.row[terms] >= 0
+        self.dense[self.at[held] // BLOCK, self.row[terms[held]], self.at[held] % BLOCK] = self.weights[held]
+        self.vectors = [tuple(np.array(x) for x in zip(*self._weights(terms), strict=True)) for _, _, terms in self.examples]
         self.labels = np.array([e[1] for e in self.examples])
         self.memory: dict[bytes, tuple[float, list]] = {}
 
@@ -233,29 +254,37 @@ class _Index:
 
     def nearest(self, terms: list[int]) -> list[tuple[float, int]]:
         """(cosine, example) of the NEIGHBOURS nearest; of equal ones those that stand first."""
-        if not self.blocks or not terms:
+        if not self.blocks or not len(terms):
             return []
         asked = np.array(terms, dtype=np.int64)
         idf = self.model.idf[asked]
         query = idf / math.sqrt(float((idf * idf).sum()))
         bounds = query @ self.largest[asked]
         order = np.argsort(-bounds, kind="stable")
-        best: list[tuple[float, int]] = []
+        rows = self.row[asked]
+        wide, narrow = rows >= 0, rows < 0
+        rows, heavy, asked_, light = rows[wide], query[wide].astype(np.float32), asked[narrow], query[narrow]
+        scores = np.zeros((self.blocks, BLOCK))
+        least = 0.0
         for at in range(0, len(order), TOGETHER):
-            top = bounds[order[at]]
-            if top <= 0 or len(best) == NEIGHBOURS and top < -best[-1][0] - 1e-12:
+            if bounds[order[at]] <= 0 or bounds[order[at]] < least - ROUNDING:
                 break
-            place = (asked[:, None] * self.blocks + np.sort(order[at : at + TOGETHER])[None, :]).ravel()
+            opened = np.sort(order[at : at + TOGETHER])
+            scores[opened] = heavy @ self.dense[opened[:, None], rows[None, :]]
+            place = (asked_[:, None] * self.blocks + opened[None, :]).ravel()
             begin, size = self.first[place], self.first[place + 1] - self.first[place]
             upto = np.cumsum(size)
-            held = np.repeat(begin - upto + size, size) + np.arange(upto[-1])
-            scores = np.bincount(self.at[held], self.weights[held] * np.repeat(np.repeat(query, len(place) // len(asked)), size), len(self.examples))
-            hits = np.flatnonzero(scores)
-            if len(hits) > NEIGHBOURS:  # what cannot be among the nearest, ties kept
-                least = np.partition(scores[hits], -NEIGHBOURS)[-NEIGHBOURS]
-                hits = hits[scores[hits] >= least - 1e-9]
-            best = sorted(best + [(-round(float(scores[h]), 12), int(h)) for h in hits])[:NEIGHBOURS]
-        return [(-s, e) for s, e in best]
+            if len(upto) and upto[-1]:
+                held = np.repeat(begin - upto + size, size) + np.arange(upto[-1])
+                more = self.weights[held] * np.repeat(np.repeat(light, len(opened)), size)
+                scores += np.bincount(self.at[held], more, scores.size).reshape(scores.shape)
+            least = np.partition(scores, -NEIGHBOURS, axis=None)[-NEIGHBOURS] if scores.size > NEIGHBOURS else 0.0
+        # What rounding cannot keep from the nearest is worked out exactly.
+        own = np.zeros(len(self.model.terms))
+        own[asked] = query
+        close = np.flatnonzero((scores.ravel() > 0) & (scores.ravel() >= least - ROUNDING))
+        exact = [(-round(float(own[self.vectors[e][0]] @ self.vectors[e][1]), 12), int(e)) for e in close]
+        return [(-s, e) for s, e in sorted(exact)[:NEIGHBOURS]]
 
     def score(self, terms: list[int]) -> tuple[float, list]:
         """The share of toxic votes, and the identifiers of the three nearest examples."""

@@ -154,13 +154,13 @@ def test_toxicity_keeps_every_telling_term(spark):
     draw = random.Random(2)
     words = ["".join(draw.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(200)]
     data, labels = [], []
-    for i in range(8000):
-        toxic, word = i % 2, words[i % 200]
+    for i in range(12_000):
+        toxic, word = int(i % 3 == 0), words[i // 3 % 100 + 100 * (i % 3 > 0)]
         data.append((i, f"plain words {word} here", *brute.odd_rows()[0][2:]))
         labels.append((i, toxic))
     model, _ = toxicity.fit(brute.frame(spark, data), spark.createDataFrame(labels, "doc_id long, toxic int"))
     found = toxicity.scores(brute.frame(spark, data), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
-    assert len(model.terms) > 512 and all(r.predicted == r.doc_id % 2 for r in found)
+    assert len(model.terms) > 512 and all(r.predicted == (r.doc_id % 3 == 0) for r in found)
 
 
 def test_toxicity_without_labels(spark):

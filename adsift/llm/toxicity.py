@@ -90,7 +90,8 @@ def _first(labels: DataFrame, most: int) -> DataFrame:
 
 
 def _telling_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
-    """All terms that go clearly with label 1, by chi-square over CHOOSING labelled texts a class, which bounds their number.
+    """All terms that go clearly with label 1, by chi-square within classes of size over CHOOSING labelled texts a class,
+    which bounds their number.
 
     A term must pass the level that one of as many terms would reach by chance. The labelled texts are few enough for a
     broadcast of their identifiers, so no text moves.
@@ -102,10 +103,11 @@ def _telling_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
         both, ones = Counter(), Counter()
 
         def counted() -> pa.RecordBatch:
-            names = list(both)
-            out = [pa.array(names, pa.string()), pa.array([both[t] for t in names], pa.int64()), pa.array([ones[t] for t in names], pa.int64())]
+            keys = list(both)
+            out = [pa.array([t for t, _ in keys], pa.string()), pa.array([s for _, s in keys], pa.int32())]
+            out += [pa.array([of[k] for k in keys], pa.int64()) for of in (both, ones)]
             both.clear(), ones.clear()
-            return pa.RecordBatch.from_arrays(out, names=["term", "n", "a"])
+            return pa.RecordBatch.from_arrays(out, names=["term", "size", "n", "a"])
 
         for batch in batches:
             for label, words, counts in zip(*(batch.column(c).to_pylist() for c in ("label", "words", "counts")), strict=True):
@@ -113,7 +115,9 @@ def _telling_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
                 for word, count in zip(words, counts, strict=True):
                     for term in _terms(word):
                         times[term] += count
-                held = [f"{term}#{level}" for term, n in times.items() for level in LEVELS if n >= level]
+                size = sum(counts).bit_length()
+                held = [(f"{term}#{level}", size) for term, n in times.items() for level in LEVELS if n >= level]
+                held.append(("", size))  # the text itself
                 both.update(held)
                 if label:
                     ones.update(held)
@@ -121,17 +125,19 @@ def _telling_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
                     yield counted()
         yield counted()
 
-    counts = labelled.mapInArrow(run, "term string, n long, a long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
-    counts = materialise(counts.where(F.col("n") >= LEAST_DOCS), "label_terms")
-    totals = docs.select("id").join(F.broadcast(chosen), "id").agg(F.count("*").alias("n"), F.sum("label").alias("a")).first()
-    if not totals.n or not totals.a or totals.a == totals.n:
-        return []
-    n, a = float(totals.n), float(totals.a)
-    hit, has = F.col("a").cast("double"), F.col("n").cast("double")
-    square = (hit * n - has * a) ** 2 * n / (has * (n - has) * a * (n - a))
-    least = 2 * math.log(max(2, counts.count())) + 3
+    counts = labelled.mapInArrow(run, "term string, size int, n long, a long").groupBy("term", "size").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
+    counts = materialise(counts, "label_terms")
+    texts = counts.where("term = ''").select("size", F.col("n").cast("double").alias("all"), F.col("a").cast("double").alias("ones"))
+    # A row a size; a term is held against texts of the same size, as longer ones hold more of everything.
+    each = counts.where("term <> ''").join(F.broadcast(texts), "size")
+    hit, has, n, a = F.col("a").cast("double"), F.col("n").cast("double"), F.col("all"), F.col("ones")
+    spread = F.when(n > 1, has * (n - has) * a * (n - a) / (n * n * (n - 1))).otherwise(0.0)
+    terms = each.groupBy("term").agg(F.sum("n").alias("held"), F.sum(hit - has * a / n).alias("over"), F.sum(spread).alias("spread"))
+    terms = materialise(terms.where(F.col("held") >= LEAST_DOCS), "label_scores")
+    least = 2 * math.log(max(2, terms.count())) + 3
     # More often in texts of label 1 than in all: a text without any such term has nothing toxic to show.
-    found = counts.where((F.col("n") < totals.n) & (hit * n > has * a)).withColumn("x", square).where(F.col("x") >= least)
+    square = F.col("over") * F.col("over") / F.col("spread")
+    found = terms.where("over > 0 and spread > 0").withColumn("x", square).where(F.col("x") >= least)
     return [r.term for r in found.orderBy(F.desc("x"), "term").collect()]
 
 

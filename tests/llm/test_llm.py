@@ -249,116 +249,165 @@ def test_language_model(spark):
     assert context_mixing.scores(brute.frame(spark, [])).count() == 0
 
 
-def test_language_model_is_a_distribution():
-    """The chances of all next symbols add up to one, and seen text is cheaper than unseen."""
+def trained(tokens, held=()):
+    """(slice of tokens and held, its predictors) with counts of the tokens (a dict of bytes and times)."""
     import numpy as np
 
-    draw = random.Random(1)
-    texts = [" ".join(draw.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(40)) for _ in range(60)]
-    counts = np.zeros(256, dtype=np.int64)
-    for raw, use in context_mixing._streams(iter(texts)):
-        counts += np.bincount(raw[use], minlength=256)
-    alphabet = context_mixing.Alphabet.of(counts)
-    tables, slots = [np.zeros(64 << b) for b in context_mixing.SLOT_BITS], context_mixing._Slots()
-    for raw, use in context_mixing._streams(iter(texts)):
-        symbols = alphabet.symbol[raw]
-        for table, slot in zip(tables, slots(raw, symbols), strict=True):
-            np.add.at(table, (slot * np.uint32(64) + symbols)[use], 1)
-    nodes = [context_mixing._nodes(t.reshape(-1, 64)).reshape(-1) for t in tables]
-    weights = np.full((context_mixing.ORDERS, context_mixing.DEPTH), context_mixing.START)
-    mixer = context_mixing._Mixer({"symbol": alphabet.symbol, "rest": alphabet.rest, "nodes": nodes}, weights)
-    seen, n, _ = mixer.code(b"lorem ipsum dolor amet lorem".split())
-    unseen, m, _ = mixer.code(b"qzxj vvkw qqqq zzzz jjjj kkk".split())
-    assert seen / n > unseen / m
-    # One-letter words are followed by the same end, so their chances and the rest's are comparable: none exceeds one.
-    chances = [10 ** mixer.code([bytes([c])])[0] for c in range(33, 65)]
-    assert sum(chances) < 1
-
-
-def context_counts(texts):
-    """Counts of the byte after each context, by plain dictionaries; and the contexts of every place."""
-    def contexts(text):
-        raw = bytes([10]) * byte_mixing.PAD + b" ".join(byte_mixing.words_of(text)) + bytes([10])
-        for at in range(byte_mixing.PAD, len(raw)):
-            begin = max(raw.rfind(b" ", 0, at), raw.rfind(bytes([10]), 0, at)) + 1
-            yield [(k, raw[at - k : at]) for k in byte_mixing.RECENT] + [("word", raw[begin:at])], raw[at]
+    names = [*tokens, *(t for t in held if t not in tokens)]
+    slice_ = byte_mixing.Slice(names)
+    times = np.array([tokens.get(t, 0) for t in names])
+    return names, slice_, byte_mixing.predictors(slice_.keys, slice_.counts(times))
+
 
+def context_counts(tokens):
+    """Counts of the byte behind each context, by plain dictionaries."""
     counts: dict = {}
-    for text in texts:
-        for held, byte in contexts(text):
+    for token, times in tokens.items():
+        for held, byte in byte_places(token):
             for c in held:
-                counts.setdefault(c, Counter())[byte] += 1
-    return counts, contexts
+                counts.setdefault(c, Counter())[byte] += times if c[0] == "begin" else 1
+    return counts
 
 
-def test_language_model_counts_every_context(spark, monkeypatch):
-    """Predictors are those of exact counts, however many contexts there are, and slices answer each other."""
-    from pyspark.sql import functions as F
+def byte_places(token):
+    raw = bytes([10]) * byte_mixing.PAD + (token + b" " if token else bytes([10]))
+    for at in range(byte_mixing.PAD, len(raw)):
+        yield [(k, raw[at - k : at]) for k in byte_mixing.RECENT] + [("begin", raw[byte_mixing.PAD : at])], raw[at]
+
+
+def some_tokens(draw, n=300):
+    words = ["".join(draw.choice("abcdeé日") for _ in range(draw.randint(1, 6))).encode() for _ in range(n)]
+    return {**{w: draw.choice([1, 1, 1, 2, 3, 9, 40, 300]) for w in words}, b"": 50}
+
+
+def test_language_model_counts_every_context():
+    """Chances of tokens are those of exact counts and of mixing one decision after the other by gate."""
+    import numpy as np
 
-    monkeypatch.setattr(byte_mixing, "SLICE", 120_000)
     draw = random.Random(12)
-    texts = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1500)) for _ in range(240)] + ["naïve日本 😀 x", "", None]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
-    dealt, answers, weights = byte_mixing.model(docs, F.col("id") % 5 != 1)
-    counts, contexts = context_counts([t for i, t in enumerate(texts) if i % 5 != 1])
-    assert sum(k == 5 for k, _ in counts) > 1 << 17  # more than the slots that the model once had
-    assert weights.shape == (byte_mixing.GATES, byte_mixing.ORDERS, 8) and dealt.select("slice").distinct().count() > 2
-    found: dict = {}
-    for r in answers.collect():
-        found.setdefault(r.slice, []).append((r.bucket, bytes(r.predictors)))
-    by: dict = {}
-    for r in dealt.collect():
-        by.setdefault(r.slice, []).append(r)
-    assert set(by) == set(found)
-    for number, members in by.items():
-        data = b"".join(p for _, p in sorted(found[number]))
-        slice_ = byte_mixing._Slice([r.text for r in members])
-        assert len(data) == 8 * len(slice_.keys)
-        for row in draw.sample(range(len(members)), 4):
-            start = slice_.starts[row]
-            for n, (held, byte) in enumerate(contexts(members[row].text)):
-                for k, context in enumerate(held):
+    tokens = some_tokens(draw)
+    held = [b"abc", b"zzz", "é日é".encode(), b"a" * 40]
+    names, slice_, found = trained(tokens, held)
+    counts, weights = context_counts(tokens), np.random.default_rng(3).uniform(0.0, 0.5, (byte_mixing.GATES, byte_mixing.ORDERS, 8))
+    scores, used = byte_mixing.Mixer(slice_, found).code(weights), set()
+    for row in [*draw.sample(range(len(names)), 40), *range(len(tokens), len(names))]:
+        total = 0.0
+        for contexts, byte in byte_places(names[row]):
+            for depth in range(8):
+                st, seen = [], []
+                for context in contexts:
+                    same = lambda b, d: b >> 8 - d == byte >> 8 - d
                     after = counts.get(context, {})
-                    key = slice_.places[k][start + n]
-                    for depth in range(8):
-                        same = lambda b, d: b >> 8 - d == byte >> 8 - d
-                        here = sum(c for b, c in after.items() if same(b, depth))
-                        way = sum(c for b, c in after.items() if same(b, depth + 1))
-                        odds = round(max(-127, min(127, 16 * math.log((way + 0.05) / (here - way + 0.05)))))
-                        even = 1 if byte >> 7 - depth & 1 else -1
-                        wanted = (odds or even) if here else 0
-                        assert int.from_bytes(data[8 * key + depth : 8 * key + depth + 1], signed=True) == wanted
-
-
-def test_language_model_mixes_by_gate_and_block():
-    """Mixing side by side is that of one decision after the other: weights by gate, and a step every BLOCK bytes of short texts."""
+                    here, way = (sum(c for b, c in after.items() if same(b, d)) for d in (depth, depth + 1))
+                    odds = round(max(-127, min(127, 16 * math.log((way + 0.05) / (here - way + 0.05)))))
+                    st.append(((odds or (1 if byte >> 7 - depth & 1 else -1)) if here else 0) / 16)
+                    seen.append(here)
+                gate = 2 * sum(int(math.log2(seen[-1] + 1)) >= o for o in byte_mixing.OFTEN) + (seen[-2] > 0)
+                used.add(gate)
+                x = max(-12, min(12, sum(w * s for w, s in zip(weights[gate, :, depth], st, strict=True))))
+                total -= math.log10(1 + math.exp(-x))
+        assert math.isclose(scores[row], total, rel_tol=1e-9)
+    assert len(used) > 6
+
+
+def test_language_model_is_a_distribution():
+    """The chances of all 256 next bytes, of all next words, and of a word's two ways add up to one (words: at most)."""
     import numpy as np
 
-    draw = random.Random(14)
-    texts = [" ".join(draw.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(draw.randint(1, 60))) for _ in range(40)]
-    train, held = byte_mixing._Slice(texts), byte_mixing._Slice(["lorem ipsum qqq dolor zamet xxlorem lor", "", "amet " * 40])
-    asked = [train.keys, held.keys], [train.counts(np.ones(40, dtype=bool)), np.zeros(len(held.keys), dtype=np.int64)]
-    found = np.frombuffer(list(byte_mixing._answered(0, [0, 1], [False, False], *asked))[1][2], np.int8).reshape(-1, 8)
-    start = np.random.default_rng(3).uniform(0.1, 0.5, (byte_mixing.GATES, byte_mixing.ORDERS, 8))
-    scores, ended = byte_mixing.Mixer(held, found).code(start)
-    assert byte_mixing.RECENT == (2, 3, 4, 5) and byte_mixing.GATES == 4
-    used = set()
-    for text in range(3):
-        weights, total = start.copy(), 0.0
-        for at in range(0, held.sizes[text], byte_mixing.BLOCK):
-            step = np.zeros_like(weights)
-            for n in range(at, min(at + byte_mixing.BLOCK, held.sizes[text])):
-                st = np.array([found[p[held.starts[text] + n]] for p in held.places]) / byte_mixing.SCALE
-                for depth in range(8):
-                    gate = 2 * (st[-2, depth] != 0) + (st[-1, depth] != 0)
-                    used.add(int(gate))
-                    chance = 1 / (1 + math.exp(-max(-12, min(12, weights[gate, :, depth] @ st[:, depth]))))
-                    total += math.log10(chance)
-                    step[gate, :, depth] += byte_mixing.RATE * byte_mixing.SCALE * (1 - chance) * st[:, depth]
-            weights += step
-        assert math.isclose(scores[text], total, rel_tol=1e-4) and np.allclose(ended[text], weights, rtol=1e-3, atol=1e-4)
-        assert not np.allclose(ended[text], start, atol=1e-4) or held.sizes[text] == 1
-    assert len(used) == 4
+    tokens = some_tokens(random.Random(5))
+    for begin in (b"", b"a", "é".encode()[:1], b"zz"):
+        names, slice_, found = trained(tokens, [begin + bytes([c]) for c in range(256)])
+        weights, chance = byte_mixing.starting(), []
+        for token, st, gate in byte_mixing.Mixer(slice_, found)._stretches():
+            x = (weights[gate, :, np.arange(8)] * st.transpose(0, 2, 1)).sum(axis=2)
+            for c in range(256):
+                place = np.flatnonzero(token == names.index(begin + bytes([c])))[len(begin)]
+                chance.append(float(np.prod(1 / (1 + np.exp(-np.clip(x[place], -12, 12))))))
+        assert len(chance) == 256 and math.isclose(sum(chance), 1, rel_tol=1e-9)
+    names, slice_, found = trained(tokens)
+    chance = dict(zip(names, byte_mixing.Mixer(slice_, found).code(byte_mixing.starting()).tolist(), strict=True))
+    assert 0.3 < sum(10**x for x in chance.values()) <= 1
+    draw = random.Random(6)
+    some = draw.sample(sorted(chance), 6)
+    for n in (0, 1, 3, 20, 90):
+        words = [draw.choice(some) for _ in range(n)]
+        start = context_mixing.coded(words, chance)[0] if words else 0.0
+        nexts = [10 ** (context_mixing.coded([*words, w], chance)[0] - start) for w in chance]
+        assert 0.2 < sum(nexts) <= 1 + 1e-9
+
+
+def test_language_model_adapts_within_a_text():
+    """Texts are coded word after word, as a plain loop does: guesses, words so far, bit histories, weights by gate and block."""
+    draw = random.Random(7)
+    chance = {f"w{k}".encode(): -1.5 - k / 50 for k in range(40)} | {b"": -2.0}
+
+    class Decisions:
+        def __init__(self):
+            self.weights = [[context_mixing.START] * 3 for _ in range(context_mixing.LONGEST)]
+            self.counts, self.todo, self.total, self.n = {}, [], 0.0, 0
+
+        def add(self, bit, last, word, at):
+            contexts, gate = [(0, 0), (1, last), (2, word)], min(int(math.log2(at + 1)), context_mixing.LONGEST - 1)
+            seen = [self.counts.setdefault(c, [0.4, 0.4]) for c in contexts]
+            st = [math.log(one / none) for none, one in seen]
+            x = max(-12, min(12, sum(w * s for w, s in zip(self.weights[gate], st, strict=True))))
+            p = 1 / (1 + math.exp(-x))
+            self.total += math.log(p if bit else 1 - p)
+            self.todo.append((gate, [context_mixing.RATE * (bit - p) * s for s in st]))
+            for c in seen:
+                c[bit] += 1
+            self.n += 1
+            if self.n % context_mixing.BLOCK == 0:
+                for gate, step in self.todo:
+                    self.weights[gate] = [w + s for w, s in zip(self.weights[gate], step, strict=True)]
+                self.todo = []
+
+    def plain(words):
+        copies, repeats, seen, follows, mass = Decisions(), Decisions(), Counter(), {}, 0.0
+        total, new, run, again = 0.0, [], 0, 0
+        for i, w in enumerate(words):
+            last = words[i - 1] if i else None
+            guess = follows.get((words[i - 2], last)) if i > 1 else None
+            hit = guess == w
+            if guess is not None:
+                copies.add(int(hit), min(run, 7), last, i)
+            if not hit:
+                if i:
+                    repeats.add(int(w in seen), min(again, 3), last, i)
+                if w in seen:
+                    total += math.log(seen[w] / i)
+                else:
+                    total -= math.log(max(1 - mass, context_mixing.LEAST_LEFT))
+                    if w in chance:
+                        total += chance[w] * math.log(10)
+                        mass += 10 ** chance[w]
+                    else:
+                        new.append(w)
+            run, again = (run + 1 if hit else 0), (again + 1 if w in seen else 0)
+            if i > 1:
+                follows[words[i - 2], last] = w
+            seen[w] += 1
+        return (total + copies.total + repeats.total) / math.log(10), new
+
+    for n in (0, 1, 2, 3, 10, 300):
+        words = [f"w{draw.randint(0, 60)}".encode() for _ in range(n)]
+        words = [*words, *words[: n // 2], b"odd", *words[: n // 3], b""]
+        got, want = context_mixing.coded(words, chance), plain(words)
+        assert got[1] == want[1] and math.isclose(got[0], want[0], rel_tol=1e-9)
+
+
+def test_language_model_learns(spark, monkeypatch):
+    """Held-out texts cost clearly less than by counted tokens where lines repeat, and slices of any size answer each other."""
+    monkeypatch.setattr(byte_mixing, "SLICE", 2_000)
+    draw = random.Random(8)
+    words = ["".join(draw.choice(["ba", "ko", "lim", "tar", "e", "un"]) for _ in range(draw.randint(1, 4))) for _ in range(900)]
+    line = lambda: " ".join(words[min(899, int(draw.expovariate(0.01)))] for _ in range(8))
+    data = []
+    for i in range(300):
+        lines = [line() for _ in range(12)]
+        data.append((i, "\n".join(lines + [draw.choice(lines) for _ in range(6)]), *brute.odd_rows()[0][2:]))
+    found = [r for r in context_mixing.scores(brute.frame(spark, data)).collect() if r.held_out]
+    assert len(found) > 30 and sum(r.score > 0.9 * r.base_score for r in found) == len(found)
 
 
 def test_language_model_knows_every_script(spark):

@@ -23,6 +23,7 @@ BINS = 512
 BLOCK_QUERIES, BLOCK_NUMBERS = 16_384, 4_000_000
 # Scores computed at once in a task.
 TILE = 2_000_000
+BEYOND = 2**61
 
 
 def integers(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -37,7 +38,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], block: dict) -> Iterator[tuple]:
     """(numbers of the queries, identifiers, scores queries x candidates) for candidates of the queries' own length.
 
     Vectors of different lengths have no inner product. Scores are exact: in doubles where no partial sum can reach 2^53,
-    else in 64-bit integers.
+    else in 64-bit integers, or in integers of any size where those could wrap around. Scores of BEYOND and more raise.
     """
     for batch in batches:
         ids, lists = batch.column("vec_id"), batch.column("v")
@@ -54,8 +55,13 @@ def _tiles(batches: Iterator[pa.RecordBatch], block: dict) -> Iterator[tuple]:
                 reach = float(np.abs(queries).max(initial=0)) * float(np.abs(matrix).max(initial=0)) * size
                 if reach < 2**53:
                     scores = (queries.astype(np.float64) @ matrix.T.astype(np.float64)).astype(np.int64)
-                else:
+                elif reach < BEYOND:
                     scores = queries @ matrix.T
+                else:
+                    exact = queries.astype(object) @ matrix.T.astype(object)
+                    if np.abs(exact).max(initial=0) >= BEYOND:
+                        raise OverflowError("a score of 2**61 or more")
+                    scores = exact.astype(np.int64)
                 own = block["ids"][numbers][:, None] == known[some][None, :]
                 nulls = np.array([not ids[int(k)].is_valid for k in some], dtype=bool)
                 own[:, nulls] = False
@@ -107,7 +113,7 @@ def _block_search(rows: DataFrame, queries: list, reach: dict[int, float], k: in
     sent = rows.sparkSession.sparkContext.broadcast({"ids": ids, "by_size": by_size})
     # By Cauchy-Schwarz no score lies beyond the query's length times the longest candidate's.
     long = [np.sqrt(sum(float(x) ** 2 for x in r.v)) * reach.get(len(r.v), 0.0) for r in queries]
-    bound = np.minimum(np.array(long) * (1 + 1e-9) + 2, 2.0**61).astype(np.int64)
+    bound = np.minimum(np.array(long) * (1 + 1e-9) + 2, float(BEYOND)).astype(np.int64)
     low, high = -bound, bound
     least, open_ = np.full(len(ids), np.iinfo(np.int64).min), np.ones(len(ids), dtype=bool)
     while open_.any():
@@ -134,7 +140,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id
     Candidates are all rows but those with the query's own identifier; ties go to the smaller identifier, null last. All
     candidates come back where there are fewer than k. Vectors that are null or hold null or non-finite parts take no
     part, and vectors of another length than the query's are no candidates. Of several query rows with one identifier
-    the least vector asks. Scores are exact within 64 bits. Empty tables give empty results; other columns are not read.
+    the least vector asks. Scores are exact; one of 2**61 or more, either way, is an error. Empty tables give empty results; other columns are not read.
     """
     rows = materialise(integers(vectors, scale, id_col, vector_col), "vectors")
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)

@@ -448,6 +448,17 @@ def test_topk(spark):
     assert topk.search(docs.limit(0)).count() == 0
 
 
+def test_topk_does_not_wrap_around(spark):
+    """Products near the end of 64 bits are exact; a score beyond is an error, not another number."""
+    kind = "vec_id long, embedding array<double>"
+    large = spark.createDataFrame([(50, [4e6, -4e6, 3.0]), (1, [4e6, 4e6, 2.0]), (2, [-4e6, 4e6, 1.0])], kind)
+    a = 256 * 4_000_000
+    want = {1: 768 * 512, 2: -2 * a * a + 768 * 256}
+    assert {r.vec_id: r.score for r in topk.search(large).collect()} == want and abs(want[2]) > 2**53
+    with pytest.raises(Exception, match="2\\*\\*61"):
+        topk.search(spark.createDataFrame([(50, [1e16, 1.0]), (1, [1e16, 1.0])], kind)).collect()
+
+
 # 7 -- personal data
 
 

@@ -655,7 +655,7 @@ def ml_naive_bayes_counts(spark, sf_dir):
     return fitted.select("term", F.round("lp0", 6).alias("log_prob_0"), F.round("lp1", 6).alias("log_prob_1"))
 
 
-def _predicted(spark, sf_dir, scope):
+def _test_scores(spark, sf_dir, scope):
     docs, score = _bayes_score(spark, sf_dir, scope)
     test = corpus.random_split(docs, "doc_id").filter("split = 'test'").drop("p")
     return score(test).select("doc_id", F.round("p", 6).alias("p"), "predicted")
@@ -663,13 +663,13 @@ def _predicted(spark, sf_dir, scope):
 
 @query
 def ml_predict(spark, sf_dir):
-    return _predicted(spark, sf_dir, "train")
+    return _test_scores(spark, sf_dir, "train")
 
 
 @query
 def ml_predict_fit_all(spark, sf_dir):
     """Vocabulary and idf from all rows, the classifier from the training rows."""
-    return _predicted(spark, sf_dir, "all")
+    return _test_scores(spark, sf_dir, "all")
 
 
 def _forest(spark, sf_dir, trees=200, depth=20):

@@ -189,6 +189,19 @@ def _vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
     return docs.mapInArrow(run, f"{kinds}, terms array<int>")
 
 
+def _held_by(vectors: DataFrame, size: int) -> DataFrame:
+    """(term, n): the number of vectors that hold each of so many terms, added up in the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            n += np.bincount(np.asarray(batch.column("terms").flatten()), minlength=size)
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(n[held])], names=["term", "n"])
+
+    return vectors.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, DataFrame]:
     """The model, and the stored vectors (id, terms) of all rows of docs.
 
@@ -203,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not terms:
         return Model(), vectors
     total = vectors.count()
-    df = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*")).collect())  # one row a term
+    df = dict(_held_by(vectors, len(terms)).collect())  # one row a term
     idf = np.array([math.log((1 + total) / (1 + df.get(n, 0))) + 1 for n in range(len(terms))])
     learned = materialise(vectors.where(~held_out(F.col("id"))).join(known, "id"), "labelled")
     telling = learned.where(F.size("terms") > 0)

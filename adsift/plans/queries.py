@@ -728,13 +728,13 @@ def ml_augmented_forest(spark, sf_dir):
 
 def _gains(spark, sf_dir, model, featuriser):
     """(gains, strong): each term's impurity gain on the training rows, and whether the model agrees with them: the 50 terms
-    of the largest gains hold three times the importance that as many terms would hold on average."""
+    of the largest gains hold eight times the importance that as many terms would hold on average."""
     train = _train(views.ads(spark, sf_dir))
     gains = materialise(features.term_gains(train, featuriser.terms(), featuriser.vocab), "gains")
     gains = gains.select("phrase", F.round("gain", 9).alias("gain"))
     top = gains.orderBy(F.desc("gain"), "phrase").limit(50)
     held = learning.feature_importance(model, featuriser).join(F.broadcast(top), "phrase", "left_semi")
-    strong = held.agg((F.sum("importance") > 3 * 50.0 / featuriser.size).alias("s")).scalar()
+    strong = held.agg((F.sum("importance") > 8 * 50.0 / featuriser.size).alias("s")).scalar()
     return gains, strong
 
 

@@ -33,7 +33,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line
     if texts is None:
         return plain
     # A record may end with the first half of a two-character line break.
-    text = F.regexp_replace(F.decode("text", F.lit(encoding)), r"\r\z", "")
+    text = F.regexp_replace(F.decode("text", encoding), r"\r\z", "")
     schema = ", ".join(f"`{c}` string" for c in plain.columns)
     parser = {k: str(v).lower() if isinstance(v, bool) else v for k, v in settings.items() if k not in ("header", "multiLine")}
     rows = texts.select(text.alias("t")).where(F.trim("t") != "").select(F.from_csv("t", schema, parser).alias("r"))

@@ -344,7 +344,7 @@ def test_language_model_adapts_within_a_text():
     class Decisions:
         def __init__(self):
             self.weights = [[context_mixing.START] * 3 for _ in range(context_mixing.LONGEST)]
-            self.counts, self.todo, self.total, self.n = {}, [], 0.0, 0
+            self.counts, self.todo, self.total, self.n, self.size = {}, [], 0.0, 0, context_mixing.BLOCK
 
         def add(self, bit, last, word, at):
             contexts, gate = [(0, 0), (1, last), (2, word)], min(int(math.log2(at + 1)), context_mixing.LONGEST - 1)
@@ -357,7 +357,8 @@ def test_language_model_adapts_within_a_text():
             for c in seen:
                 c[bit] += 1
             self.n += 1
-            if self.n % context_mixing.BLOCK == 0:
+            if self.n == self.size:
+                self.n, self.size = 0, min(2 * self.size, context_mixing.LARGEST)
                 for gate, step in self.todo:
                     self.weights[gate] = [w + s for w, s in zip(self.weights[gate], step, strict=True)]
                 self.todo = []
@@ -389,11 +390,12 @@ def test_language_model_adapts_within_a_text():
             seen[w] += 1
         return (total + copies.total + repeats.total) / math.log(10), new
 
-    for n in (0, 1, 2, 3, 10, 300):
+    for n in (0, 1, 2, 3, 10, 300, 1500):
         words = [f"w{draw.randint(0, 60)}".encode() for _ in range(n)]
         words = [*words, *words[: n // 2], b"odd", *words[: n // 3], b""]
-        got, want = context_mixing.coded(words, chance), plain(words)
-        assert got[1] == want[1] and math.isclose(got[0], want[0], rel_tol=1e-9)
+        (score, names, times, own), want = context_mixing.coded(words, chance), plain(words)
+        assert dict(zip(names, times, strict=True)) == Counter(words) and own == [chance.get(w) for w in names]
+        assert [w for w in names if w not in chance] == want[1] and math.isclose(score, want[0], rel_tol=1e-9)
 
 
 def test_language_model_learns(spark, monkeypatch):

@@ -35,7 +35,7 @@ FLUSH = 300_000  # terms counted in a task before they are sent on
 BLOCK, TOGETHER = 64, 16  # examples in a block, blocks opened at once
 WIDE, ROUNDING = 2_048, 1e-5  # lists kept densely, and what sums of them may be off by
 PRIOR_VOTES = 0.5
-REMEMBERED, ANSWERS = 400_000, 20_000  # words, and answers for equal texts, that a task remembers
+REMEMBERED, ANSWERS = 100_000, 10_000  # words, and answers for equal texts, that a task remembers
 FOLDS, HELD_OUT = 5, 0
 
 

@@ -16,8 +16,9 @@ from ..session import materialise, ship
 
 ship(__name__)
 
-# A bank up to this size is used as a literal array; a larger one becomes an automaton, or several of this many phrases.
-LITERAL_BANK_ROWS = 2000
+# A bank up to this size is used as a literal array, which costs a walk through the text for each phrase; a larger one becomes an
+# automaton, or several of this many phrases, which costs one walk.
+LITERAL_BANK_ROWS = 32
 SHARD_ROWS = 100_000
 
 

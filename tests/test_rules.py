@@ -202,3 +202,13 @@ def test_screen_plan_has_no_exchange(spark):
     row = out.collect()[0]
     assert (row.risk_score, row.verdict, row.url_risk_score) == (97, "FAKE", 70)
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_bank_of_some_hundred_phrases_walks_a_text_once(spark):
+    """Not once a phrase: such a bank is an automaton, and finds what the literal array finds."""
+    phrases = [f"word{i} word{i + 1}" for i in range(300)]
+    rows = [(1, "WORD7 word8 word9"), (2, "xword299 word300x"), (3, None), (4, "word1"), (1, "word7 word8")]
+    hits = keywords.phrase_hits(spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string"), "id")
+    assert "MapInArrow" in hits._jdf.queryExecution().executedPlan().toString()
+    want = [(i, p) for i, t in rows for p in phrases if t and p in t.lower()]
+    assert sorted(map(tuple, hits.collect())) == sorted(want)

@@ -383,3 +383,21 @@ def test_learning_keeps_one_table(spark):
         got = sr.learned_phrases(runs.read_stream(spark, path), min_count=4, out=out)
     assert {r.phrase: r.n for r in got.collect()}["send money now"] == 10
     assert len([p for p in Path(out).glob("batch=*")]) == 2
+
+
+def test_ocr_words_travel_in_lists(spark):
+    """Words of an image that stand together move as one row; any order of the rows, nulls and repeated places give the same text."""
+    rows = [(i % 3 if i % 5 else None, i // 3, [f"w{i}", " ", None, ""][0 if i % 4 else i // 4 % 4], [95, 41, 40, 0, -1, None][i % 6]) for i in range(200)]
+    rows += [(7, k, f"v{k % 2}", 90) for k in (3, 1, 2, 1)] + [(8, 0, "x", 10)]
+    frame = spark.createDataFrame(rows, "image_id long, word_idx int, word string, conf int")
+    want = {}
+    for image in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == image]
+        kept = sorted((at, word) for _, at, word, conf in mine if conf is not None and conf > 40 and word and word.strip())
+        known = [conf for *_, conf in mine if conf is not None and conf > 0]
+        want[image] = (" ".join(w for _, w in kept), round(sum(known) / len(known), 1) if known else 0.0, len(kept))
+    for order in ("conf", "image_id"):
+        got = {r.image_id: (r.text, r.confidence, r.word_count) for r in rp.ocr_text(frame.coalesce(1).sortWithinPartitions(order)).collect()}
+        assert {k: (t, pytest.approx(c, abs=0.051), n) for k, (t, c, n) in want.items()} == got
+    lists = rp._in_lists(frame.filter("image_id = 7").toArrow().to_batches())
+    assert [b.column("at").to_pylist() for b in lists] == [[[3, 1, 2, 1]]]

@@ -103,3 +103,28 @@ def test_screening_with_the_model_has_no_exchange(spark, sf_dir):
     assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "Join" not in plan
     stream = queries["st_screen_with_model"](spark, sf_dir)
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.select(batch.columns).collect()))
+
+
+def test_stream_parts_arrive_whole(spark):
+    """A table of many splits arrives in as many triggers as one of a single split, and none of its rows comes late."""
+    from datetime import datetime, timedelta
+
+    from adsift.streaming import reports as sr
+
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    out, checkpoint = scratch(spark, "out"), scratch(spark, "checkpoint")
+    try:
+        rows = [(i, f"k{i % 7}", datetime(2024, 1, 1) + timedelta(minutes=20 * i)) for i in range(2000)]
+        table = spark.createDataFrame(rows, "uid long, k string, ts timestamp_ntz").repartition(4)
+        stream = entry_queries._arriving(spark, table, "uid", "ts")
+        got = sr.accepted_reports(stream, "t", "k", "ts", "uid", 3600, 1, out, checkpoint, delay=entry_queries.STREAM_DELAY, finish=False)
+        assert got.count() == 2000 and sr.late_rows(spark, out).filter("uid is not null").count() == 0
+        from pathlib import Path
+
+        sources = [p for p in Path(checkpoint, "sources", "0").glob("[0-9]*")]
+        assert len(sources) == entry_queries.STREAM_PARTS + 1
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)

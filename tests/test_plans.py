@@ -128,3 +128,19 @@ def test_stream_parts_arrive_whole(spark):
     finally:
         for c, v in old.items():
             spark.conf.set(c, v)
+
+
+def test_tfidf_counts_its_vocabulary_once(spark, sf_dir, monkeypatch):
+    """The weights and the names of the terms read a stored vocabulary instead of counting all terms again."""
+    from adsift.operators import features
+
+    plans = []
+    whole = features.tfidf
+
+    def tfidf(docs, id_col, terms, vocab, **options):
+        plans.append(vocab._jdf.queryExecution().optimizedPlan().toString())
+        return whole(docs, id_col, terms, vocab, **options)
+
+    monkeypatch.setattr(features, "tfidf", tfidf)
+    entry.queries()["ml_tfidf"](spark, sf_dir)
+    assert len(plans) == 1 and "Aggregate" not in plans[0]

@@ -163,6 +163,17 @@ def test_fit_on_all_rows(spark):
     assert (some.size, whole.size) == (3, 4)
 
 
+def test_forest_trains_on_bounded_partitions(spark, monkeypatch):
+    """However few files hold the features, no task of the training holds more dense rows than the bound."""
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("one two six").alias("text"), (F.col("id") % 2).alias("label")).coalesce(1)
+    seen = []
+    monkeypatch.setattr(learning, "DENSE_BYTES", 25 * 3 * 4)
+    monkeypatch.setattr(learning.RandomForestClassifier, "fit", lambda self, table: seen.append(table))
+    learning.train(df, learning.random_forest(trees=1, depth=1), learning.Featuriser(high=1))
+    sizes = [len(part) for part in seen[0].rdd.glom().collect()]
+    assert sum(sizes) == 200 and max(sizes) <= 25
+
+
 def test_forest_round_trip(spark):
     rows = [(i, "free cash prize now" if i % 2 else "team meeting agenda notes", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, label int")

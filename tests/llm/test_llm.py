@@ -412,6 +412,54 @@ def test_language_model_learns(spark, monkeypatch):
     assert len(found) > 30 and sum(r.score > 0.9 * r.base_score for r in found) == len(found)
 
 
+def test_language_model_is_fitted_on_all_training_words(spark, monkeypatch):
+    """The weights follow every slice's training tokens, each without one of its own occurrences, as one process works them out."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(byte_mixing, "SLICE", 400)
+    monkeypatch.setattr(byte_mixing, "FIT_SLICES", 2)
+    tokens = some_tokens(random.Random(21)) | {f"held{k}".encode(): 0 for k in range(20)}
+    table = spark.createDataFrame([(bytearray(t), n) for t, n in tokens.items()], "token binary, c long")
+    slices = byte_mixing._slices(sum(len(t) + 1 for t in tokens))
+    steps = min(byte_mixing.ROUNDS, -(-slices // 2))
+    assert steps > 1
+    parts = {}
+    for r in table.withColumn("s", F.pmod(F.xxhash64(F.lit(7), "token"), F.lit(slices))).collect():
+        parts.setdefault(r.s, []).append(bytes(r.token))
+    everything = byte_mixing.Slice(list(tokens))
+    sums = everything.counts(np.array(list(tokens.values())))
+    weights = byte_mixing.starting()
+    for step in range(steps):
+        over, under = np.zeros_like(weights), np.zeros_like(weights)
+        for names in (parts[s] for s in sorted(parts) if s % steps == step):
+            slice_, times = byte_mixing.Slice(names), np.array([tokens[t] for t in names])
+            at, own = np.searchsorted(everything.keys, slice_.keys), slice_.without_one(times) > 0
+            found = np.where(own[:, None], byte_mixing.predictors(everything.keys, sums, 1)[at], byte_mixing.predictors(everything.keys, sums)[at])
+            near, bend = byte_mixing.Mixer(slice_, found).fitted(weights, times.astype(float), byte_mixing.ROUNDS // steps)
+            over, under = over + near * bend * times.sum(), under + bend * times.sum()
+        weights = np.where(under > 0, over / np.where(under > 0, under, 1), weights)
+    names = list(tokens)
+    want = dict(zip(names, byte_mixing.Mixer(everything, byte_mixing.predictors(everything.keys, sums)).code(weights).tolist(), strict=True))
+    got = {bytes(r.token): r.lp for r in byte_mixing.token_chances(table).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[t], want[t], rel_tol=1e-9) for t in names)
+
+
+def test_a_token_predicts_itself_without_its_own_count():
+    """One count less along a key's own path is what the predictors of the counts without that occurrence are."""
+    import numpy as np
+
+    tokens = some_tokens(random.Random(22))
+    slice_ = byte_mixing.Slice(list(tokens))
+    sums = slice_.counts(np.array(list(tokens.values())))
+    less = byte_mixing.predictors(slice_.keys, sums, 1)
+    for k in random.Random(23).sample(range(len(sums)), 40):
+        if sums[k]:
+            without = sums.copy()
+            without[k] -= 1
+            assert (less[k] == byte_mixing.predictors(slice_.keys, without)[k]).all()
+
+
 def test_language_model_knows_every_script(spark):
     """Among texts of many ASCII letters, a Cyrillic text of known words is cheaper than the same letters mixed."""
     draw = random.Random(13)

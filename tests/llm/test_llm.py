@@ -73,6 +73,25 @@ def test_suffix_dedup_of_long_texts(spark, most):
     same(rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), wanted)
 
 
+def test_suffix_dedup_splits_frequent_grams(spark, monkeypatch):
+    """A gram with more surroundings than its share of all is sorted range by range of shifts, not window by window."""
+
+    def digested(*_):
+        raise AssertionError("windows were counted by digest")
+
+    draw, phrase = random.Random(21), " the same forty bytes stand in all texts "
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7)))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    ends = [filler(40) for _ in range(6)]
+    data = [(i, filler(20) + draw.choice(ends) + phrase + draw.choice(ends) + filler(20), *brute.odd_rows()[0][2:]) for i in range(60)]
+    wanted = brute.removed(data, 100)
+    monkeypatch.setattr(suffix_dedup, "MOST_SHARE", 10**9)
+    monkeypatch.setattr(suffix_dedup, "_compared_by_digest", digested)
+    found = suffix_dedup.spans(brute.frame(spark, data), length=100)
+    assert sum(r[2] > 0 for r in wanted) > 10
+    same(rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), wanted)
+
+
 def test_suffix_dedup_text(spark):
     data = brute.odd_rows()[:10]
     found = {(r.doc_id, r.kept_sha256): bytes(r.kept) for r in suffix_dedup.removed(brute.frame(spark, data), length=100).collect()}

@@ -9,6 +9,7 @@ from pathlib import Path
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
@@ -417,6 +418,35 @@ def test_language_model_adapts_within_a_text():
         assert [w for w in names if w not in chance] == want[1] and math.isclose(score, want[0], rel_tol=1e-9)
 
 
+def test_texts_coded_together_take_no_notice_of_each_other():
+    """Each text of a batch costs what it costs alone, to the last bit, and the batch's texts share the steps."""
+    draw = random.Random(31)
+    chance = {f"w{k}".encode(): -1.0 - k / 50 for k in range(40)} | {b"": -2.0}
+    texts = [[*(f"w{draw.randint(0, 5 + 10 * (n % 7))}".encode() for _ in range(n)), b""] for n in [0, 0, 1, 2, 3, 33, 97, 500, 1700, *range(20, 60)]]
+    draw.shuffle(texts)
+    together = context_mixing.coded_together(texts, chance)
+    assert together == [context_mixing.coded(words, chance) for words in texts]
+    assert list(map(len, context_mixing._together(iter(texts)))) == [len(texts)]
+
+
+def test_stored_rows_with_one_value_are_read_alone(spark, monkeypatch):
+    """A step of the fitting reads the answers to its own slices, not those to all."""
+    from adsift import session
+
+    table = session.materialise(spark.range(100).selectExpr("id", "cast(id % 4 as int) as step"), "dealt", by="step")
+    assert table.columns == ["id", "step"] and table.count() == 100
+    assert sorted(r.id for r in table.where("step = 3").collect()) == list(range(3, 100, 4))
+    read = table.where("step = 3").select(F.input_file_name().alias("f")).distinct().collect()
+    assert read and all("step=3" in r.f for r in read)
+
+    written, store = [], byte_mixing.materialise
+    monkeypatch.setattr(byte_mixing, "SLICE", 400)
+    monkeypatch.setattr(byte_mixing, "FIT_SLICES", 2)
+    monkeypatch.setattr(byte_mixing, "materialise", lambda df, name, by=None: written.append((name, by)) or store(df, name, by))
+    tokens = spark.createDataFrame([(f"word{k}".encode(), k % 5) for k in range(300)], "token binary, c long")
+    assert byte_mixing.token_chances(tokens).count() == 300 and written == [("context_answers", "step")]
+
+
 def test_language_model_learns(spark, monkeypatch):
     """Held-out texts cost clearly less than by counted tokens where lines repeat, and slices of any size answer each other."""
     monkeypatch.setattr(byte_mixing, "SLICE", 2_000)

@@ -494,6 +494,53 @@ def test_language_model_is_fitted_on_all_training_words(spark, monkeypatch):
     assert got.keys() == want.keys() and all(math.isclose(got[t], want[t], rel_tol=1e-9) for t in names)
 
 
+def test_every_round_of_the_fitting_follows_all_training_words(spark, monkeypatch):
+    """However many slices there are, the query's weights are those of all ROUNDS rounds over all slices together."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    draw = random.Random(24)
+    tokens = some_tokens(draw) | {f"held{k}".encode(): 0 for k in range(20)} | {b"often": 3 * byte_mixing.FEW}
+    names, times = list(tokens), np.array(list(tokens.values()))
+    table = spark.createDataFrame([(bytearray(t), n) for t, n in tokens.items()], "token binary, c long")
+    everything = byte_mixing.Slice(names)
+    sums = everything.counts(times)
+    less, full = (byte_mixing.predictors(everything.keys, sums, n) for n in (1, 0))
+    for size in (250_000, 400):
+        monkeypatch.setattr(byte_mixing, "SLICE", size)
+        slices = byte_mixing._slices(sum(len(t) + 1 for t in tokens))
+        parts = {}
+        for r in table.withColumn("s", F.pmod(F.xxhash64(F.lit(7), "token"), F.lit(slices))).collect():
+            parts.setdefault(r.s, []).append(bytes(r.token))
+        assert len(parts) == slices and (slices > 3) == (size == 400)
+        mixers = []
+        for part in parts.values():
+            slice_, n = byte_mixing.Slice(part), np.array([tokens[t] for t in part])
+            at, own = np.searchsorted(everything.keys, slice_.keys), slice_.without_one(n) > 0
+            mixers.append((byte_mixing.Mixer(slice_, np.where(own[:, None], less[at], full[at])), n / times.sum()))
+        weights, depth = byte_mixing.starting(), np.arange(byte_mixing.DEPTH)
+        for _ in range(byte_mixing.ROUNDS):
+            slope, bend = np.zeros_like(weights), np.zeros_like(weights)
+            for mixer, share in mixers:
+                for token, st, gate in mixer._stretches():
+                    x = sum(weights[gate, k, depth] * st[:, k] for k in range(byte_mixing.ORDERS))
+                    p = 1 / (1 + np.exp(-np.clip(x, -12, 12)))
+                    error = share[token][:, None] * (1 - p)
+                    for k in range(byte_mixing.ORDERS):
+                        np.add.at(slope[:, k], (gate, depth), error * st[:, k])
+                        np.add.at(bend[:, k], (gate, depth), error * p * st[:, k] ** 2)
+            weights = np.clip(weights + byte_mixing.DAMPING * slope / (bend + 1e-6), -1, 2)
+        want = dict(zip(names, byte_mixing.Mixer(everything, full).code(weights).tolist(), strict=True))
+        got = {bytes(r.token): r.lp for r in byte_mixing.token_chances(table, whole=True).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[t], want[t], rel_tol=1e-9) for t in names)
+    assert byte_mixing.token_chances(table.limit(0), whole=True).count() == 0
+
+    asked, chances = [], context_mixing.token_chances
+    monkeypatch.setattr(context_mixing, "token_chances", lambda tokens, **options: asked.append(options) or chances(tokens, **options))
+    context_mixing.scores(brute.frame(spark, brute.odd_rows()))
+    assert asked == [{"whole": True}]
+
+
 def test_a_token_predicts_itself_without_its_own_count():
     """One count less along a key's own path is what the predictors of the counts without that occurrence are."""
     import numpy as np

@@ -32,7 +32,7 @@ from ..session import materialise, scratch
 
 HOT_ROWS = 1_000_000
 STEP_FILES = 16
-_KEY, _TS, _SEED = "_key", "_ts", "_seed"
+_KEY, _TS, _SEED, _OWN = "_key", "_ts", "_seed", "_own_uid"
 
 
 def accept(
@@ -44,11 +44,12 @@ def accept(
     limit: int = 1,
     hot_rows: int = HOT_ROWS,
     seeds: DataFrame | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
     """Add `accepted` and `origin` (uid of the latest accepted row of the key, itself when accepted) to df.
 
-    `uid` is unique and breaks ties of `ts`. `seeds` holds rows (key, ts, uid) accepted earlier, all of them before the
-    rows of df. A null key counts as blank.
+    `uid` is unique and breaks ties of `ts`; where it may repeat, `tie` names a column that tells such rows apart. `seeds` holds
+    rows (key, ts, uid) accepted earlier, all of them before the rows of df. A null key counts as blank.
     """
     span = int(window * 1_000_000)
     keyed = _keyed(df, key, ts)
@@ -63,7 +64,14 @@ def accept(
     warm = keyed.join(hot, _KEY, "left_semi")
     warm_past = None if past is None else past.join(hot, _KEY, "left_semi")
     done = _replay(cold, cold_past, uid, span, limit)
-    return done.unionByName(_replay_hot(warm, warm_past, uid, span, limit, hot_rows)).drop(_KEY, _TS)
+    if tie is None:
+        return done.unionByName(_replay_hot(warm, warm_past, uid, span, limit, hot_rows)).drop(_KEY, _TS)
+    none = F.lit(None).cast(df.schema[tie].dataType)
+    warm = warm.withColumn(_OWN, F.struct(F.col(uid).alias("uid"), F.col(tie).alias("tie")))
+    if warm_past is not None:
+        warm_past = warm_past.select(_KEY, _TS, F.struct(F.col(uid).alias("uid"), none.alias("tie")).alias(_OWN))
+    hot_done = _replay_hot(warm, warm_past, _OWN, span, limit, hot_rows).withColumn("origin", F.col("origin.uid")).drop(_OWN)
+    return done.unionByName(hot_done).drop(_KEY, _TS)
 
 
 def _keyed(df: DataFrame, key: str, ts: str) -> DataFrame:
@@ -184,7 +192,8 @@ def _stepped(rows: DataFrame, seeds: DataFrame | None, uid: str, span: int, limi
     in_piece = Window.partitionBy(_KEY, "piece").orderBy("cell")
     ahead = F.sum("n").over(in_piece) - F.col("n")
     cells = cells.withColumn("big", F.col("n") > hot_rows).withColumn("bucket", F.floor(ahead / F.lit(hot_rows)))
-    new = (F.col("bucket") != F.lag("bucket").over(in_piece)) | F.col("big") | F.lag("big").over(in_piece)
+    # A piece's first cell is in step 0, a big one too.
+    new = F.lag("bucket").over(in_piece).isNotNull() & ((F.col("bucket") != F.lag("bucket").over(in_piece)) | F.col("big") | F.lag("big").over(in_piece))
     cells = cells.withColumn("step", F.sum(F.coalesce(new, F.lit(False)).cast("long")).over(in_piece))
     placed = rows.join(cells.select(_KEY, "cell", "piece", "big", "step"), [_KEY, "cell"])
     base = scratch(spark, "greedy")

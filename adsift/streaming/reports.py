@@ -14,13 +14,14 @@ from ..sources.report_files import as_rows
 from .acceptance import AT, LATE, Acceptance
 from .runs import DELAY_SECONDS, drain_batches
 
+TIE = "_tie"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def accepted_reports(
     stream: DataFrame, name: str, key: str, ts: str, uid: str, window: float, limit: int,
     out: str | None = None, checkpoint: str | None = None, hot_rows: int = HOT_ROWS, file_rows: bool = False,
-    delay: float = DELAY_SECONDS, finish: bool = True,
+    delay: float = DELAY_SECONDS, finish: bool = True, bulk: bool = False,
 ) -> DataFrame:
     """Run the greedy acceptance over a stream and return the table of all decided rows.
 
@@ -30,8 +31,14 @@ def accepted_reports(
     accepted rows are also stored in their filed shape under `<out>/table`, by batch and day. With `finish`, the result also
     holds the rows that still wait, decided as if nothing else came: they are read from the state and replayed by the
     batch operator, and the stream may go on from its state nevertheless.
+
+    The state store is asked key by key, which serves a trickle of reports. With `bulk`, for batches of many keys, the same state
+    is two tables under the checkpoint and a batch is decided by the batch operator; the rows are the same. A checkpoint goes on
+    as it began.
     """
     spark = stream.sparkSession
+    if bulk:
+        return _in_bulk(stream, name, key, ts, uid, window, limit, out or scratch(spark, name), checkpoint or scratch(spark, f"{name}-checkpoint"), hot_rows, file_rows, delay, finish)
     # Lists and timers of a key need the store that keeps state outside the heap.
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     out, checkpoint = out or scratch(spark, name), checkpoint or scratch(spark, f"{name}-checkpoint")
@@ -50,9 +57,7 @@ def accepted_reports(
         target = f"{out}/judged/batch={number}"
         batch.write.mode("overwrite").parquet(target)
         if file_rows:
-            done = batch.sparkSession.read.schema(result).parquet(target)
-            rows = as_rows(done.filter("accepted").drop(*[f.name for f in answer]))
-            rows.write.mode("overwrite").partitionBy("filed_on").parquet(f"{out}/table/batch={number}")
+            _file(batch.sparkSession.read.schema(result).parquet(target), out, number)
 
     drain_batches(decided, name, step, checkpoint=checkpoint)
     done = _stored(spark, f"{out}/judged", result).filter(~F.col(LATE)).drop(LATE)
@@ -67,6 +72,61 @@ def accepted_reports(
     return done.unionByName(accept(waiting, key, ts, uid, window, limit, hot_rows, seeds).select(done.columns))
 
 
+def _file(judged: DataFrame, out: str, number: int) -> None:
+    rows = as_rows(judged.filter("accepted").drop("accepted", "origin", LATE))
+    rows.write.mode("overwrite").partitionBy("filed_on").parquet(f"{out}/table/batch={number}")
+
+
+def _in_bulk(
+    stream: DataFrame, name: str, key: str, ts: str, uid: str, window: float, limit: int, out: str, checkpoint: str,
+    hot_rows: int, file_rows: bool, delay: float, finish: bool,
+) -> DataFrame:
+    """accepted_reports with the state in tables: the mark in milliseconds, the rows that wait for it, and the rows that one window
+    before it accepted, by batch under `<checkpoint>/held`. A batch reads the tables of the one before and writes its own, so it may run
+    twice; a row is decided by the batch that moves the mark past it."""
+    spark, held, span = stream.sparkSession, f"{checkpoint}/held", int(window * 1_000_000)
+    columns = stream.schema
+    kept = T.StructType([*columns.fields, T.StructField(AT, T.LongType()), T.StructField(TIE, T.StructType([T.StructField("batch", T.LongType()), T.StructField("row", T.LongType())]))])
+    seed = T.StructType([columns[key], columns[ts], columns[uid]])
+    result = T.StructType([*columns.fields, T.StructField("accepted", T.BooleanType()), T.StructField("origin", columns[uid].dataType), T.StructField(LATE, T.BooleanType())])
+    table = lambda kind, number, schema: spark.read.schema(schema).parquet(f"{held}/{kind}/batch={number}") if number >= 0 else spark.createDataFrame([], schema)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+
+    def decided(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+        return accept(rows, key, ts, uid, window, limit, hot_rows, seeds, tie=TIE).drop(AT, TIE)
+
+    def step(batch: DataFrame, number: int) -> None:
+        numbered = batch.withColumn(AT, at).withColumn(TIE, F.struct(F.lit(number).cast("long").alias("batch"), F.monotonically_increasing_id().alias("row")))
+        numbered.write.mode("overwrite").parquet(f"{held}/came/batch={number}")
+        came, before = table("came", number, kept), number - 1
+        past = 0 if number == 0 else table("mark", before, "mark long").first().mark
+        newest = came.agg(F.max(AT).alias("at")).first()["at"]
+        mark = past if newest is None else max(past, newest // 1000 - int(delay * 1000))
+        waits = table("waiting", before, kept).unionByName(came.filter(F.col(AT) >= past * 1000))
+        taken = table("taken", before, seed)
+        none = [F.lit(None).cast(result[c].dataType).alias(c) for c in ("accepted", "origin")]
+        late = came.filter(F.col(AT).isNull() | (F.col(AT) < past * 1000)).select(*columns.names, *none, F.lit(True).alias(LATE))
+        judged = decided(waits.filter(F.col(AT) < mark * 1000), taken).withColumn(LATE, F.lit(False))
+        judged.unionByName(late).write.mode("overwrite").parquet(f"{out}/judged/batch={number}")
+        judged = spark.read.schema(result).parquet(f"{out}/judged/batch={number}")
+        if file_rows:
+            _file(judged, out, number)
+        waits.filter(F.col(AT) >= mark * 1000).write.mode("overwrite").parquet(f"{held}/waiting/batch={number}")
+        both = taken.unionByName(judged.filter("accepted").select(key, ts, uid))
+        both.filter(at > mark * 1000 - span).write.mode("overwrite").parquet(f"{held}/taken/batch={number}")
+        spark.range(1).select(F.lit(mark).cast("long").alias("mark")).write.mode("overwrite").parquet(f"{held}/mark/batch={number}")
+        remove(spark, f"{held}/came/batch={number}")
+        for kind in ("mark", "waiting", "taken"):
+            remove(spark, f"{held}/{kind}/batch={number - 2}")
+
+    drain_batches(stream, name, step, checkpoint=checkpoint)
+    done = _stored(spark, f"{out}/judged", result).filter(~F.col(LATE)).drop(LATE)
+    if not finish or not exists(spark, f"{held}/mark"):
+        return done
+    last = spark.read.schema("mark long, batch long").parquet(f"{held}/mark").agg(F.max("batch").alias("n")).first().n
+    return done.unionByName(decided(table("waiting", last, kept), table("taken", last, seed)).select(done.columns))
+
+
 def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """What the batches wrote so far; nothing before the first one."""
     if not exists(spark, path):

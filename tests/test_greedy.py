@@ -142,6 +142,43 @@ def test_stream_in_time_order_with_a_short_delay(spark):
     assert {r.uid: (r.accepted, r.origin) for r in got.collect()} == replay(rows, 3600, 2)
 
 
+@pytest.mark.parametrize("limit,hot_rows", [(1, 10**6), (2, 15)])
+def test_a_stream_with_its_state_in_tables_decides_the_same(spark, limit, hot_rows):
+    """Decided batch by batch as a replay does; late rows go aside, of rows that come twice each is decided, a batch may run twice."""
+    from pathlib import Path
+
+    rows = sorted(make(200, 5, 4, 4), key=lambda r: r[2] + timedelta(seconds=hash(r[0] * 7919) % 1200))
+    parts = [[r for r in rows[k : k + 70] for _ in range(1 + (r[0] % 9 == 0))] for k in range(0, 200, 70)]
+    everything = [r for part in parts for r in part] + [(902, None, START + timedelta(hours=5))]
+    late = [(900, "hot", START - timedelta(hours=9)), (901, "hot", None), (None, "k3", START - timedelta(hours=9))]
+    parts.append([*late, everything[-1]])
+    path, out, checkpoint = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "checkpoint")
+
+    def go(finish):
+        got = sr.accepted_reports(
+            runs.read_stream(spark, path), "t", "k", "ts", "uid", 3600, limit, out=out, checkpoint=checkpoint, hot_rows=hot_rows, delay=1200, finish=finish, bulk=True
+        )
+        return sorted((r.uid, r.accepted, r.origin) for r in got.collect())
+
+    sizes = []
+    for part in parts:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        sizes.append(len(go(False)))
+    assert 0 < sizes[0] < sizes[1] < sizes[2] < sizes[3] == len(everything) - 1
+    commits = sorted(Path(checkpoint, "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for name in (commits[-1].name, f".{commits[-1].name}.crc"):
+        Path(checkpoint, "commits", name).unlink(missing_ok=True)
+    assert len(go(False)) == sizes[3]
+    # Rows by their place: a second copy of a row stands right behind the first.
+    placed = [(i, k, t) for i, (_, k, t) in enumerate(sorted(everything, key=lambda r: (r[1] or "", r[2], r[0])))]
+    uids = [u for u, _, _ in sorted(everything, key=lambda r: (r[1] or "", r[2], r[0]))]
+    assert go(True) == sorted((uids[i], ok, uids[last]) for i, (ok, last) in replay(placed, 3600, limit).items())
+    assert sorted(str(r.uid) for r in sr.late_rows(spark, out).collect()) == ["900", "901", "None"]
+    held = {v: spark.read.parquet(f"{checkpoint}/held/{v}") for v in ("waiting", "taken")}
+    assert held["waiting"].filter("batch = 3").count() == 1 and held["waiting"].select("batch").distinct().count() <= 2
+    assert held["taken"].filter("batch = 3").count() < 20
+
+
 def test_state_follows_the_window(spark):
     """What a key holds in state is what waits and what one window accepted; a key that falls silent holds nothing."""
     path, out, checkpoint = scratch(spark, "in"), scratch(spark, "out"), scratch(spark, "checkpoint")

@@ -130,6 +130,21 @@ def test_stream_parts_arrive_whole(spark):
             spark.conf.set(c, v)
 
 
+def test_registered_streams_do_not_ask_state_key_by_key(spark, sf_dir, monkeypatch):
+    """Their batches hold many keys: the state is in tables, and the answers are those of the batch job."""
+    from adsift.streaming import reports as sr
+
+    def asked(*given):
+        raise AssertionError("a processor that is called once a key")
+
+    monkeypatch.setattr(sr, "Acceptance", asked)
+    queries = entry.queries()
+    for name in ("st_dedup_reports", "st_rate_limit"):
+        stream = queries[f"{name}_stream"](spark, sf_dir)
+        assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, queries[name](spark, sf_dir).select(stream.columns).collect()))
+    assert queries["snk_reports_table"](spark, sf_dir).count() == queries["st_dedup_reports"](spark, sf_dir).filter("accepted").count()
+
+
 def test_tfidf_counts_its_vocabulary_once(spark, sf_dir, monkeypatch):
     """The weights and the names of the terms read a stored vocabulary instead of counting all terms again."""
     from adsift.operators import features
